@@ -43,7 +43,7 @@ def range_address(cell: Column, rows: Column | int, cols: Column | int) -> Colum
     letters = F.regexp_extract(cell, r"^([A-Za-z]+)(\d+)", 1)
     first_row = F.regexp_extract(cell, r"^([A-Za-z]+)(\d+)", 2)
     last_col = column_letters(column_number(letters) + F.lit(cols) - 1)
-    last_row = F.try_to_number(first_row, F.lit("999999999")).cast("bigint") + F.lit(rows) - 1
+    last_row = first_row.try_cast("bigint") + F.lit(rows) - 1
     return F.when(cell.rlike(r"^[A-Za-z]+\d"), F.concat(cell, F.lit(":"), last_col, last_row.cast("string")))
 
 

@@ -99,9 +99,9 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def line_at(text: Column, needle: Column, base: Column | int = 1) -> Column:
+def line_at(text: Column, needle: Column | str, base: Column | int = 1) -> Column:
     """Line number of the first ``needle`` in ``text``, counted from ``base``; null if absent."""
-    start = F.instr(text, needle) if isinstance(needle, str) else F.locate_column(text, needle)
+    start = F.instr(text, needle)
     return F.when(start > 0, F.lit(base) + newlines(F.substr(text, F.lit(1), start - 1)))
 
 
