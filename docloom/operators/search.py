@@ -94,10 +94,12 @@ def _find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool) -> Data
         F.col("seq").cast("int").alias("seq"), "term", fold(F.col("term")).alias("folded")
     ).withColumn("gram", F.substring("folded", 1, GRAM))
 
+    # Only the gram lengths that occur: at most GRAM rows.
+    sizes = [r[0] for r in listed.select(F.length("gram")).distinct().collect()]
     body = fold(tx.one_line(F.col("text")))
-    windows = [
-        F.regexp_extract_all(F.col("body"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)
-    ]
+    windows = [F.regexp_extract_all(F.col("body"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)]
+    if not windows:
+        return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))
     grams = pages.select("doc_id", "page_no", body.alias("body")).select(
         "doc_id", "page_no", F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("gram")
     )
