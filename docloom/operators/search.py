@@ -58,7 +58,7 @@ def find_terms(pages: DataFrame, terms: Sequence[str] | DataFrame, ignore_case:
     """
     literals = _literals(terms)
     if literals is None:
-        return _find_by_gram(pages, terms, ignore_case)
+        return find_by_gram(pages, terms, ignore_case)
     if not literals:
         return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))
 
@@ -82,7 +82,7 @@ def find_terms(pages: DataFrame, terms: Sequence[str] | DataFrame, ignore_case:
     )
 
 
-def _find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool) -> DataFrame:
+def find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Search with a term table of any size.
 
     A page that holds a term holds the first ``GRAM`` characters of it (all of it, if it is shorter). Pages
