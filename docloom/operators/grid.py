@@ -47,9 +47,14 @@ def set_value(cells: DataFrame, area: Area, value: str, sheets: DataFrame | None
     changed = cells.withColumn("value", F.when(area.holds(), F.lit(value)).otherwise(F.col("value")))
     if sheets is None:
         return changed
-    wanted = sheets.select(
-        "sheet", F.explode(F.sequence(F.lit(area.top), F.lit(area.bottom))).cast(cells.schema[ROW].dataType).alias(ROW)
-    ).select("*", F.explode(F.sequence(F.lit(area.left), F.lit(area.right))).cast(cells.schema[COL].dataType).alias(COL))
+    box = F.array(
+        *[
+            F.struct(F.lit(r).cast(cells.schema[ROW].dataType).alias(ROW), F.lit(c).cast(cells.schema[COL].dataType).alias(COL))
+            for r in range(area.top, area.bottom + 1)
+            for c in range(area.left, area.right + 1)
+        ]
+    )
+    wanted = sheets.select("sheet", F.inline(box))
     present = cells.where(area.holds()).select("sheet", ROW, COL)
     added = wanted.join(present, ["sheet", ROW, COL], "left_anti").withColumn("value", F.lit(value))
     return changed.unionByName(added, allowMissingColumns=True)

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 
 
+def named(column: str) -> Column:
+    """Column by its exact name; sheet headers may hold dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """The DataFrame itself, or an error that names every missing column. Looks at the schema only."""
     missing = [c for c in required if c not in df.columns]
@@ -23,9 +28,9 @@ def import_rows(df: DataFrame, no: str, value1: str, value2: str, keep: Sequence
     require_columns(df, [no, value1, value2])
     return df.select(
         *keep,
-        tx.normalise_key(F.col(no)).alias("no"),
-        tx.normalise_cell(F.col(value1)).alias("value1"),
-        tx.normalise_cell(F.col(value2)).alias("value2"),
+        tx.normalise_key(named(no)).alias("no"),
+        tx.normalise_cell(named(value1)).alias("value1"),
+        tx.normalise_cell(named(value2)).alias("value2"),
     )
 
 

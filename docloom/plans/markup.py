@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -25,32 +27,23 @@ def _pages(spark, sf):
     return read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
 
 
-# Server page around a web page: "@" stands for the page id, "~" for the page, "!!" for the url.
+# Server page around a web page. "{id}", "{html}" and "{url}" stand for the columns of the page.
 SERVER_PAGE = (
-    '<%-- about !!\n <% hidden %> --%><%@ page language="java"\n %>\n<%@ include file="/inc/@.jsp" %>\n~\n'
-    "<%! int k@; %><% if (n < @) {\n  go();\n} %>\n"
-    '<c:forEach items="${rows@}" var="r" varStatus="s">\n'
-    '<form:input path="f@" cssClass="${a == @}" disabled onclick="go(@)"/>\n'
-    '<p title="${t.x}">${total@ > 0} and <u>x</u></p>\n</c:forEach>\n'
-    '<a href="javascript:void(@)"><b>t</b></a>\n<jsp:include page="/part@.jsp"/><%= v@ %>\n'
-    "<script>\nfunction f@(a) { return a; }\nvar g = (x) => x; function f@(b) {}\n"
-    'window.onload = init;\nbtn.addEventListener("click", function() {});\n</script><script src="/s@.js"></script>'
+    '<%-- about {url}\n <% hidden %> --%><%@ page language="java"\n %>\n<%@ include file="/inc/{id}.jsp" %>\n{html}\n'
+    "<%! int k{id}; %><% if (n < {id}) {\n  go();\n} %>\n"
+    '<c:forEach items="${rows{id}}" var="r" varStatus="s">\n'
+    '<form:input path="f{id}" cssClass="${a == {id}}" disabled onclick="go({id})"/>\n'
+    '<p title="${t.x}">${total{id} > 0} and <u>x</u></p>\n</c:forEach>\n'
+    '<a href="javascript:void({id})"><b>t</b></a>\n<jsp:include page="/part{id}.jsp"/><%= v{id} %>\n'
+    "<script>\nfunction f{id}(a) { return a; }\nvar g = (x) => x; function f{id}(b) {}\n"
+    'window.onload = init;\nbtn.addEventListener("click", function() {});\n</script><script src="/s{id}.js"></script>'
 )
 
 
 def _server_pages(spark, sf):
-    pages = read_table(spark, sf, "pages")
-    parts: list = [F.lit("")]
-    rest = SERVER_PAGE
-    marks = {"@": F.col("page_id").cast("string"), "~": F.col("html"), "!!": F.col("url")}
-    while rest:
-        at, mark = min(((rest.find(m), m) for m in marks if m in rest), default=(-1, ""))
-        if at < 0:
-            parts.append(F.lit(rest))
-            break
-        parts += [F.lit(rest[:at]), marks[mark]]
-        rest = rest[at + len(mark):]
-    return pages.select(F.col("page_id").alias("doc_id"), F.concat(*parts).alias("text"))
+    values = {"{id}": F.col("page_id").cast("string"), "{html}": F.col("html"), "{url}": F.col("url")}
+    parts = [values.get(p, F.lit(p)) for p in re.split(r"(\{(?:id|html|url)\})", SERVER_PAGE)]
+    return read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat(*parts).alias("text"))
 
 
 def tag_tokens(spark, sf):
@@ -240,7 +233,13 @@ _EL = _rows(
 
 ORACLES = {
     "tag_tokens": f"""
-        WITH {_TOKENS} SELECT doc_id, pos, CAST(1 AS INTEGER) AS line, name, tag FROM tags""",
+        WITH {_TOKENS},
+        between AS (SELECT page_id AS doc_id, unnest(regexp_split_to_array(html, '{_PIECE}')) AS t,
+            generate_subscripts(regexp_split_to_array(html, '{_PIECE}'), 1) - 1 AS pos FROM pages),
+        breaks AS (SELECT doc_id, pos, length(t) - length(replace(t, chr(10), '')) AS n FROM between
+            UNION ALL SELECT doc_id, pos + 1, length(raw) - length(replace(raw, chr(10), '')) FROM toks),
+        starts AS (SELECT DISTINCT doc_id, pos, 1 + sum(n) OVER (PARTITION BY doc_id ORDER BY pos RANGE UNBOUNDED PRECEDING) AS line FROM breaks)
+        SELECT doc_id, pos, CAST(line AS INTEGER) AS line, name, tag FROM tags JOIN starts USING (doc_id, pos)""",
     "tag_counts": f"WITH {_TOKENS} SELECT name, count(*) AS n_tags FROM tags GROUP BY name",
     "attr_counts": f"WITH {_ATTRS} SELECT name, attr, count(*) AS n_attrs, count(DISTINCT value) AS n_values FROM named GROUP BY ALL",
     "tag_family": f"""

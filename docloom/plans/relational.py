@@ -113,7 +113,7 @@ def name_pattern(spark, sf):
 
 
 def exclude_list(spark, sf):
-    part = read_table(spark, sf, "part").withColumn("visible", F.col("p_retailprice") > 1000)
+    part = read_table(spark, sf, "part").withColumn("visible", F.col("p_size") > 10)
     return tables.without_names(part, "p_brand", EXCLUDED_BRANDS, "visible").select("p_partkey", "p_brand")
 
 
@@ -139,12 +139,12 @@ def not_processed(spark, sf):
 
 
 def ref_semi(spark, sf):
-    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return read_table(spark, sf, "part").join(used, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
 def ref_anti(spark, sf):
-    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return read_table(spark, sf, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
@@ -223,7 +223,7 @@ ORACLES = {
     "name_pattern": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(small|red) .*g')",
     "exclude_list": """
         SELECT p_partkey, p_brand FROM part
-        WHERE p_retailprice > 1000 AND p_brand NOT IN ('Brand#1', 'Brand#7', 'Brand#12')""",
+        WHERE p_size > 10 AND p_brand NOT IN ('Brand#1', 'Brand#7', 'Brand#12')""",
     "union_dedupe": """
         SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 'constant' ELSE 'formula' END AS kind, o_orderstatus
         FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT'""",
@@ -232,9 +232,9 @@ ORACLES = {
     "not_processed": """
         SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "ref_semi": """
-        SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""",
+        SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""",
     "ref_anti": """
-        SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""",
+        SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)""",
     "anchor_ids": """
         SELECT p_partkey,
             'msg_' || replace(replace(replace(p_type || ':' || p_name || '.' || p_size, ':', '_'), ' ', '_'), '.', '_') AS anchor,
