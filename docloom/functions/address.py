@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 LETTERS = 7  # seven letters name more than eight billion columns
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def column_letters(n: Column) -> Column:
     """Number to letters (1 is A, 27 is AA). Numbers below 1 give an empty text.
 
     With ``k`` letters to its right, a letter starts at ``1 + 26 + ... + 26**k``; its value repeats
     every ``26**(k+1)`` columns. Each letter is therefore independent of the others.
     """
-    n = n.cast("bigint")
+    return _once(n.cast("bigint"), _letters)
+
+
+def _letters(n: Column) -> Column:
     parts = []
     for k in reversed(range(LETTERS)):
         first = sum(26**j for j in range(k + 1))
@@ -34,8 +42,7 @@ def column_number(letters: Column) -> Column:
 
 def column_offset(base: Column, offset: Column | int) -> Column:
     """Letters of the column ``offset`` steps away; null when that lies left of column A."""
-    target = column_number(base) + F.lit(offset)
-    return F.when(target >= 1, column_letters(target))
+    return _once(column_number(base) + F.lit(offset), lambda target: F.when(target >= 1, _letters(target)))
 
 
 def range_address(cell: Column, rows: Column | int, cols: Column | int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators.rows import explode_rows, inline_rows
 
 # Patterns and names that decide what counts as which kind of markup.
 SERVER_COMMENT = r"(?s)<%--.*?--%>"
@@ -104,7 +105,7 @@ def tokens(docs: DataFrame) -> DataFrame:
             _anchor_element(parts, 2 * k + 1).alias("element"),
         ),
     )
-    exploded = pieces(docs).select("doc_id", F.posexplode(marked).alias("pos", "t")).select("doc_id", "pos", "t.*")
+    exploded = explode_rows(pieces(docs), ["doc_id"], marked, "pos", "t").select("doc_id", "pos", "t.*")
     return _describe(exploded)
 
 
@@ -125,7 +126,7 @@ def tokens_and_text(docs: DataFrame) -> DataFrame:
         )
 
     marked = F.transform(F.concat(F.array(F.lit(0)), lines), entry)
-    exploded = pieces(docs).select("doc_id", F.posexplode(marked).alias("k", "t"))
+    exploded = explode_rows(pieces(docs), ["doc_id"], marked, "k", "t")
     return _describe(exploded.select("doc_id", (F.col("k") - 1).alias("pos"), "t.*"), "after", "parent")
 
 
@@ -226,11 +227,8 @@ def attribute_list(tag: Column) -> Column:
 
 def attributes(docs: DataFrame) -> DataFrame:
     """One row per attribute: doc_id, pos, line, tag name, idx, attribute name and value."""
-    return (
-        tags(docs)
-        .select("doc_id", "pos", "line", "name", F.posexplode(attribute_list(F.col("tag"))).alias("idx", "a"))
-        .select("doc_id", "pos", "line", "name", "idx", F.col("a.name").alias("attr"), F.col("a.value").alias("value"))
-    )
+    found = explode_rows(tags(docs), ["doc_id", "pos", "line", "name"], attribute_list(F.col("tag")), "idx", "a")
+    return found.select("doc_id", "pos", "line", "name", "idx", F.col("a.name").alias("attr"), F.col("a.value").alias("value"))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -335,18 +333,15 @@ def script_bindings(docs: DataFrame) -> DataFrame:
 
 
 def _script_facts(docs: DataFrame, extract) -> DataFrame:
-    return (
-        inline_scripts(docs)
-        .select("doc_id", "pos", F.col("line").alias("__base"), F.posexplode(extract(F.col("body"))).alias("idx", "f"))
-        .select("doc_id", "pos", "idx", (F.col("__base") + F.col("f.offset")).alias("line"), "f.name", "f.raw")
-    )
+    found = explode_rows(inline_scripts(docs), ["doc_id", "pos", "line"], extract(F.col("body")), "idx", "f")
+    return found.select("doc_id", "pos", "idx", (F.col("line") + F.col("f.offset")).alias("line"), "f.name", "f.raw")
 
 
 def calls(docs: DataFrame, pattern: str) -> DataFrame:
     """Calls in inline scripts: ``pattern`` has one group, the name; each name once per script, with its count."""
+    found = F.regexp_extract_all("body", F.lit(pattern), F.lit(1))
     return (
-        inline_scripts(docs)
-        .select("doc_id", "pos", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("name"))
+        explode_rows(inline_scripts(docs), ["doc_id", "pos"], found, "idx", "name")
         .groupBy("doc_id", "pos", "name")
         .agg(F.count("*").alias("n_calls"))
     )
@@ -373,7 +368,7 @@ def links(docs: DataFrame) -> DataFrame:
         field("type"), field("value"), field("name"),
     )
     listed = tags(docs).withColumn("attrs", attribute_list(F.col("tag")))
-    return listed.select("doc_id", "pos", "line", n, F.inline(F.array_compact(found)))
+    return inline_rows(listed, ["doc_id", "pos", "line", "name"], F.array_compact(found))
 
 
 def family(name: Column) -> Column:
@@ -402,9 +397,9 @@ def text_nodes(docs: DataFrame) -> DataFrame:
     )
     el = F.array_join(F.regexp_extract_all("node", F.lit(f"({EL})"), F.lit(1)), " ")
     rest = tx.strip(F.regexp_replace("node", EL, ""))
+    parted = docs.select("doc_id", tx.cut(clean(F.col("text")), PIECE).alias("parts"))
     return (
-        docs.select("doc_id", tx.cut(clean(F.col("text")), PIECE).alias("parts"))
-        .select("doc_id", F.posexplode(between).alias("i", "node"))
+        explode_rows(parted, ["doc_id"], between, "i", "node")
         .where(F.length("node") > 0)
         .select("doc_id", (F.col("i") - 1).alias("pos"), el.alias("el"), tx.shorten(rest, 200).alias("text"))
     )

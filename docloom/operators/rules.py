@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import markup as mk
+from docloom.operators.rows import inline_rows
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         .withColumn("attrs", F.coalesce(mk.attribute_list(t), F.array().cast("array<struct<name:string,value:string,bare:boolean>>")))
         .withColumn("known", known)
     )
-    return rows.select("doc_id", "pos", F.inline(everything))
+    return inline_rows(rows, ["doc_id", "pos"], everything)
 
 
 def hits(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators.asof import asof_backward
+from docloom.operators.rows import explode_rows
 
 # Term tables up to this size become literals of the plan; larger ones go through the gram join.
 LITERAL_TERMS = 500
 LITERAL_CHARS = 100_000
-GRAM = 6
+GRAMS = (32, 16, 8, 4, 2, 1)  # block lengths, longest first
 
 
 def line_pages(documents: DataFrame) -> DataFrame:
     """Treat each line of a document as a page, numbered from 1."""
-    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(
+    return explode_rows(documents.select("doc_id", "text"), ["doc_id"], F.split("text", "\n"), "pos", "text").select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("page_no"), "text"
     )
 
@@ -76,34 +77,38 @@ def find_terms(pages: DataFrame, terms: Sequence[str] | DataFrame, ignore_case:
             lambda page: F.filter(wanted, lambda w: F.contains(page, w["folded"])),
         )
     )
-    return (
-        pages.select("*", F.explode(found).alias("__hit"))
-        .select(*pages.columns, "__hit.seq", "__hit.term")
-    )
+    return explode_rows(pages, pages.columns, found, "__pos", "__hit").select(*pages.columns, "__hit.seq", "__hit.term")
 
 
 def find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Search with a term table of any size.
 
-    A page that holds a term holds the first ``GRAM`` characters of it (all of it, if it is shorter). Pages
-    are therefore joined with terms on that leading gram and the pairs are then checked in full. Only page
-    ids travel with the grams; the page text joins once, for pages that have candidates.
+    A page is cut into blocks of ``g`` characters. A term of at least ``2g - 1`` characters covers a whole
+    block wherever it lies, and that block is one of the ``g`` first grams of the term. So pages and terms
+    join on grams, and the pairs are then checked in full. Each term uses the longest block it can, and
+    pages are cut only for the block lengths in use. Page ids travel with the blocks, not the text; the
+    text joins once, for pages that have candidates.
     """
     fold = F.lower if ignore_case else (lambda c: c)
-    listed = terms.where(F.length("term") > 0).select(
-        F.col("seq").cast("int").alias("seq"), "term", fold(F.col("term")).alias("folded")
-    ).withColumn("gram", F.substring("folded", 1, GRAM))
+    size = F.coalesce(*[F.when(F.length("folded") >= 2 * g - 1, F.lit(g)) for g in GRAMS])
+    listed = (
+        terms.where(F.length("term") > 0)
+        .select(F.col("seq").cast("int").alias("seq"), "term", fold(F.col("term")).alias("folded"))
+        .withColumn("size", size)
+    )
+    # At most one row per block length.
+    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
+    if not sizes:
+        return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.substr(F.col("folded"), i, F.col("size"))))
+    wanted = listed.select("seq", "term", "folded", F.explode(grams).alias("gram"))
 
-    # Only the gram lengths that occur: at most GRAM rows.
-    sizes = [r[0] for r in listed.select(F.length("gram")).distinct().collect()]
     body = fold(tx.one_line(F.col("text")))
-    windows = [F.regexp_extract_all(F.col("body"), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(sizes)]
-    if not windows:
-        return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))
-    grams = pages.select("doc_id", "page_no", body.alias("body")).select(
-        "doc_id", "page_no", F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("gram")
+    blocks = F.flatten(F.array(*[F.regexp_extract_all("body", F.lit(f"(?s).{{{g}}}"), F.lit(0)) for g in sizes]))
+    cut = explode_rows(
+        pages.select("doc_id", "page_no", body.alias("body")), ["doc_id", "page_no"], F.array_distinct(blocks), "__pos", "gram"
     )
-    candidates = grams.join(listed, "gram").select("doc_id", "page_no", "seq", "term", "folded")
+    candidates = cut.join(wanted, "gram").select("doc_id", "page_no", "seq", "term", "folded").distinct()
     return (
         pages.join(candidates, ["doc_id", "page_no"])
         .where(F.contains(fold(tx.one_line(F.col("text"))), F.col("folded")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import grid
 from docloom.operators.grid import Area
+from docloom.operators.rows import explode_rows, spread
 from docloom.sources import sheets
 from docloom.sources.tables import read_table
 
@@ -13,8 +14,8 @@ BOX = Area(top=2, left=2, bottom=3, right=3)
 
 
 def _cells(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    rows = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    rows = explode_rows(docs, ["doc_id", "lang"], F.split("text", "\n"), "pos", "line").select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("row_no"), "line", F.length("line").alias("size"),
         F.substring_index("line", " ", 1).alias("word"), "lang",
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import markup as mk
 from docloom.operators import rules as ru
+from docloom.operators.rows import explode_rows, spread
 from docloom.operators.rules import Rule
 from docloom.sources.tables import read_table
 
@@ -24,7 +25,7 @@ PAGE_RULES = (
 
 
 def _pages(spark, sf):
-    return read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return spread(read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 # Server page around a web page. "{id}", "{html}" and "{url}" stand for the columns of the page.
@@ -43,7 +44,8 @@ SERVER_PAGE = (
 def _server_pages(spark, sf):
     values = {"{id}": F.col("page_id").cast("string"), "{html}": F.col("html"), "{url}": F.col("url")}
     parts = [values.get(p, F.lit(p)) for p in re.split(r"(\{(?:id|html|url)\})", SERVER_PAGE)]
-    return read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat(*parts).alias("text"))
+    pages = spread(read_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat(*parts).alias("text"))
 
 
 def tag_tokens(spark, sf):
@@ -92,7 +94,7 @@ def tag_snippets(spark, sf):
 
 
 def snippets(spark, sf):
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id", tx.snippet(F.col("text")).alias("snippet"), tx.shorten(tx.squeeze(F.col("text")), 200).alias("short_text")
     )
@@ -100,9 +102,9 @@ def snippets(spark, sf):
 
 def line_numbers(spark, sf):
     """Line of every occurrence of a term in whole documents."""
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     lines = tx.match_lines(tx.cut(F.col("text"), "license|that of"))
-    return docs.select("doc_id", F.posexplode(lines).alias("pos", "line"))
+    return explode_rows(docs, ["doc_id"], lines, "pos", "line")
 
 
 def js_functions(spark, sf):

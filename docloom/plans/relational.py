@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import logs as lg
 from docloom.functions import text as tx
 from docloom.operators import ingest, quality, tables
+from docloom.operators.rows import spread
 from docloom.sources.sinks import record_json
 from docloom.sources.tables import read_table
 
@@ -164,7 +165,7 @@ def as_of_filter(spark, sf):
 
 def display_width(spark, sf):
     """Width of each text, and its part of the widest text per language (reports align on the maximum)."""
-    docs = read_table(spark, sf, "documents")
+    docs = spread(read_table(spark, sf, "documents").select("lang", "source", "text"))
     return docs.groupBy("lang").agg(
         F.max(tx.display_width(F.col("text"))).cast("bigint").alias("max_width"),
         F.sum(tx.display_width(F.col("text"))).cast("bigint").alias("sum_width"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import search as se
 from docloom.operators.asof import HOUR, asof_backward
+from docloom.operators.rows import spread
 from docloom.sources.tables import read_table
 
 # One term is listed twice: a term list is a bag.
@@ -14,8 +15,12 @@ TERMS = ["that of", "license", "the and", "that of"]
 SHORT = 30
 
 
+def _documents(spark, sf):
+    return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _lines(spark, sf):
-    return se.line_pages(read_table(spark, sf, "documents"))
+    return se.line_pages(_documents(spark, sf))
 
 
 def _outline(pages):
@@ -42,7 +47,7 @@ def search_docs(spark, sf):
 
 def search_context(spark, sf):
     """Whole documents as pages, so a term may also lie across a line break."""
-    pages = read_table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
+    pages = _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), "text")
     return se.find_terms(pages, TERMS[:3]).select(
         "doc_id", "term", tx.matching_lines(F.col("text"), F.col("term")).alias("context")
     )
@@ -56,7 +61,7 @@ def search_term_table(spark, sf):
         .select((F.col("item_id") * 1000 + F.col("pos")).cast("int").alias("seq"), tx.strip(F.col("line")).alias("term"))
         .where(F.length("term") > 0)
     )
-    pages = read_table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
+    pages = _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), "text")
     return se.find_by_gram(pages, terms).select("doc_id", "seq", "term")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import services as sv
+from docloom.operators.rows import spread
 from docloom.sources.tables import read_table
 
 # "{w}" is the prefix of service elements, "{s}" that of SOAP elements, "{decl}" the declaration of the former.
@@ -55,6 +56,7 @@ def _template(style: tuple[str, str, str], columns: dict):
 
 def _descriptions(spark, sf):
     customer, nation, region = (read_table(spark, sf, t) for t in ("customer", "nation", "region"))
+    customer = spread(customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     columns = {
         "k": F.col("c_custkey").cast("string"), "name": F.col("c_name"), "nation": F.col("n_name"), "region": F.col("r_name"),
