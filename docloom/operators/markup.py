@@ -309,13 +309,15 @@ def _matches(body: Column, pattern: str) -> Column:
 
 
 def _first_by_name(found: Column) -> Column:
-    """Keep the first entry of each name, in order."""
-    return F.flatten(
-        F.transform(
-            F.array(F.transform(found, lambda x: x["name"])),
-            lambda names: F.filter(found, lambda x, i: F.array_position(names, x["name"]) == i + 1),
+    """Keep the first entry of each name, in order. The one-element arrays bind entries and names once."""
+
+    def firsts(entries: Column) -> Column:
+        names = F.array(F.transform(entries, lambda x: x["name"]))
+        return F.flatten(
+            F.transform(names, lambda n: F.filter(entries, lambda x, i: F.array_position(n, x["name"]) == i + 1))
         )
-    )
+
+    return F.flatten(F.transform(F.array(found), firsts))
 
 
 def inline_scripts(docs: DataFrame) -> DataFrame:

@@ -58,65 +58,68 @@ def rule_index(rules: Sequence[Rule], target: Column, kind: Column, value: Colum
     return F.coalesce(*[F.when(fits(r), F.lit(i)) for i, r in enumerate(rules)], F.lit(None).cast("int"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+# What a rule can be tested against.
+TARGETS = (
+    "html_tag", "html_attr_name", "html_attr_value", "el_expression", "inline_event", "js_function", "js_event", "jsp-logic",
+)
+_CANDIDATE = "phase int, idx int, target string, kind string, value string, raw string, line int, line_count int"
+
+
+def candidates(docs: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
     """Everything rules are tested against, in traversal order (doc_id, pos, phase, idx).
 
     Per tag: its name, each attribute name and value, EL and events in attributes, then functions and
-    bindings of inline scripts; besides tags, embedded logic and EL in text.
+    bindings of inline scripts; besides tags, embedded logic and EL in text. Only what ``targets`` name is
+    looked for: without rules on attributes, no attribute is parsed.
     """
-    t, n = F.col("tag"), F.col("name")
-    attrs = F.col("attrs")
+    t, n, line, zero = F.col("tag"), F.col("name"), F.col("line"), F.lit(0)
+    attrs, known = F.col("attrs"), F.col("known")
+    none = F.array().cast(f"array<struct<{_CANDIDATE}>>")
+    asks = set(targets).__contains__
 
-    def candidate(phase: int, idx: Column, target: str, value: Column, raw: Column, line: Column, kind=None, line_count=None) -> Column:
+    def candidate(phase: int, idx: Column, target: str, value: Column, raw: Column, at: Column, kind=None, line_count=None) -> Column:
         return F.struct(
             F.lit(phase).alias("phase"), idx.cast("int").alias("idx"), F.lit(target).alias("target"),
             (F.lit("") if kind is None else kind).alias("kind"), value.alias("value"), raw.alias("raw"),
-            line.cast("int").alias("line"), (F.lit(None) if line_count is None else line_count).cast("int").alias("line_count"),
+            at.cast("int").alias("line"), (F.lit(None) if line_count is None else line_count).cast("int").alias("line_count"),
         )
 
-    line = F.col("line")
     shown = mk.tag_snippet(n, t, F.col("element"))
     has_el = lambda a: F.contains(a["value"], F.lit("${"))
-    known = (
-        F.when(n.startswith("form:"), F.array(*[F.lit(k) for k in mk.FORM_ATTRIBUTES]))
-        .when(n.startswith("c:") | n.startswith("fmt:"), F.array(*[F.lit(k) for k in mk.CONTROL_ATTRIBUTES]))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    names = F.transform(attrs, lambda a, i: candidate(1, 2 * i, "html_attr_name", a["name"], shown, line))
-    values = F.transform(attrs, lambda a, i: candidate(1, 2 * i + 1, "html_attr_value", a["value"], shown, line))
-    known_el = F.transform(
-        F.filter(attrs, lambda a: F.array_contains(F.col("known"), a["name"]) & has_el(a)),
-        lambda a: candidate(2, F.array_position(F.col("known"), a["name"]), "el_expression", a["value"], shown, line),
-    )
-    is_event = lambda a: a["name"].startswith("on")
-    others = F.transform(
-        F.filter(attrs, lambda a: ~F.array_contains(F.col("known"), a["name"])),
-        lambda a, i: F.when(
-            is_event(a),
-            candidate(3, i, "inline_event", F.concat(a["name"], F.lit("='"), a["value"], F.lit("'")), shown, line),
-        ).when(has_el(a), candidate(3, i, "el_expression", a["value"], shown, line)),
-    )
+
+    def other_attribute(a: Column, i: Column) -> Column:
+        event = candidate(3, i, "inline_event", F.concat(a["name"], F.lit("='"), a["value"], F.lit("'")), shown, line)
+        el = candidate(3, i, "el_expression", a["value"], shown, line)
+        found = F.when(a["name"].startswith("on"), event if asks("inline_event") else F.lit(None))
+        return found.when(has_el(a), el) if asks("el_expression") else found
+
+    of_tag = []
+    if asks("html_tag"):
+        of_tag.append(F.array(candidate(0, zero, "html_tag", n, shown, line)))
+    if asks("html_attr_name"):
+        of_tag.append(F.transform(attrs, lambda a, i: candidate(1, 2 * i, "html_attr_name", a["name"], shown, line)))
+    if asks("html_attr_value"):
+        of_tag.append(F.transform(attrs, lambda a, i: candidate(1, 2 * i + 1, "html_attr_value", a["value"], shown, line)))
+    if asks("el_expression"):
+        of_tag.append(
+            F.transform(
+                F.filter(attrs, lambda a: F.array_contains(known, a["name"]) & has_el(a)),
+                lambda a: candidate(2, F.array_position(known, a["name"]), "el_expression", a["value"], shown, line),
+            )
+        )
+    if asks("el_expression") or asks("inline_event"):
+        others = F.filter(attrs, lambda a: ~F.array_contains(known, a["name"]))
+        of_tag.append(F.array_compact(F.transform(others, other_attribute)))
     is_inline = (n == "script") & (F.coalesce(mk.attribute(attrs, "src"), F.lit("")) == "")
-    functions = F.transform(
-        mk.functions_in(F.col("body")),
-        lambda f, i: candidate(4, i, "js_function", f["name"], f["raw"], line + f["offset"]),
-    )
-    bindings = F.transform(
-        mk.bindings_in(F.col("body")),
-        lambda f, i: candidate(5, i, "js_event", f["name"], f["raw"], line + f["offset"]),
-    )
-    none = F.slice(names, F.lit(1), F.lit(0))
-    of_tag = F.concat(
-        F.array(candidate(0, F.lit(0), "html_tag", n, shown, line)), names, values, known_el,
-        F.array_compact(others), F.when(is_inline, functions).otherwise(none), F.when(is_inline, bindings).otherwise(none),
-    )
-    zero = F.lit(0)
-    logic_kind = (
-        F.when(F.col("raw").startswith("<%="), "expression").when(F.col("raw").startswith("<%!"), "declaration").otherwise("scriptlet")
-    )
-    of_logic = F.array(
-        candidate(0, zero, "jsp-logic", F.lit(""), F.col("raw"), line, kind=logic_kind, line_count=tx.newlines(F.col("body")) + 1)
-    )
+    def script_facts(phase: int, target: str, found: Column) -> Column:
+        facts = F.transform(found, lambda f, i: candidate(phase, i, target, f["name"], f["raw"], line + f["offset"]))
+        return F.when(is_inline, facts).otherwise(none)
+
+    if asks("js_function"):
+        of_tag.append(script_facts(4, "js_function", mk.functions_in(F.col("body"))))
+    if asks("js_event"):
+        of_tag.append(script_facts(5, "js_event", mk.bindings_in(F.col("body"))))
+
     def of_text(text: Column, phase: int, raw: Column, at: Column) -> Column:
         """EL of one text node, its expressions joined by blanks and tested as one value."""
         found = F.array_join(F.regexp_extract_all(text, F.lit(f"({mk.EL})"), F.lit(1)), " ")
@@ -127,25 +130,42 @@ def candidates(docs: DataFrame) -> DataFrame:
         ).otherwise(none)
 
     parent_raw, parent_line = F.col("parent.raw"), F.col("parent.line")
-    everything = F.concat(
-        F.when(F.col("type") == "open", F.concat(of_tag, of_text(F.col("body"), 6, t, line)))
-        .when(F.col("type") == "logic", of_logic)
-        .when(F.col("type") == "comment", of_text(F.col("raw"), 6, parent_raw, parent_line))
-        .otherwise(none),
-        of_text(F.col("after"), 7, parent_raw, parent_line),
+    texts = asks("el_expression")
+    if texts:
+        of_tag.append(of_text(F.col("body"), 6, t, line))
+    found = F.when(F.col("type") == "open", F.concat(none, *of_tag))
+    if asks("jsp-logic"):
+        logic_kind = (
+            F.when(F.col("raw").startswith("<%="), "expression")
+            .when(F.col("raw").startswith("<%!"), "declaration")
+            .otherwise("scriptlet")
+        )
+        lines = tx.newlines(F.col("body")) + 1
+        logic = candidate(0, zero, "jsp-logic", F.lit(""), F.col("raw"), line, kind=logic_kind, line_count=lines)
+        found = found.when(F.col("type") == "logic", F.array(logic))
+    if texts:
+        found = found.when(F.col("type") == "comment", of_text(F.col("raw"), 6, parent_raw, parent_line))
+    found = found.otherwise(none)
+    everything = F.concat(found, of_text(F.col("after"), 7, parent_raw, parent_line)) if texts else found
+
+    no_attributes = F.array().cast("array<struct<name:string,value:string,bare:boolean>>")
+    known_names = (
+        F.when(n.startswith("form:"), F.array(*[F.lit(k) for k in mk.FORM_ATTRIBUTES]))
+        .when(n.startswith("c:") | n.startswith("fmt:"), F.array(*[F.lit(k) for k in mk.CONTROL_ATTRIBUTES]))
+        .otherwise(F.array().cast("array<string>"))
     )
+    source = mk.tokens_and_text(docs) if texts else mk.tokens(docs)
     rows = (
-        mk.tokens_and_text(docs)
-        .withColumnRenamed("kind", "type")
-        .withColumn("attrs", F.coalesce(mk.attribute_list(t), F.array().cast("array<struct<name:string,value:string,bare:boolean>>")))
-        .withColumn("known", known)
+        source.withColumnRenamed("kind", "type")
+        .withColumn("attrs", F.when(F.col("type") == "open", mk.attribute_list(t)).otherwise(no_attributes))
+        .withColumn("known", known_names)
     )
     return inline_rows(rows, ["doc_id", "pos"], everything)
 
 
 def hits(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Rule hits with everything the reports show. No shuffle: one pass over the documents."""
-    found = candidates(docs).withColumn("rule_no", rule_index(rules, F.col("target"), F.col("kind"), F.col("value")))
+    found = candidates(docs, {r.target for r in rules}).withColumn("rule_no", rule_index(rules, F.col("target"), F.col("kind"), F.col("value")))
     shown = tx.snippet(F.when(F.length("kind") > 0, F.col("kind")).otherwise(F.col("value")))
     picked = F.element_at(rule_literals(rules), F.col("rule_no") + 1)
     return found.where(F.col("rule_no").isNotNull()).select(

@@ -19,6 +19,7 @@ from docloom.operators.rows import explode_rows
 LITERAL_TERMS = 500
 LITERAL_CHARS = 100_000
 GRAMS = (32, 16, 8, 4, 2, 1)  # block lengths, longest first
+SHORT = 15  # shorter terms need blocks below eight characters; if they are few, they become literals
 
 
 def line_pages(documents: DataFrame) -> DataFrame:
@@ -37,15 +38,22 @@ def term_table(inline: Sequence[str], from_file: DataFrame | None = None) -> Seq
     return first.unionByName(rest)
 
 
+def _few(terms: DataFrame) -> DataFrame | None:
+    """The terms, if they are few enough to become literals and not none at all."""
+    size = terms.agg(F.count("*").alias("n"), F.sum(F.length("term")).alias("chars")).first()
+    small = 0 < size["n"] <= LITERAL_TERMS and size["chars"] <= LITERAL_CHARS
+    return terms if small else None
+
+
 def _literals(terms: Sequence[str] | DataFrame) -> list[tuple[int, str]] | None:
     """Terms as a Python list if they are few, else None. The size is checked before any row is fetched."""
     if not isinstance(terms, DataFrame):
         found = [(i, t.strip()) for i, t in enumerate(terms) if t.strip()]
     else:
-        size = terms.agg(F.count("*").alias("n"), F.sum(F.length("term")).alias("chars")).first()
-        if size["n"] > LITERAL_TERMS or (size["chars"] or 0) > LITERAL_CHARS:
+        few = _few(terms)
+        if few is None:
             return None
-        found = [(r["seq"], r["term"]) for r in terms.orderBy("seq").collect()]
+        found = [(r["seq"], r["term"]) for r in few.select("seq", "term").orderBy("seq").collect()]
     if len(found) > LITERAL_TERMS or sum(len(t) for _, t in found) > LITERAL_CHARS:
         raise ValueError("long term lists must be given as a DataFrame (seq, term)")
     return found
@@ -96,6 +104,10 @@ def find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool = False)
         .select(F.col("seq").cast("int").alias("seq"), "term", fold(F.col("term")).alias("folded"))
         .withColumn("size", size)
     )
+    few = _few(listed.where(F.length("folded") < SHORT))
+    if few is not None:
+        rest = find_by_gram(pages, terms.where(F.length(fold(F.col("term"))) >= SHORT), ignore_case)
+        return find_terms(pages, few, ignore_case).unionByName(rest)
     # At most one row per block length.
     sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
     if not sizes:
