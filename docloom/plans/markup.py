@@ -132,7 +132,7 @@ def script_bindings(spark, sf):
 
 
 def el_expressions(spark, sf):
-    found = ru.candidates(_server_pages(spark, sf)).where("target = 'el_expression'")
+    found = ru.candidates(_server_pages(spark, sf), ["el_expression"])
     return found.select("doc_id", "line", "phase", F.col("value").alias("el"), "raw")
 
 
