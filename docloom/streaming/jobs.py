@@ -23,10 +23,11 @@ def hit_stream(
 ) -> DataFrame:
     """Rule hits of source files as they arrive; a file is one document, named by its path."""
     files = (
-        spark.readStream.option("wholetext", True).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_trigger).text(folder)
+        spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger)
+        .text(folder, wholetext=True)
     )
-    docs = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    docs = files.select(F.col("_metadata.file_path").alias("doc_id"), text.alias("text"))
     return rules.hits(docs, found)
 
 
