@@ -19,7 +19,7 @@ from docloom.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "scan_project", "fk_join", "upsert", "delete_first", "dq_duplicates", "dq_orphans", "union_dedupe",
-    "search_hits", "search_hits_ci", "search_docs", "search_context", "search_term_table", "asof_heading", "asof_events",
+    "search_sections", "search_hits", "search_hits_ci", "search_docs", "search_context", "search_term_table", "asof_heading", "asof_events",
     "tag_counts", "attr_counts", "tag_depth", "text_nodes", "link_facts", "rule_hits", "rule_hits_default", "rule_summary",
     "rule_pivot", "top_files", "js_functions", "line_numbers", "wsdl_ports", "wsdl_operations", "wsdl_fields",
     "wsdl_catalogue", "group_records", "kind_rollup", "render_group", "log_levels", "log_expectations", "latest_n",

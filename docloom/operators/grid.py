@@ -11,6 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.address import rescaled_size
+from docloom.functions.text import name_matches
+from docloom.operators.rows import join_one_per_key
+
 ROW, COL = "row_no", "col_no"
 
 
@@ -162,7 +166,7 @@ def section(cells: DataFrame, col: int, start: str, end: str, first: int = 1, la
         .where(F.col("__from").isNotNull() & F.col("__to").isNotNull())
     )
     return (
-        cells.join(marks, "sheet")
+        join_one_per_key(cells, marks, ["sheet"], salt=F.col(ROW))
         .where((F.col(ROW) >= F.col("__from")) & (F.col(ROW) < F.col("__to")))
         .select(*cells.columns)
     )
@@ -170,8 +174,6 @@ def section(cells: DataFrame, col: int, start: str, end: str, first: int = 1, la
 
 def sheets_like(cells: DataFrame, pattern: str) -> DataFrame:
     """Cells of the sheets whose name matches from its start."""
-    from docloom.functions.text import name_matches
-
     return cells.where(name_matches(F.col("sheet"), pattern))
 
 
@@ -180,8 +182,6 @@ def rescale_fonts(cells: DataFrame, target_font: str) -> DataFrame:
 
     ``changed`` marks the cells that were touched.
     """
-    from docloom.functions.address import rescaled_size
-
     differs = ~F.col("font_name").eqNullSafe(F.lit(target_font))
     return cells.select(
         *[c for c in cells.columns if c not in ("font_name", "font_size")],

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 10_000
+from docloom.functions.text import function_name, prefixed_value
+
+CHUNK = 1_000
 
 
 def chunk_of(position: Column, size: int = CHUNK) -> Column:
@@ -79,8 +81,6 @@ def spec_lines(steps: DataFrame, key: str, position: str, kind: str, content: st
     Single steps (overview, viewpoint, precondition, request, response) show their last value; SQL steps
     show all of theirs in order. An item without any step still gets its heading and a remark.
     """
-    from docloom.functions.text import function_name, prefixed_value
-
     single = {"overview": OVERVIEW, "viewpoint": VIEWPOINT, "precondition": PRECONDITION, "request": REQUEST, "response": RESPONSE}
     many = {"n_setup": SETUP_SQL, "n_check": CHECK_SQL}
     rolled = last_by_kind(steps, steps, key, position, kind, content, single, many)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -86,14 +86,14 @@ def preview(df: DataFrame, position: Sequence[str], n: int = 5) -> DataFrame:
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int = 1000, spread: int = 64) -> DataFrame:
     """The newest ``n`` rows per source.
 
-    Two passes: each of ``spread`` slices of a source keeps its own newest ``n``, then the slices meet.
-    The last step sees at most ``n * spread`` rows of any source, however large the source is.
+    Two passes. Input splits are dealt to ``spread`` slices; each split keeps its newest ``n`` rows of a
+    source before anything is shuffled, each slice then keeps its newest ``n``, and at last the slices
+    meet. So the final step sees at most ``n * spread`` rows of any source, however large the source is.
+    The result does not depend on how rows are sliced.
     """
-    from pyspark.sql import Window
-
     newest = [F.col(c).desc() for c in order]
-    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(spread)))
     first = F.row_number().over(Window.partitionBy(*by, "__slice").orderBy(*newest))
     final = F.row_number().over(Window.partitionBy(*by).orderBy(*newest))
+    sliced = df.withColumn("__slice", F.spark_partition_id() % spread)
     kept = sliced.withColumn("__rank", first).where(F.col("__rank") <= n).drop("__rank", "__slice")
     return kept.withColumn("__rank", final).where(F.col("__rank") <= n).drop("__rank")

@@ -29,6 +29,33 @@ def line_pages(documents: DataFrame) -> DataFrame:
     )
 
 
+def headed_line_pages(documents: DataFrame, heading: str) -> DataFrame:
+    """Lines of documents as pages, each with its nearest heading, where headings are lines of the same text.
+
+    ``heading`` is a pattern for whole heading lines. The text is cut at its headings and the sections are
+    exploded, so the heading needs no lookup: one scan, no shuffle.
+    """
+    parts, n = F.col("parts"), F.size("starts")
+
+    def section(k: Column) -> Column:
+        own = F.concat(F.when(k > 0, F.element_at(parts, 2 * k)).otherwise(""), F.element_at(parts, 2 * k + 1))
+        inner = F.when(k < n, F.regexp_replace(own, r"\n\z", "")).otherwise(own)
+        return F.struct(
+            F.when(k > 0, F.element_at("starts", F.greatest(k, F.lit(1)))).otherwise(F.lit(1)).alias("start"),
+            F.when(k > 0, F.element_at(parts, 2 * k)).otherwise("").alias("heading"),
+            # The part before the first heading is no page of its own when it is empty.
+            F.when((k > 0) | (n == 0) | (F.length(own) > 0), F.split(inner, "\n")).alias("lines"),
+        )
+
+    pattern = rf"(?<![^\n])(?:{heading})(?![^\n])"
+    cut = documents.select("doc_id", tx.cut(F.col("text"), pattern).alias("parts"))
+    numbered = cut.select("doc_id", "parts", tx.match_lines(parts).alias("starts"))
+    sections = explode_rows(numbered, ["doc_id"], F.transform(F.sequence(F.lit(0), n), section), "__pos", "s")
+    flat = sections.select("doc_id", "s.start", "s.heading", "s.lines")
+    lines = explode_rows(flat, ["doc_id", "start", "heading"], F.col("lines"), "pos", "text")
+    return lines.select("doc_id", (F.col("start") + F.col("pos")).cast("bigint").alias("page_no"), "heading", "text")
+
+
 def term_table(inline: Sequence[str], from_file: DataFrame | None = None) -> Sequence[str] | DataFrame:
     """Inline terms first, then those of the file; repeated terms stay repeated."""
     if from_file is None:

@@ -94,6 +94,12 @@ def without_names(df: DataFrame, column: str, excluded: Sequence[str], visible:
     return kept.where(F.col(visible)) if visible else kept
 
 
+def referenced(df: DataFrame, references: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows that something refers to. References are made distinct first, so a key that a large part of
+    them shares is reduced before it is shuffled."""
+    return df.join(references.select(*key).distinct(), list(key), "left_semi").select(*df.columns)
+
+
 def not_in(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key was not processed before."""
     return df.join(done.select(*key).distinct(), list(key), "left_anti").select(*df.columns)

@@ -139,14 +139,19 @@ def not_processed(spark, sf):
     return tables.not_in(orders, done, ["o_orderkey"])
 
 
+def _part_references(spark, sf):
+    lines = read_table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45")
+    return lines.select(F.col("l_partkey").alias("p_partkey"))
+
+
 def ref_semi(spark, sf):
-    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return read_table(spark, sf, "part").join(used, "p_partkey", "left_semi").select("p_partkey", "p_name")
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    return tables.referenced(part, _part_references(spark, sf), ["p_partkey"])
 
 
 def ref_anti(spark, sf):
-    used = read_table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return read_table(spark, sf, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    return tables.not_in(part, _part_references(spark, sf), ["p_partkey"])
 
 
 def anchor_ids(spark, sf):

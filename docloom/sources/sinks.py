@@ -96,12 +96,18 @@ def write_table_json(df: DataFrame, path: str, key: str) -> None:
 def write_keyed_text(df: DataFrame, path: str, keys: list[str], content: str, order: list[str] | None = None) -> None:
     """Text under one folder per key (``no=1/name=a/``).
 
-    With ``order`` the text is a report of many lines: rows are range-partitioned by key and order, so
-    a report with very many lines is written by several tasks and its parts sort by name.
+    Rows are range-partitioned by key and ``order``: each task writes a run of neighbouring keys, so there
+    are about as many files as keys, and a key with very many rows is written by several tasks whose parts
+    sort by name. Give ``order`` where the text of a key is a report of many lines.
     """
-    if order:
-        df = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    df.select(*keys, F.col(content).cast("string").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+    by = [*keys, *order] if order else [*keys, content]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed.select(*keys, F.col(content).cast("string").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def report_path(rel_path: Column, suffix: str = ".jsp.txt") -> Column:
+    """Where the report of a source file goes: the same place in the output tree, with the suffix replaced."""
+    return F.concat(F.regexp_replace(rel_path, r"\.[^./]*$", ""), F.lit(suffix))
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str, version: str) -> str:

@@ -101,6 +101,8 @@ def test_reports_as_ordered_lines(spark, tmp_path):
     lines = services.catalogue(docs)
     sinks.write_keyed_text(lines, str(tmp_path / "r"), ["doc_id"], "line", order=["line_no"])
     text = "".join(open(p, encoding="utf-8").read() for p in parts(tmp_path / "r/doc_id=d1", ".txt"))
+    where = docs.select(sinks.report_path(F.lit("a.b/x.jsp")).alias("p")).first().p
+    assert where == "a.b/x.jsp.txt"
     assert "ターゲット名前空間: urn:q" in text and text.index("WSDL") < text.index("urn:q") < text.index("🔧")
 
 

@@ -85,3 +85,15 @@ def test_outline_order(spark):
         [("d", 2, 0, "x"), ("d", 1, 1, "y"), ("d", 0, 2, "z"), ("c", 5, 0, "w")], "doc_id string, page_no long, seq int, title string"
     )
     assert [tuple(r) for r in se.outline_list(outline).collect()] == [("c", "w"), ("d", "y"), ("d", "x")]
+
+
+@pytest.mark.parametrize("text", ["", "ab", "ab\n", "\nab\n", "long line one\nab\nlong line two\n\nlong\nab\ncd", "long line\nlong line", "ab\ncd\nlong line here\n\n"])
+def test_headings_in_the_text(spark, text):
+    """Against a plain walk over the lines; lines of at most three characters are headings."""
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    want, last = [], ""
+    for i, line in enumerate(text.split("\n"), start=1):
+        last = line if len(line) <= 3 else last
+        want.append((i, last, line))
+    got = se.headed_line_pages(docs, r"[^\n]{0,3}").orderBy("page_no")
+    assert [(r.page_no, r.heading, r.text) for r in got.collect()] == want
