@@ -388,23 +388,36 @@ def display_name(name: Column) -> Column:
     return tx.relabel(name, CONTROL_TAGS)
 
 
-def text_nodes(docs: DataFrame) -> DataFrame:
-    """Text between markup: doc_id, pos (of the markup before it, -1 at the start), el, text.
+def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
+    """Text of a document: doc_id, pos (of the markup it belongs to, -1 before the first), kind, el, text.
 
-    ``el`` joins the EL expressions by blanks; ``text`` is what remains, cut to 200 characters.
+    kind is ``text`` between markup, or comment, doctype or script for text inside it. ``el`` joins the EL
+    expressions by blanks; ``text`` is what remains, cut to 200 characters. ``static=False`` keeps only
+    nodes with EL and drops their plain text.
     """
-    between = F.transform(
-        F.filter(F.col("parts"), lambda _, i: i % 2 == 0),
-        tx.strip,
-    )
-    el = F.array_join(F.regexp_extract_all("node", F.lit(f"({EL})"), F.lit(1)), " ")
-    rest = tx.strip(F.regexp_replace("node", EL, ""))
+
+    def node(part: Column, i: Column) -> Column:
+        between = i % 2 == 0
+        inner = (
+            F.when(between, part)
+            .when(part.startswith("<!--"), F.regexp_extract(part, r"(?s)^<!--(.*)-->$", 1))
+            .when(part.rlike("(?i)^<!doctype"), F.regexp_extract(part, r"(?is)^<!doctype\s*(.*)>$", 1))
+            .when(part.rlike(r"(?i)</(?:script|style)\s*>$"), F.regexp_extract(part, r"(?is)^<(?:script|style)[^>]*>(.*)</\w+\s*>$", 1))
+            .otherwise("")
+        )
+        kind = (
+            F.when(between, "text").when(part.startswith("<!--"), "comment").when(part.startswith("<!"), "doctype").otherwise("script")
+        )
+        # Text at part i follows markup i / 2 - 1; markup at part i is number (i - 1) / 2.
+        pos = F.floor((i - 1) / F.lit(2)).cast("int")
+        return F.struct(pos.alias("pos"), kind.alias("kind"), tx.strip(inner).alias("node"))
+
     parted = docs.select("doc_id", tx.cut(clean(F.col("text")), PIECE).alias("parts"))
-    return (
-        explode_rows(parted, ["doc_id"], between, "i", "node")
-        .where(F.length("node") > 0)
-        .select("doc_id", (F.col("i") - 1).alias("pos"), el.alias("el"), tx.shorten(rest, 200).alias("text"))
-    )
+    nodes = F.filter(F.transform(F.col("parts"), node), lambda n: F.length(n["node"]) > 0)
+    el = F.array_join(F.regexp_extract_all("node", F.lit(f"({EL})"), F.lit(1)), " ")
+    rest = tx.shorten(tx.strip(F.regexp_replace("node", EL, "")), 200)
+    rows = inline_rows(parted, ["doc_id"], nodes).select("doc_id", "pos", "kind", el.alias("el"), rest.alias("text"))
+    return rows if static else rows.where(F.length("el") > 0).withColumn("text", F.lit(""))
 
 
 def tag_snippet(name: Column, tag: Column, element: Column) -> Column:

@@ -29,7 +29,7 @@ def unique_or_fail(batch: DataFrame, key: Sequence[str]) -> DataFrame:
     Rows shuffle once by key, and the upsert's anti join then needs no further shuffle of them.
     """
     rest = [c for c in batch.columns if c not in key]
-    packed = F.first(F.struct(*rest)).alias("__rest")
+    packed = F.first(F.struct(*(rest or key))).alias("__rest")
     n = F.count("*").alias("__n")
     checked = F.when(
         F.col("__n") > 1, F.raise_error(F.lit("key occurs twice in one batch: " + ", ".join(key)))

@@ -81,7 +81,7 @@ def link_facts(spark, sf):
 
 
 def text_nodes(spark, sf):
-    return mk.text_nodes(_pages(spark, sf)).select("doc_id", "pos", "text")
+    return mk.text_nodes(_pages(spark, sf)).select("doc_id", "pos", "kind", "text")
 
 
 def comment_strip(spark, sf):
@@ -270,9 +270,14 @@ ORACLES = {
         UNION ALL SELECT page_id, 'script', 'inline' FROM pages
         UNION ALL SELECT page_id, 'script', '/s' || page_id || '.js' FROM pages""",
     "text_nodes": f"""
-        WITH p AS (SELECT page_id AS doc_id, regexp_split_to_array(html, '{_PIECE}') AS l FROM pages),
-        n AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 2 AS INTEGER) AS pos, regexp_replace(unnest(l), '^\\s+|\\s+$', '', 'g') AS t FROM p)
-        SELECT doc_id, pos, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS text FROM n WHERE t <> ''""",
+        WITH {_TOKENS}, p AS (SELECT page_id AS doc_id, regexp_split_to_array(html, '{_PIECE}') AS l FROM pages),
+        n AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 2 AS INTEGER) AS pos, 'text' AS kind, unnest(l) AS t FROM p
+            UNION ALL SELECT doc_id, pos, 'comment', raw[5:-4] FROM toks WHERE raw LIKE '<!--%'
+            UNION ALL SELECT doc_id, pos, 'doctype', regexp_replace(raw, '(?i)^<!doctype |>$', '', 'g') FROM toks WHERE raw ILIKE '<!doctype%'
+            UNION ALL SELECT doc_id, pos, 'script', regexp_replace(raw, '(?i)^<[^>]*>|</[a-z]+>$', '', 'g') FROM toks
+                WHERE raw ILIKE '%</script>' OR raw ILIKE '%</style>'),
+        s AS (SELECT doc_id, pos, kind, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM n)
+        SELECT doc_id, pos, kind, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS text FROM s WHERE t <> ''""",
     "comment_strip": "SELECT page_id AS doc_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS text FROM pages",
     "tag_snippets": """
         SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?s)<a [^>]*>.*?</a>')) AS snippet FROM pages""",

@@ -53,20 +53,19 @@ def fk_navigate(spark, sf):
 
 def fk_join(spark, sf):
     """Per customer: orders, lines and their value. Lines are summed per order before they join."""
-    lines = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value")
-    )
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")  # whole cents add up exactly in any order
+    lines = read_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(cents).alias("cents"))
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     per_customer = (
         tables.navigate(orders, lines, "o_orderkey", "l_orderkey")
         .groupBy("o_custkey")
-        .agg(F.count("*").alias("orders"), F.sum("n").alias("lines"), F.sum("value").alias("value"))
+        .agg(F.count("*").alias("orders"), F.sum("n").alias("lines"), F.sum("cents").alias("cents"))
     )
     customer = read_table(spark, sf, "customer").select("c_custkey", "c_name")
     return tables.navigate(customer, per_customer, "c_custkey", "o_custkey").select(
         "c_custkey", "c_name",
         F.coalesce("orders", F.lit(0)).alias("n_orders"), F.coalesce("lines", F.lit(0)).alias("n_lines"),
-        F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"),
+        (F.coalesce("cents", F.lit(0)) / 100.0).alias("value"),
     )
 
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -92,6 +92,9 @@ def test_structure(docs):
     depth = {r.name: r.depth for r in mk.depth(docs).where("doc_id = 1").collect()}
     assert (depth["div"], depth["a"], depth["b"], depth["br"]) == (0, 1, 2, 2)
     assert rows(mk.text_nodes(docs).where("doc_id = 2").select("el", "text"), "el") == [("${q>1}", "plain  text")]
+    kinds = rows(mk.text_nodes(docs).where("doc_id = 1 and kind <> 'text'").select("kind", "el"), "pos")
+    assert kinds == [("script", ""), ("comment", "${cc > 1}")]
+    assert mk.text_nodes(docs, static=False).where("doc_id = 1 and kind = 'text'").count() == 2
     assert rows(mk.links(docs).select("dep_kind", "target"), "doc_id", "pos") == [
         ("link", "javascript:void(0)"), ("script", "inline"), ("link", "x.html"),
     ]
