@@ -28,61 +28,57 @@ def asof_backward(
     payload: Sequence[str],
     tie_break: Sequence[str] = (),
     band: int = 4096,
-    domain: DataFrame | None = None,
 ) -> DataFrame:
     """Give each left row the ``payload`` of the last right row of the same key at or before it.
 
     The order axis is cut into bands of width ``band`` (pages, or microseconds for timestamps). Rows are
     shuffled and sorted by (key, band), so a key that holds a large part of the data is still spread over
-    many tasks. What earlier bands contribute is at most one row per (key, band): the last right row of
-    the nearest earlier band, which joins the band as its first row. Ties on the axis go to the highest
-    ``tie_break``. Left rows without a match get nulls.
+    many tasks. What earlier bands contribute is one row per (key, band): the last right row of the nearest
+    earlier band. Ties on the axis go to the highest ``tie_break``. Left rows without a match get nulls.
 
-    ``domain`` may name a cheaper DataFrame with the ``by`` and ``left_on`` columns that covers the bands
-    of ``left`` (for example the page numbers alone, without the text that ``left`` was searched in).
+    Both inputs are read and shuffled once. The summary of each band is taken from the same shuffle as the
+    lookup itself: it asks for the same columns, so Spark reuses the exchange. Key and band travel as one
+    struct, which is never null; plain key columns would get a not-null filter on the summary side only and
+    the two shuffles would no longer be the same.
     """
-    by = list(by)
-    keyed = [F.col(k) for k in by]
-    value = F.struct(*payload)
 
-    def banded(axis: Column) -> Column:
-        return F.floor(axis / F.lit(band)).cast("bigint")
+    def cell(df: DataFrame, on: str) -> Column:
+        band_no = F.floor(_axis(df, on) / F.lit(band)).cast("bigint")
+        return F.struct(*[F.col(k) for k in by], band_no.alias("__band")).alias("__cell")
 
     rights = right.dropna(subset=[*by, right_on]).select(
-        *keyed,
-        banded(_axis(right, right_on)).alias("__band"),
+        cell(right, right_on),
         _axis(right, right_on).alias("__at"),
         F.struct(*[F.col(c) for c in tie_break]).alias("__tie") if tie_break else F.lit(0).alias("__tie"),
-        value.alias("__value"),
+        F.struct(*payload).alias("__value"),
     )
-    latest = rights.groupBy(*by, "__band").agg(
-        F.max_by("__value", F.struct("__at", "__tie")).alias("__value")
+    lefts = left.select(cell(left, left_on), _axis(left, left_on).alias("__at"), F.struct("*").alias("__row"))
+    is_left = F.col("__row").isNotNull()
+    rows = rights.unionByName(lefts, allowMissingColumns=True).repartition("__cell")
+
+    bands = rows.groupBy("__cell").agg(
+        F.max_by("__value", F.when(~is_left, F.struct("__at", "__tie"))).alias("__latest"),
+        F.count_if(is_left).alias("__asked"),
     )
-    covered = domain if domain is not None else left
-    bands = covered.select(*keyed, banded(_axis(covered, left_on)).alias("__band")).distinct()
-    earlier = W.Window.partitionBy(*by).orderBy("__band").rangeBetween(W.Window.unboundedPreceding, -1)
-    carried = (
-        latest.withColumn("__asked", F.lit(False))
-        .unionByName(bands.withColumn("__asked", F.lit(True)), allowMissingColumns=True)
-        .withColumn("__value", F.last("__value", ignorenulls=True).over(earlier))
-        .where(F.col("__asked") & F.col("__value").isNotNull())
-        .drop("__asked")
+    earlier = (
+        W.Window.partitionBy(*[F.col(f"__cell.{k}") for k in by])
+        .orderBy("__cell.__band")
+        .rowsBetween(W.Window.unboundedPreceding, -1)
     )
-
-    lefts = left.select(
-        *keyed,
-        banded(_axis(left, left_on)).alias("__band"),
-        _axis(left, left_on).alias("__at"),
-        F.struct("*").alias("__row"),
+    carried = (
+        bands.withColumn("__carried", F.last("__latest", ignorenulls=True).over(earlier))
+        .where((F.col("__asked") > 0) & F.col("__carried").isNotNull())
+        .select("__cell", "__carried")
     )
-    rows = rights.unionByName(carried, allowMissingColumns=True).unionByName(lefts, allowMissingColumns=True)
     upto = (
-        W.Window.partitionBy(*by, "__band")
-        .orderBy(F.col("__at").asc_nulls_first(), F.col("__row").isNotNull(), F.col("__tie"))
+        W.Window.partitionBy("__cell")
+        .orderBy(F.col("__at").asc_nulls_first(), is_left, F.col("__tie"))
         .rowsBetween(W.Window.unboundedPreceding, 0)
     )
+    value = F.coalesce(F.last("__value", ignorenulls=True).over(upto), F.col("__carried"))
     return (
-        rows.withColumn("__value", F.last("__value", ignorenulls=True).over(upto))
-        .where(F.col("__row").isNotNull())
+        rows.join(carried, "__cell", "left")
+        .withColumn("__value", value)
+        .where(is_left)
         .select("__row.*", *[F.col(f"__value.{c}").alias(c) for c in payload])
     )

@@ -167,14 +167,14 @@ def search(
         "seq", "term", "doc_id", "page_no",
         tx.matching_lines(F.col("text"), F.col("term"), ignore_case).alias("context"),
     )
-    return with_heading(hits, outline, band, domain=pages.select("doc_id", "page_no"))
+    return with_heading(hits, outline, band)
 
 
-def with_heading(hits: DataFrame, outline: DataFrame, band: int = 4096, domain: DataFrame | None = None) -> DataFrame:
+def with_heading(hits: DataFrame, outline: DataFrame, band: int = 4096) -> DataFrame:
     """Add ``heading``: the last outline entry at or before the page, empty if there is none."""
     found = asof_backward(
         hits, entries(outline), by=["doc_id"], left_on="page_no", right_on="page_no",
-        payload=["title"], tie_break=["seq"], band=band, domain=domain,
+        payload=["title"], tie_break=["seq"], band=band,
     )
     return found.withColumn("heading", F.coalesce("title", F.lit(""))).drop("title")
 
