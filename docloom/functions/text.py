@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import html.entities
 import sys
 import unicodedata
 
@@ -147,6 +148,34 @@ def match_lines(pieces: Column) -> Column:
     )
 
 
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _character(code: Column) -> Column:
+    """The character with a code point; null for numbers that are none."""
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def unescape(c: Column) -> Column:
+    """Character entities to characters, in one pass; unknown names stay as written.
+
+    The names are those of the HTML entity table of the Python library.
+    """
+    named = F.create_map(*[F.lit(x) for name, code in html.entities.name2codepoint.items() for x in (name, chr(code))])
+
+    def decoded(p: Column) -> Column:
+        body = F.regexp_extract(p, "^&#?[xX]?([0-9A-Za-z]+);$", 1)
+        number = F.when(p.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body).try_cast("bigint")
+        found = F.when(p.startswith("&#"), _character(number)).otherwise(
+            F.try_element_at(named, F.regexp_extract(p, "^&([0-9A-Za-z]+);$", 1))
+        )
+        return F.coalesce(found, p)
+
+    joined = F.array_join(F.transform(cut(c, ENTITY), lambda p, i: F.when(i % 2 == 1, decoded(p)).otherwise(p)), "")
+    return F.when(c.rlike(ENTITY), joined).otherwise(c)
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``; unchanged when it lies elsewhere."""
     base = root.rstrip("/") + "/"

@@ -215,7 +215,7 @@ def attribute_list(tag: Column) -> Column:
     def pair(a: Column) -> Column:
         name = F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1))
         value = F.regexp_extract(a, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
-        bare = F.regexp_replace(value, r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2")
+        bare = tx.unescape(F.regexp_replace(value, r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2"))
         listed = F.trim(F.regexp_replace(bare, r"\s+", " "))
         return F.struct(
             name.alias("name"), F.when(name.isin(*LIST_ATTRIBUTES), listed).otherwise(bare).alias("value"),
@@ -399,7 +399,7 @@ def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
     def node(part: Column, i: Column) -> Column:
         between = i % 2 == 0
         inner = (
-            F.when(between, part)
+            F.when(between, tx.unescape(part))
             .when(part.startswith("<!--"), F.regexp_extract(part, r"(?s)^<!--(.*)-->$", 1))
             .when(part.rlike("(?i)^<!doctype"), F.regexp_extract(part, r"(?is)^<!doctype\s*(.*)>$", 1))
             .when(part.rlike(r"(?i)</(?:script|style)\s*>$"), F.regexp_extract(part, r"(?is)^<(?:script|style)[^>]*>(.*)</\w+\s*>$", 1))

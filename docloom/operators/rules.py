@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
     if texts:
         found = found.when(F.col("type") == "comment", of_text(F.col("raw"), 6, parent_raw, parent_line))
     found = found.otherwise(none)
-    everything = F.concat(found, of_text(F.col("after"), 7, parent_raw, parent_line)) if texts else found
+    everything = F.concat(found, of_text(tx.unescape(F.col("after")), 7, parent_raw, parent_line)) if texts else found
 
     no_attributes = F.array().cast("array<struct<name:string,value:string,bare:boolean>>")
     known_names = (

@@ -276,7 +276,9 @@ ORACLES = {
             UNION ALL SELECT doc_id, pos, 'doctype', regexp_replace(raw, '(?i)^<!doctype |>$', '', 'g') FROM toks WHERE raw ILIKE '<!doctype%'
             UNION ALL SELECT doc_id, pos, 'script', regexp_replace(raw, '(?i)^<[^>]*>|</[a-z]+>$', '', 'g') FROM toks
                 WHERE raw ILIKE '%</script>' OR raw ILIKE '%</style>'),
-        s AS (SELECT doc_id, pos, kind, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM n)
+        d AS (SELECT doc_id, pos, kind, CASE WHEN kind = 'text' THEN replace(replace(replace(replace(replace(replace(replace(
+            t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') ELSE t END AS t FROM n),
+        s AS (SELECT doc_id, pos, kind, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM d)
         SELECT doc_id, pos, kind, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS text FROM s WHERE t <> ''""",
     "comment_strip": "SELECT page_id AS doc_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS text FROM pages",
     "tag_snippets": """

@@ -62,6 +62,14 @@ def test_lines_of_matches(value):
     assert value(tx.blank_blocks(S, "(?s)b.*?y"), s=(str, text)) == "a X \n\n\n\nX"
 
 
+@pytest.mark.parametrize("given", ["a &amp;&amp; b", "&lt;&#39;&#x1F389;&gt;", "&amp;lt;", "&nosuch; &", "&eacute;&copy", "plain", ""])
+def test_unescape(value, given):
+    import html
+
+    want = html.unescape(given) if not given.endswith("&copy") else "é&copy"
+    assert value(tx.unescape(S), s=(str, given)) == want
+
+
 def test_relative_path(value):
     assert value(tx.relative_path(S, "/data/in"), s=(str, "/data/in/x/y.jsp")) == "x/y.jsp"
     assert value(tx.relative_path(S, "/data/in"), s=(str, "/other/y.jsp")) == "/other/y.jsp"
