@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A character that is never assigned, used to mark cut points inside one text.
-MARK = "￿"
+MARK = "\uffff"
 
 # The nine characters that a file name may not hold.
 FORBIDDEN_IN_FILE_NAME = r'[\\/:*?"<>|]+'

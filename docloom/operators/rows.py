@@ -22,14 +22,18 @@ def inline_rows(df: DataFrame, keep: Sequence[str], items: Column) -> DataFrame:
     return explode_rows(df, keep, items, "__pos", "__item").select(*keep, "__item.*")
 
 
+SMALL_SPLITS = 32  # at the default split size of 128 MB, 4 GB at most
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that is stored in fewer splits than there are cores.
+    """Use all cores for a small table that is stored in fewer splits than there are cores.
 
-    Only such a small table is shuffled, before costly per-row work; a large one is returned as it is.
-    ``df`` must be a plain scan: the number of its splits is known without running anything.
+    Only a table of at most ``SMALL_SPLITS`` splits is shuffled, before costly per-row work; a larger one is
+    returned as it is. ``df`` must be a plain scan: its splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
 
 
 def join_one_per_key(df: DataFrame, lookup: DataFrame, key: Sequence[str], salt: Column, slices: int = 32) -> DataFrame:

@@ -62,7 +62,7 @@ def test_csv_reports(spark, tmp_path):
     text = open(parts(tmp_path / "quoted", ".csv")[0], encoding="utf-8").read()
     assert text == '"検索文字列","ファイル名","ブックマーク"\n"a","f","say ""x"""\n"b,c","g","two\nlines"\n'
     sinks.write_csv_report(hits.coalesce(1), str(tmp_path / "plain"), {"term": "対象", "context": "行数"}, byte_order_mark=True)
-    assert open(parts(tmp_path / "plain", ".csv")[0], "rb").read() == "﻿対象,行数\na,\n\"b,c\",\n".encode()
+    assert open(parts(tmp_path / "plain", ".csv")[0], "rb").read() == "\ufeff対象,行数\na,\n\"b,c\",\n".encode()
     sinks.write_csv_report(hits.coalesce(1), str(tmp_path / "sj"), {"term": "対象"}, encoding="windows-31j")
     assert open(parts(tmp_path / "sj", ".csv")[0], "rb").read().startswith("対象".encode("cp932"))
     back = sheets.read_csv_sheet(spark, str(tmp_path / "quoted"))

@@ -189,3 +189,15 @@ def test_pending(spark):
 def test_tally(spark):
     jobs = spark.createDataFrame([("done",), ("skipped",), ("failed",), ("done",)], "status string")
     assert tuple(ingest.tally(jobs).first()) == (4, 3, 1, 1) and ingest.failures(jobs).count() == 1
+
+
+def test_spread_moves_small_scans_only(spark):
+    from docloom.operators.rows import join_one_per_key, spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 100, 1, cores + 5)).rdd.getNumPartitions() == cores + 5
+    facts = spark.range(0, 1000).select(F.lit("hot").alias("k"), "id").unionByName(spark.range(5).select(F.lit("cold").alias("k"), "id"))
+    one = spark.createDataFrame([("hot", 1), ("none", 2)], "k string, v int")
+    got = join_one_per_key(facts, one, ["k"], salt=F.col("id"))
+    assert got.count() == 1000 and got.columns == ["k", "id", "v"]
