@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import keep_columns, salted_lookup
+from docloom.llm.store import keep_columns, salted_lookup, staged
 
 LEAST_WORDS = 5  # one edited word of at least five leaves a similarity of 0.8 or more
 BREAK = r"\n(?=[ \t\r]*[^ \t\r\n])"
+SPREAD_ROWS = 500_000  # a list of keys is sent to all executors up to this length and shuffled beyond it
 
 
 def _words(piece: Column) -> Column:
     return F.filter(F.split(piece, r"[ \t\r\n]+"), lambda w: w != "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _halves(words: Column) -> Column:
     """Keys that two lines within one edit must share: the edit lies in the first or in the second half, so the other
     half is untouched. The halves are those of the shorter line; a line is asked as the shorter and as the longer one."""
     n = F.size(words)
 
-    def keys(base: Column) -> Column:
+    def keys(base: Column) -> list[Column]:
         head = F.floor(base / 2).cast("int")
         tail = base - head
-        pair = F.array(
-            F.xxhash64(F.lit(0), base, F.slice(words, F.lit(1), head)),
-            F.xxhash64(F.lit(1), base, F.slice(words, n - tail + 1, tail)),
-        )
-        return F.when(base >= LEAST_WORDS - 1, pair).otherwise(F.array().cast("array<bigint>"))
+        return [F.xxhash64(F.lit(0), base, F.slice(words, F.lit(1), head)), F.xxhash64(F.lit(1), base, F.slice(words, n - tail + 1, tail))]
+
+    return F.when(n >= LEAST_WORDS, F.array(*keys(n), *keys(n - 1))).when(n == LEAST_WORDS - 1, F.array(*keys(n)))
 
-    return F.concat(keys(n), keys(n - 1))
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written list of keys, marked for broadcast if its length allows."""
+    return F.broadcast(df) if df.count() <= SPREAD_ROWS else df
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -51,44 +58,65 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     in the text) has the same words, or differs by one inserted, deleted or replaced word where the longer of the two has
     five words or more. The earlier line counts even if it went itself, so the first of all always stays.
 
-    Method: distinct lines with their first places; those that share an untouched half with another line (nothing else
-    can be within one edit) emit all variants with one word deleted as 128-bit keys; equal variants meet, each line is
-    paired with the earliest only, and the pair's edit distance is verified. Groups are reduced by minima, never
-    enumerated, so thousands of variants of one line cost as many rows.
+    Method: distinct lines (128-bit hashes) with their first places; those that share an untouched half with another line
+    (nothing else can be within one edit) emit all variants with one word deleted as 128-bit keys; equal variants meet,
+    each line is paired with the earliest only, and the pair's edit distance is verified on the words. Groups are reduced
+    by minima, never enumerated, so thousands of variants of one line cost as many rows. Texts are shuffled once, to
+    meet the places of their lines that stay; before that only hashes and places travel.
 
     Blank lines stay with the line before them. Null texts, texts without words and empty tables come back unchanged.
     Two rows with the same key and text get the same result. Input columns n_lines and n_removed are replaced.
     """
     kept = keep_columns(docs, ["n_lines", "n_removed"])
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
-    pieces = (
-        rows.select("id", "mark", F.posexplode_outer(F.split("body", BREAK)).alias("pos", "piece"))
-        .withColumn("words", _words(F.col("piece")))
-        .where(F.size("words") > 0)
-        .select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(77), "words").alias("k2"), F.struct("id", "mark", "pos", "piece").alias("first"))
+    bodies = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
+    place = F.struct("id", "mark", "pos")
+
+    facts = F.transform(
+        F.split("body", BREAK),
+        lambda piece: _once(
+            _words(piece),
+            lambda w: F.when(F.size(w) > 0, F.struct(F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(77), w).alias("k2"), _halves(w).alias("halves"))),
+        ),
+    )
+    found = bodies.select("id", "mark", F.posexplode_outer(facts).alias("pos", "line")).where("line is not null")
+    lines = staged(
+        found.groupBy("line.k1", "line.k2")
+        .agg(F.min(place).alias("place"), F.first("line.halves").alias("halves"))
+        .select("k1", "k2", "place.*", "halves"),
+        "lines",
     )
-    lines = pieces.groupBy("k1", "k2").agg(F.min("first").alias("first")).withColumn("words", _words(F.col("first.piece")))
-    place = F.struct("first.id", "first.mark", "first.pos")
 
-    halves = lines.select("k1", "k2", F.explode(_halves(F.col("words"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half")
-    near = salted_lookup(halves, shared, ["half"], ["k1"]).select("k1", "k2").distinct()
-    asked = lines.select("k1", "k2", place.alias("place"), "words").join(near, ["k1", "k2"])
+    halves = lines.select("k1", "k2", F.explode("halves").alias("half"))
+    shared = staged(halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half"), "halves")
+    if shared.count() <= SPREAD_ROWS:
+        near = halves.join(F.broadcast(shared), "half", "left_semi")
+    else:
+        near = salted_lookup(halves, shared, ["half"], ["k1"])
+    near = staged(lines.drop("halves").join(_bounded(staged(near.select("k1", "k2").distinct(), "near")), ["k1", "k2"], "left_semi"), "places")
+
+    # The words of those lines, from the texts that hold them.
+    owners = _bounded(near.select("id", "mark").distinct())
+    holding = bodies.alias("a").join(owners.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left_semi")
+    split = holding.dropDuplicates(["id", "mark"]).select("id", "mark", F.posexplode(F.split("body", BREAK)).alias("pos", "piece"))
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")) & (F.col("a.pos") == F.col("b.pos"))
+    asked = staged(
+        near.alias("a").join(split.alias("b"), same).select("k1", "k2", F.struct("a.id", "a.mark", "a.pos").alias("place"), _words(F.col("piece")).alias("words")),
+        "asked",
+    )
 
     n = F.size("words")
     deletions = F.when(
         n >= LEAST_WORDS,
         F.transform(
             F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(i.alias("cut"), F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)).alias("rest")),
+            lambda i: _once(
+                F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)),
+                lambda rest: F.struct(i.alias("cut"), F.xxhash64(rest).alias("v1"), F.xxhash64(F.lit(78), rest).alias("v2")),
+            ),
         ),
-    ).otherwise(F.array().cast("array<struct<cut:int,rest:array<string>>>"))
-    itself = F.array(F.struct(F.lit(-1).alias("cut"), F.col("words").alias("rest")))
-    hashed = F.transform(
-        F.concat(itself, deletions),
-        lambda v: F.struct(v["cut"].alias("cut"), F.xxhash64(v["rest"]).alias("v1"), F.xxhash64(F.lit(78), v["rest"]).alias("v2")),
-    )
-    variants = asked.select("k1", "k2", "place", F.explode(hashed).alias("v")).select("k1", "k2", "place", "v.*")
+    ).otherwise(F.array().cast("array<struct<cut:int,v1:bigint,v2:bigint>>"))
+    itself = F.array(F.struct(F.lit(-1).alias("cut"), F.xxhash64("words").alias("v1"), F.xxhash64(F.lit(78), "words").alias("v2")))
+    variants = asked.select("k1", "k2", "place", F.posexplode_outer(F.concat(itself, deletions)).alias("__at", "v")).select("k1", "k2", "place", "v.*")
     same_cut = variants.groupBy("v1", "v2", "cut").agg(F.min("place").alias("low"))
     any_cut = same_cut.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("cut") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("low"))).alias("longer")
@@ -102,28 +130,35 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .groupBy("k1", "k2")
         .agg(F.min("other").alias("other"))
     )
-    texts = asked.select("k1", "k2", "place", "words")
-    checked = (
-        pairs.join(texts.select("k1", "k2", "words"), ["k1", "k2"])
-        .join(texts.select(F.col("place").alias("other"), F.col("words").alias("other_words")), "other")
+    partner = asked.select(F.col("place").alias("other"), F.col("words").alias("other_words"))
+    near_lines = (
+        pairs.join(asked.select("k1", "k2", "words"), ["k1", "k2"])
+        .join(partner, "other")
         .where(_within_one(F.col("words"), F.col("other_words")))
         .select("k1", "k2")
     )
-    left = (
-        lines.select("k1", "k2", "first").join(checked, ["k1", "k2"], "left_anti")
-        .groupBy(F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
-        .agg(F.sort_array(F.collect_list(F.struct("first.pos", "first.piece"))).alias("stay"))
-        .select("id", "mark", F.array_join("stay.piece", "\n").alias("rest"), F.size("stay").alias("n_stay"))
+    stay = (
+        lines.drop("halves").join(_bounded(staged(near_lines, "gone")), ["k1", "k2"], "left_anti")
+        .groupBy("id", "mark")
+        .agg(F.collect_list("pos").alias("stay"))
+    )
+    full = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"))
+    joined = full.alias("a").join(stay.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left")
+    body = F.col(f"row.`{text}`")
+    cut = _once(
+        F.split(body, BREAK),
+        lambda pieces: F.struct(
+            F.size(F.filter(pieces, lambda p: p.rlike(r"[^ \t\r\n]"))).alias("n"),
+            F.transform(F.sort_array("stay"), lambda i: F.get(pieces, i)).alias("rest"),
+        ),
     )
-    counted = rows.select("row", "id", "mark", F.size(F.filter(F.split("body", BREAK), lambda p: p.rlike(r"[^ \t\r\n]"))).alias("n"), F.when(F.col("body").rlike(r"[^ \t\r\n]"), None).otherwise(F.col("body")).alias("blank"))
-    counted = counted.withColumn("row", F.col("row").dropFields(text)) if len(kept) > 1 else counted.withColumn("row", F.struct(F.lit(0).alias("__none")))
-    joined = counted.alias("a").join(left.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left")
-    many = F.greatest(F.col("n"), F.lit(0))
-    new_text = F.when(many > 0, F.coalesce("rest", F.lit(""))).otherwise(F.col("blank"))
-    return joined.select(
+    rebuilt = joined.select("row", F.explode(F.array(F.when(body.isNotNull(), cut))).alias("cut"))
+    n_lines = F.coalesce("cut.n", F.lit(0))
+    new_text = F.when(n_lines > 0, F.coalesce(F.array_join("cut.rest", "\n"), F.lit(""))).otherwise(body)
+    return rebuilt.select(
         *[new_text.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept],
-        many.cast("long").alias("n_lines"),
-        (many - F.coalesce("n_stay", F.lit(0))).cast("long").alias("n_removed"),
+        n_lines.cast("long").alias("n_lines"),
+        (n_lines - F.coalesce(F.size("cut.rest"), F.lit(0))).cast("long").alias("n_removed"),
     )
 
 
