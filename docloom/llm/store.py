@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = os.path.join(tempfile.mkdtemp(prefix="docloom-"), "docloom_package")
+        context.addPyFile(shutil.make_archive(archive, "zip", root, "docloom"))
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
