@@ -54,3 +54,27 @@ def keep_columns(df: DataFrame, made: list[str]) -> list[str]:
     """Columns of ``df`` that go on beside the columns an operator makes; a clashing input column is replaced."""
     taken = {m.lower() for m in made}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+def _file_system(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write one file of the shared folder from a task: under a name of its own first, then renamed, so that a lost or
+    repeated task leaves no half file."""
+    files, root = _file_system(folder)
+    files.create_dir(root, recursive=True)
+    own = f"{root}/_{uuid.uuid4().hex}"
+    with files.open_output_stream(own) as out:
+        out.write(data)
+    files.move(own, f"{root}/{name}")
+
+
+def read_range(folder: str, name: str, start: int, length: int) -> bytes:
+    """Some bytes of one file of the shared folder."""
+    files, root = _file_system(folder)
+    with files.open_input_file(f"{root}/{name}") as f:
+        return f.read_at(length, start)
