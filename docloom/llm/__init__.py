@@ -1,7 +1,7 @@
 """Operators for training data at scale. ``QUERIES`` and ``ORACLES`` are as in ``docloom.plans``."""
 
-from docloom.llm import idfile, lines, packing, sharding
+from docloom.llm import decontam, idfile, licenses, lines, packing, sharding
 
-MODULES = (sharding, lines, idfile, packing)
+MODULES = (sharding, lines, licenses, decontam, idfile, packing)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
