@@ -13,7 +13,11 @@ SPREAD_ROWS = 500_000  # a list of keys is sent to all executors up to this leng
 
 
 def _words(piece: Column) -> Column:
-    return F.filter(F.split(piece, r"[ \t\r\n]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(piece, "\t\r\n", "   "), " "), lambda w: w != "")
+
+
+def _coded(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _once(value: Column, use) -> Column:
@@ -75,7 +79,10 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.split("body", BREAK),
         lambda piece: _once(
             _words(piece),
-            lambda w: F.when(F.size(w) > 0, F.struct(F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(77), w).alias("k2"), _halves(w).alias("halves"))),
+            lambda w: F.when(
+                F.size(w) > 0,
+                _once(_coded(w), lambda c: F.struct(F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(77), c).alias("k2"), _halves(c).alias("halves"))),
+            ),
         ),
     )
     found = bodies.select("id", "mark", F.posexplode_outer(facts).alias("pos", "line")).where("line is not null")
@@ -86,13 +93,15 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "lines",
     )
 
-    halves = lines.select("k1", "k2", F.explode("halves").alias("half"))
+    # Which half is shared: even places of the array are first halves, odd places second ones.
+    halves = lines.select("k1", "k2", F.posexplode("halves").alias("kind", "half"))
     shared = staged(halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half"), "halves")
     if shared.count() <= SPREAD_ROWS:
         near = halves.join(F.broadcast(shared), "half", "left_semi")
     else:
         near = salted_lookup(halves, shared, ["half"], ["k1"])
-    near = staged(lines.drop("halves").join(_bounded(staged(near.select("k1", "k2").distinct(), "near")), ["k1", "k2"], "left_semi"), "places")
+    near = near.groupBy("k1", "k2").agg(F.max(F.col("kind") % 2 == 0).alias("head"), F.max(F.col("kind") % 2 == 1).alias("tail"))
+    near = staged(lines.drop("halves").join(_bounded(staged(near, "near")), ["k1", "k2"]), "places")
 
     # The words of those lines, from the texts that hold them.
     owners = _bounded(near.select("id", "mark").distinct())
@@ -100,24 +109,33 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     split = holding.dropDuplicates(["id", "mark"]).select("id", "mark", F.posexplode(F.split("body", BREAK)).alias("pos", "piece"))
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")) & (F.col("a.pos") == F.col("b.pos"))
     asked = staged(
-        near.alias("a").join(split.alias("b"), same).select("k1", "k2", F.struct("a.id", "a.mark", "a.pos").alias("place"), _words(F.col("piece")).alias("words")),
+        near.alias("a").join(split.alias("b"), same).select("k1", "k2", "head", "tail", F.struct("a.id", "a.mark", "a.pos").alias("place"), _words(F.col("piece")).alias("words")),
         "asked",
     )
 
+    # With an equal first half the edit is in the second one, and the other way round.
     n = F.size("words")
-    deletions = F.when(
-        n >= LEAST_WORDS,
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: _once(
-                F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, n)),
-                lambda rest: F.struct(i.alias("cut"), F.xxhash64(rest).alias("v1"), F.xxhash64(F.lit(78), rest).alias("v2")),
-            ),
+    low = F.when(F.col("tail"), F.lit(0)).otherwise(F.floor((n - 1) / 2).cast("int"))
+    high = F.when(F.col("head"), n - 1).otherwise(F.least(n - 1, F.floor(n / 2).cast("int")))
+
+    def keyed(cut: Column, rest: Column) -> Column:
+        return F.struct(cut.alias("cut"), F.xxhash64(rest).alias("v1"), F.xxhash64(F.lit(78), rest).alias("v2"))
+
+    neighbours = _once(
+        _coded(F.col("words")),
+        lambda c: F.concat(
+            F.array(keyed(F.lit(-1), c)),
+            F.when(
+                n >= LEAST_WORDS,
+                F.transform(F.sequence(low, high), lambda i: _once(F.concat(F.slice(c, F.lit(1), i), F.slice(c, i + 2, n)), lambda rest: keyed(i, rest))),
+            ).otherwise(F.array().cast("array<struct<cut:int,v1:bigint,v2:bigint>>")),
         ),
-    ).otherwise(F.array().cast("array<struct<cut:int,v1:bigint,v2:bigint>>"))
-    itself = F.array(F.struct(F.lit(-1).alias("cut"), F.xxhash64("words").alias("v1"), F.xxhash64(F.lit(78), "words").alias("v2")))
-    variants = asked.select("k1", "k2", "place", F.posexplode_outer(F.concat(itself, deletions)).alias("__at", "v")).select("k1", "k2", "place", "v.*")
-    same_cut = variants.groupBy("v1", "v2", "cut").agg(F.min("place").alias("low"))
+    )
+    variants = asked.select("k1", "k2", "place", F.posexplode_outer(neighbours).alias("__at", "v")).select("k1", "k2", "place", "v.*")
+    equal = staged(variants.groupBy("v1").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("v1"), "variants")
+    met = variants.join(F.broadcast(equal), "v1", "left_semi") if equal.count() <= SPREAD_ROWS else salted_lookup(variants, equal, ["v1"], ["k1"])
+    met = staged(met.select("k1", "k2", "place", "cut", "v1", "v2"), "met")
+    same_cut = met.groupBy("v1", "v2", "cut").agg(F.min("place").alias("low"))
     any_cut = same_cut.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("cut") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("low"))).alias("longer")
     )
@@ -125,7 +143,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         "v1", "v2", "cut", F.when(F.col("cut") >= 0, F.least("low", "whole")).otherwise(F.col("longer")).alias("other")
     ).where(F.col("other").isNotNull())
     pairs = (
-        salted_lookup(variants, earliest, ["v1", "v2", "cut"], ["k1", "k2"])
+        salted_lookup(met, earliest, ["v1", "v2", "cut"], ["k1", "k2"])
         .where(F.col("other") < F.col("place"))
         .groupBy("k1", "k2")
         .agg(F.min("other").alias("other"))
