@@ -78,3 +78,13 @@ def read_range(folder: str, name: str, start: int, length: int) -> bytes:
     files, root = _file_system(folder)
     with files.open_input_file(f"{root}/{name}") as f:
         return f.read_at(length, start)
+
+
+def file_size(folder: str, name: str) -> int:
+    files, root = _file_system(folder)
+    return files.get_file_info(f"{root}/{name}").size
+
+
+def make_folder(folder: str) -> None:
+    files, root = _file_system(folder)
+    files.create_dir(root, recursive=True)
