@@ -1,7 +1,7 @@
 """Operators for training data at scale. ``QUERIES`` and ``ORACLES`` are as in ``docloom.plans``."""
 
-from docloom.llm import decontam, idfile, licenses, lines, packing, sharding, warc
+from docloom.llm import decontam, idfile, jaccard, knn, licenses, lines, packing, quality, sharding, warc
 
-MODULES = (sharding, warc, lines, licenses, decontam, idfile, packing)
+MODULES = (sharding, warc, lines, licenses, jaccard, quality, decontam, idfile, knn, packing)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
