@@ -148,15 +148,17 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets([t if isinstance(t, str) else None for t in b["text"]]))
+            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield b[["id", "mark"]].assign(
-                node=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                node=nodes,
+                short=[int.from_bytes(n[:8], "little", signed=True) if n else 0 for n in nodes],
                 signature=[signature(s).tobytes() if len(s) else None for s in sets],
             )
 
-    signed = staged(bodies.mapInPandas(sign, f"id {kind}, mark long, node binary, signature binary"), "signed")
+    signed = staged(bodies.mapInPandas(sign, f"id {kind}, mark long, node binary, short long, signature binary"), "signed")
     first = F.min(F.struct("id", "mark"))
     sets = staged(
-        signed.where("node is not null").groupBy("node").agg(first.alias("first"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("signature").alias("signature")),
+        signed.where("node is not null").groupBy("node").agg(first.alias("first"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("signature").alias("signature")),
         "sets",
     )
 
@@ -165,10 +167,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
             if len(b):
                 values = np.frombuffer(b"".join(b["signature"]), np.uint32).reshape(len(b), BANDS, ROWS).astype(np.uint64)
                 hashed = mix((values @ _PLACE[:ROWS]) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64))
-                short = np.frombuffer(b"".join(x[:8] for x in b["node"]), "<i8")
-                yield pd.DataFrame({"band": hashed.ravel().view(np.int64), "a": np.repeat(short, BANDS)})
+                yield pd.DataFrame({"band": hashed.ravel().view(np.int64), "a": np.repeat(b["short"].to_numpy(), BANDS)})
 
-    banded = sets.select("node", "signature").mapInPandas(bands, "band long, a long")
+    banded = sets.select("short", "signature").mapInPandas(bands, "band long, a long")
     hubs = staged(banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b <> top").select("band", "b"), "bands")
     met = banded.join(F.broadcast(hubs), "band") if hubs.count() <= SPREAD_ROWS else salted_lookup(banded, hubs, ["band"], ["a"])
     gathered = components(staged(met.where("a <> b").select("a", "b").distinct(), "met"))
@@ -176,9 +177,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sizes = gathered.groupBy("label").agg(F.count("*").alias("members"))
     total = gathered.count()
     cells = max(1, total // BLOCK)
-    short = F.conv(F.hex(F.reverse(F.substring("node", 1, 8))), 16, -10).cast("long")
     members = staged(
-        sets.withColumn("short", short).join(salted_lookup(gathered, sizes, ["label"], ["node"]).withColumnRenamed("node", "short"), "short")
+        sets.join(salted_lookup(gathered, sizes, ["label"], ["node"]).withColumnRenamed("node", "short"), "short")
         .select("node", "first", "copies", "signature", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")),
         "members",
     )
