@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTERS = 7  # seven letters name more than eight billion columns
+LETTERS = 14  # enough for every bigint
 
 
 def _once(value: Column, use) -> Column:
@@ -26,7 +26,7 @@ def _letters(n: Column) -> Column:
     parts = []
     for k in reversed(range(LETTERS)):
         first = sum(26**j for j in range(k + 1))
-        digit = F.floor((n - first) / F.lit(26**k)).cast("bigint") if k else n - first
+        digit = F.call_function("div", n - first, F.lit(26**k)) if k else n - first
         letter = F.char((F.lit(65) + F.pmod(digit, F.lit(26))).cast("bigint"))
         parts.append(F.when(n >= first, letter).otherwise(""))
     return F.when(n.isNotNull(), F.concat(*parts))

@@ -28,8 +28,12 @@ def normalise_cell(c: Column) -> Column:
 
 
 def normalise_key(c: Column) -> Column:
-    """Like ``normalise_cell``, and drop the ``.0`` that a numeric sheet column leaves on whole keys."""
-    return F.regexp_replace(normalise_cell(c), r"\.0$", "")
+    """Like ``normalise_cell``, and drop the ``.0`` that a numeric sheet column leaves on whole keys.
+
+    Whole numbers that a floating-point column would print with an exponent (from 1e7) are written out."""
+    number = c.try_cast("double")
+    whole = F.typeof(c).isin("double", "float") & (number == F.floor(number)) & (F.abs(number) < 1e18)
+    return F.when(whole, number.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(normalise_cell(c), r"\.0$", ""))
 
 
 def safe_file_name(c: Column) -> Column:
@@ -148,32 +152,43 @@ def match_lines(pieces: Column) -> Column:
     )
 
 
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+@functools.lru_cache(maxsize=1)
+def _entities() -> tuple[str, str, str]:
+    """Pattern of an entity, and the names and characters of the HTML table of the Python library, each list in one text.
+
+    Old names also count without a semicolon; the longest such name wins."""
+    known = html.entities.html5
+    bare = sorted((n for n in known if not n.endswith(";")), key=len, reverse=True)
+    pattern = rf"&(?:#[0-9]{{1,7}};?|#[xX][0-9A-Fa-f]{{1,6}};?|[A-Za-z][A-Za-z0-9]*;|(?:{'|'.join(bare)}))"
+    return pattern, "\n".join(known), "\x01".join(known.values())
 
 
 def _character(code: Column) -> Column:
-    """The character with a code point; null for numbers that are none."""
+    """The character with a code point; 128 to 159 mean code page 1252, as in browsers; null for numbers that are none."""
+    old = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    table = F.create_map(*[F.lit(x) for kv in old.items() for x in kv])
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    plain = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(F.when(code.between(128, 159), F.try_element_at(table, code.cast("int"))), plain)
 
 
 def unescape(c: Column) -> Column:
-    """Character entities to characters, in one pass; unknown names stay as written.
-
-    The names are those of the HTML entity table of the Python library.
-    """
-    named = F.create_map(*[F.lit(x) for name, code in html.entities.name2codepoint.items() for x in (name, chr(code))])
+    """Character entities to characters, in one pass; unknown names stay as written, but a longer name that begins with an
+    old one is read as that and the rest."""
+    entity, names, characters = _entities()
+    named = F.map_from_arrays(F.split(F.lit(names), "\n"), F.split(F.lit(characters), "\x01"))
 
     def decoded(p: Column) -> Column:
-        body = F.regexp_extract(p, "^&#?[xX]?([0-9A-Za-z]+);$", 1)
+        body = F.regexp_extract(p, "^&#?[xX]?([0-9A-Za-z]+);?$", 1)
         number = F.when(p.rlike("^&#[xX]"), F.conv(body, 16, 10)).otherwise(body).try_cast("bigint")
-        found = F.when(p.startswith("&#"), _character(number)).otherwise(
-            F.try_element_at(named, F.regexp_extract(p, "^&([0-9A-Za-z]+);$", 1))
-        )
+        whole = F.try_element_at(named, F.substring(p, 2, 40))
+        old = F.regexp_extract(p, "^" + entity.replace("[A-Za-z][A-Za-z0-9]*;|", ""), 0)
+        begun = F.concat(F.try_element_at(named, F.substring(old, 2, 40)), F.substr(p, F.length(old) + 1))
+        found = F.when(p.startswith("&#"), _character(number)).otherwise(F.coalesce(whole, F.when(F.length(old) > 1, begun)))
         return F.coalesce(found, p)
 
-    joined = F.array_join(F.transform(cut(c, ENTITY), lambda p, i: F.when(i % 2 == 1, decoded(p)).otherwise(p)), "")
-    return F.when(c.rlike(ENTITY), joined).otherwise(c)
+    joined = F.array_join(F.transform(cut(c, entity), lambda p, i: F.when(i % 2 == 1, decoded(p)).otherwise(p)), "")
+    return F.when(c.rlike(entity), joined).otherwise(c)
 
 
 def relative_path(path: Column, root: str) -> Column:

@@ -12,11 +12,17 @@ from pyspark.sql import window as W
 HOUR = 3_600_000_000  # microseconds
 
 
-def _axis(df: DataFrame, name: str) -> Column:
-    """Order column as a whole number: timestamps in microseconds, numbers as they are."""
-    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name).cast("bigint")
+def _band(df: DataFrame, name: str, width: int) -> Column:
+    """Number of the band that an order value lies in: numbers as they are, timestamps by microseconds, dates by days.
+
+    Only the band is rounded; values themselves are compared as they are."""
+    kind = df.schema[name].dataType
+    at = F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        at = F.unix_micros(at.cast("timestamp"))
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(at)
+    return F.floor(at / F.lit(width)).cast("bigint")
 
 
 def asof_backward(
@@ -31,7 +37,7 @@ def asof_backward(
 ) -> DataFrame:
     """Give each left row the ``payload`` of the last right row of the same key at or before it.
 
-    The order axis is cut into bands of width ``band`` (pages, or microseconds for timestamps). Rows are
+    The order axis is cut into bands of width ``band`` (pages, microseconds for timestamps, days for dates). Rows are
     shuffled and sorted by (key, band), so a key that holds a large part of the data is still spread over
     many tasks. What earlier bands contribute is one row per (key, band): the last right row of the nearest
     earlier band. Ties on the axis go to the highest ``tie_break``. Left rows without a match get nulls.
@@ -43,16 +49,23 @@ def asof_backward(
     """
 
     def cell(df: DataFrame, on: str) -> Column:
-        band_no = F.floor(_axis(df, on) / F.lit(band)).cast("bigint")
-        return F.struct(*[F.col(k) for k in by], band_no.alias("__band")).alias("__cell")
+        return F.struct(*[F.col(k) for k in by], _band(df, on, band).alias("__band")).alias("__cell")
+
+    if left.schema[left_on].dataType != right.schema[right_on].dataType:
+        # One type for both, the wider one, so that values compare and fall into bands alike.
+        common = left.select(F.col(left_on).alias("v")).union(right.select(F.col(right_on).alias("v"))).schema["v"].dataType
+        right = right.withColumn(right_on, F.col(right_on).cast(common))
+    else:
+        common = left.schema[left_on].dataType
 
     rights = right.dropna(subset=[*by, right_on]).select(
         cell(right, right_on),
-        _axis(right, right_on).alias("__at"),
+        F.col(right_on).alias("__at"),
         F.struct(*[F.col(c) for c in tie_break]).alias("__tie") if tie_break else F.lit(0).alias("__tie"),
         F.struct(*payload).alias("__value"),
     )
-    lefts = left.select(cell(left, left_on), _axis(left, left_on).alias("__at"), F.struct("*").alias("__row"))
+    wide = left.withColumn("__on", F.col(left_on).cast(common))
+    lefts = wide.select(cell(wide, "__on"), F.col("__on").alias("__at"), F.struct(*left.columns).alias("__row"))
     is_left = F.col("__row").isNotNull()
     rows = rights.unionByName(lefts, allowMissingColumns=True).repartition("__cell")
 

@@ -51,14 +51,9 @@ def set_value(cells: DataFrame, area: Area, value: str, sheets: DataFrame | None
     changed = cells.withColumn("value", F.when(area.holds(), F.lit(value)).otherwise(F.col("value")))
     if sheets is None:
         return changed
-    box = F.array(
-        *[
-            F.struct(F.lit(r).cast(cells.schema[ROW].dataType).alias(ROW), F.lit(c).cast(cells.schema[COL].dataType).alias(COL))
-            for r in range(area.top, area.bottom + 1)
-            for c in range(area.left, area.right + 1)
-        ]
-    )
-    wanted = sheets.select("sheet", F.inline(box))
+    row_type, col_type = cells.schema[ROW].dataType, cells.schema[COL].dataType
+    rows = sheets.select("sheet", F.explode(F.sequence(F.lit(area.top).cast(row_type), F.lit(area.bottom).cast(row_type))).alias(ROW))
+    wanted = rows.select("sheet", ROW, F.explode(F.sequence(F.lit(area.left).cast(col_type), F.lit(area.right).cast(col_type))).alias(COL))
     present = cells.where(area.holds()).select("sheet", ROW, COL)
     added = wanted.join(present, ["sheet", ROW, COL], "left_anti").withColumn("value", F.lit(value))
     return changed.unionByName(added, allowMissingColumns=True)
@@ -98,40 +93,27 @@ def insert_range(cells: DataFrame, area: Area, shift_down: bool = True, shift_ri
 def insert_copied_rows(cells: DataFrame, template: DataFrame, first: int, last: int, at: int, sheets: DataFrame) -> DataFrame:
     """Insert rows first..last of a template sheet before row ``at`` of every sheet in ``sheets``."""
     moved = _moved(cells, ROW, F.col(ROW) >= at, last - first + 1)
-    return moved.unionByName(_stamped(template.where(F.col(ROW).between(first, last)), ROW, at - first, cells, sheets))
+    return moved.unionByName(_stamped(template.where(F.col(ROW).between(first, last)), ROW, (first, last), at - first, cells, sheets))
 
 
 def insert_copied_cols(cells: DataFrame, template: DataFrame, first: int, last: int, at: int, sheets: DataFrame) -> DataFrame:
     """Insert columns first..last of a template sheet before column ``at`` of every sheet in ``sheets``."""
     moved = _moved(cells, COL, F.col(COL) >= at, last - first + 1)
-    return moved.unionByName(_stamped(template.where(F.col(COL).between(first, last)), COL, at - first, cells, sheets))
-
-
-# A template block is a few rows or columns of one sheet; more cells than this is a mistake in the call.
-TEMPLATE_CELLS = 20_000
+    return moved.unionByName(_stamped(template.where(F.col(COL).between(first, last)), COL, (first, last), at - first, cells, sheets))
 
 
-def _stamped(block: DataFrame, axis: str, by: int, cells: DataFrame, sheets: DataFrame) -> DataFrame:
+def _stamped(block: DataFrame, axis: str, bounds: tuple[int, int], by: int, cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """The template block, moved by ``by``, once per sheet.
 
-    The block is read to the driver behind a size check and becomes a literal, so each sheet row explodes
-    in place: no join, no shuffle.
+    Every sheet asks for each template row (or column) by its number and joins the cells that have it, so the block may
+    have any size; Spark broadcasts it where its own size check allows.
     """
-    rows = block.select(ROW, COL, "value").limit(TEMPLATE_CELLS + 1).collect()
-    if len(rows) > TEMPLATE_CELLS:
-        raise ValueError(f"a template block may hold at most {TEMPLATE_CELLS} cells")
-    row_type, col_type = cells.schema[ROW].dataType, cells.schema[COL].dataType
-    literals = [
-        F.struct(
-            F.lit(r[ROW] + (by if axis == ROW else 0)).cast(row_type).alias(ROW),
-            F.lit(r[COL] + (by if axis == COL else 0)).cast(col_type).alias(COL),
-            F.lit(r["value"]).cast(cells.schema["value"].dataType).alias("value"),
-        )
-        for r in rows
-    ]
-    if not literals:
-        return cells.where(F.lit(False))
-    return sheets.select("sheet", F.inline(F.array(*literals))).select(*cells.columns)
+    kinds = {c: cells.schema[c].dataType for c in (ROW, COL, "value")}
+    asked = sheets.select("sheet", F.explode(F.sequence(*[F.lit(b).cast(kinds[axis]) for b in bounds])).alias("__line"))
+    lines = block.select(F.col(axis).cast(kinds[axis]).alias("__line"), ROW, COL, "value")
+    placed = {c: (F.col(c) + (by if c == axis else 0)) if c != "value" else F.col(c) for c in kinds}
+    stamped = asked.join(lines, "__line").select("sheet", *[placed[c].cast(k).alias(c) for c, k in kinds.items()])
+    return stamped.select(*cells.columns)
 
 
 def delete_objects(objects: DataFrame, text: str) -> DataFrame:
@@ -141,26 +123,31 @@ def delete_objects(objects: DataFrame, text: str) -> DataFrame:
     return objects.where(~(named | told))
 
 
-def find_row(cells: DataFrame, col: int, keyword: str, first: int = 1, last: int = 1000) -> DataFrame:
-    """Per sheet the first row whose cell in ``col`` equals the keyword; sheets without it are left out."""
-    found = cells.where((F.col(COL) == col) & (F.col("value") == keyword) & F.col(ROW).between(first, last))
+def _from_to(axis: str, first: int, last: int | None) -> Column:
+    return F.col(axis) >= first if last is None else F.col(axis).between(first, last)
+
+
+def find_row(cells: DataFrame, col: int, keyword: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """Per sheet the first row whose cell in ``col`` equals the keyword, to the end of the sheet unless told otherwise;
+    sheets without it are left out."""
+    found = cells.where((F.col(COL) == col) & (F.col("value") == keyword) & _from_to(ROW, first, last))
     return found.groupBy("sheet").agg(F.min(ROW).alias(ROW))
 
 
-def find_col(cells: DataFrame, row: int, keyword: str, first: int = 1, last: int = 130) -> DataFrame:
-    """Per sheet the first column whose cell in ``row`` equals the keyword (A to DZ unless told otherwise)."""
-    found = cells.where((F.col(ROW) == row) & (F.col("value") == keyword) & F.col(COL).between(first, last))
+def find_col(cells: DataFrame, row: int, keyword: str, first: int = 1, last: int | None = None) -> DataFrame:
+    """Per sheet the first column whose cell in ``row`` equals the keyword, all columns unless told otherwise."""
+    found = cells.where((F.col(ROW) == row) & (F.col("value") == keyword) & _from_to(COL, first, last))
     return found.groupBy("sheet").agg(F.min(COL).alias(COL))
 
 
-def section(cells: DataFrame, col: int, start: str, end: str, first: int = 1, last: int = 1000) -> DataFrame:
+def section(cells: DataFrame, col: int, start: str, end: str, first: int = 1, last: int | None = None) -> DataFrame:
     """Cells from the row marked ``start`` to the row before the one marked ``end``, per sheet.
 
     Both markers come from one filtered aggregate; sheets that lack either are left out.
     """
     at = lambda keyword: F.min(F.when(F.col("value") == keyword, F.col(ROW)))
     marks = (
-        cells.where((F.col(COL) == col) & F.col("value").isin(start, end) & F.col(ROW).between(first, last))
+        cells.where((F.col(COL) == col) & F.col("value").isin(start, end) & _from_to(ROW, first, last))
         .groupBy("sheet")
         .agg(at(start).alias("__from"), at(end).alias("__to"))
         .where(F.col("__from").isNotNull() & F.col("__to").isNotNull())

@@ -392,8 +392,8 @@ def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
     """Text of a document: doc_id, pos (of the markup it belongs to, -1 before the first), kind, el, text.
 
     kind is ``text`` between markup, or comment, doctype or script for text inside it. ``el`` joins the EL
-    expressions by blanks; ``text`` is what remains, cut to 200 characters. ``static=False`` keeps only
-    nodes with EL and drops their plain text.
+    expressions by blanks; ``text`` is what remains and ``shown`` the same cut to 200 characters for display. ``static=False``
+    keeps only nodes with EL and drops their plain text.
     """
 
     def node(part: Column, i: Column) -> Column:
@@ -415,9 +415,10 @@ def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
     parted = docs.select("doc_id", tx.cut(clean(F.col("text")), PIECE).alias("parts"))
     nodes = F.filter(F.transform(F.col("parts"), node), lambda n: F.length(n["node"]) > 0)
     el = F.array_join(F.regexp_extract_all("node", F.lit(f"({EL})"), F.lit(1)), " ")
-    rest = tx.shorten(tx.strip(F.regexp_replace("node", EL, "")), 200)
+    rest = tx.strip(F.regexp_replace("node", EL, ""))
     rows = inline_rows(parted, ["doc_id"], nodes).select("doc_id", "pos", "kind", el.alias("el"), rest.alias("text"))
-    return rows if static else rows.where(F.length("el") > 0).withColumn("text", F.lit(""))
+    rows = rows.withColumn("shown", tx.shorten(F.col("text"), 200))
+    return rows if static else rows.where(F.length("el") > 0).withColumns({"text": F.lit(""), "shown": F.lit("")})
 
 
 def tag_snippet(name: Column, tag: Column, element: Column) -> Column:

@@ -73,17 +73,16 @@ def _few(terms: DataFrame) -> DataFrame | None:
 
 
 def _literals(terms: Sequence[str] | DataFrame) -> list[tuple[int, str]] | None:
-    """Terms as a Python list if they are few, else None. The size is checked before any row is fetched."""
+    """Terms as a Python list if they are few, else None. The size is checked before any row is fetched. Null and empty
+    terms find nothing, however many terms there are."""
     if not isinstance(terms, DataFrame):
-        found = [(i, t.strip()) for i, t in enumerate(terms) if t.strip()]
-    else:
-        few = _few(terms)
-        if few is None:
-            return None
-        found = [(r["seq"], r["term"]) for r in few.select("seq", "term").orderBy("seq").collect()]
-    if len(found) > LITERAL_TERMS or sum(len(t) for _, t in found) > LITERAL_CHARS:
-        raise ValueError("long term lists must be given as a DataFrame (seq, term)")
-    return found
+        found = [(i, t.strip()) for i, t in enumerate(terms) if t and t.strip()]
+        return None if len(found) > LITERAL_TERMS or sum(len(t) for _, t in found) > LITERAL_CHARS else found
+    filled = terms.where(F.length("term") > 0)
+    few = _few(filled)
+    if few is None:
+        return [] if not filled.head(1) else None
+    return [(r["seq"], r["term"]) for r in few.select("seq", "term").orderBy("seq").collect()]
 
 
 def find_terms(pages: DataFrame, terms: Sequence[str] | DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -94,6 +93,9 @@ def find_terms(pages: DataFrame, terms: Sequence[str] | DataFrame, ignore_case:
     """
     literals = _literals(terms)
     if literals is None:
+        if not isinstance(terms, DataFrame):
+            listed = [(i, t.strip()) for i, t in enumerate(terms) if t and t.strip()]
+            terms = pages.sparkSession.createDataFrame(listed, "seq int, term string")
         return find_by_gram(pages, terms, ignore_case)
     if not literals:
         return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))

@@ -26,25 +26,29 @@ def navigate(child: DataFrame, parent: DataFrame, foreign_key: str, primary_key:
 def unique_or_fail(batch: DataFrame, key: Sequence[str]) -> DataFrame:
     """The batch itself, failing at run time if one key occurs twice.
 
-    Rows shuffle once by key, and the upsert's anti join then needs no further shuffle of them.
+    The check is a filter, so it is run whatever columns are used afterwards. Rows shuffle once by key.
     """
     rest = [c for c in batch.columns if c not in key]
-    packed = F.first(F.struct(*(rest or key))).alias("__rest")
-    n = F.count("*").alias("__n")
-    checked = F.when(
-        F.col("__n") > 1, F.raise_error(F.lit("key occurs twice in one batch: " + ", ".join(key)))
-    ).otherwise(F.col("__rest"))
+    told = F.raise_error(F.lit("key occurs twice in one batch: " + ", ".join(key))).cast("boolean")
     return (
-        batch.groupBy(*key).agg(packed, n)
-        .select(*key, checked.alias("__rest"))
+        batch.groupBy(*key).agg(F.first(F.struct(*(rest or key))).alias("__rest"), F.count("*").alias("__n"))
+        .where(F.when(F.col("__n") > 1, told).otherwise(F.lit(True)))
         .select(*[F.col(c) if c in key else F.col(f"__rest.{c}").alias(c) for c in batch.columns])
     )
 
 
 def upsert(base: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Base rows whose key is not in the batch, plus the whole batch."""
-    batch = unique_or_fail(batch.select(*base.columns), list(key))
-    return base.join(batch.select(*key), list(key), "left_anti").select(*base.columns).unionByName(batch)
+    """Base rows whose key is not in the batch, plus the whole batch; ``key`` is the primary key of ``base``.
+
+    One full outer join: both tables are read and shuffled once. A null key matches nothing, so such rows are kept
+    from both sides.
+    """
+    new = unique_or_fail(batch.select(*base.columns), list(key)).select(
+        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(key)], F.struct(*base.columns).alias("__new")
+    )
+    matches = [base[k] == F.col(f"__key{i}") for i, k in enumerate(key)]
+    joined = base.join(new, matches, "full")
+    return joined.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(base[c]).alias(c) for c in base.columns])
 
 
 def delete_first(df: DataFrame, match: Sequence[str], primary_key: str) -> DataFrame:

@@ -107,11 +107,11 @@ CELLS = """
 _IN_BOX = "row_no BETWEEN 2 AND 3 AND col_no BETWEEN 2 AND 3"
 _MARKS = """
     marks AS (SELECT sheet, min(row_no) FILTER (value = 'The') AS a, min(row_no) FILTER (value = 'Of') AS b
-        FROM cells WHERE col_no = 3 AND row_no <= 1000 GROUP BY sheet)"""
+        FROM cells WHERE col_no = 3 GROUP BY sheet)"""
 
 ORACLES = {
     "sheet_scan": f"WITH {CELLS} SELECT sheet, row_no, t AS line, string_split(t, ' ')[1] AS word FROM lines WHERE row_no > 1",
-    "find_row": f"WITH {CELLS} SELECT sheet, min(row_no) AS row_no FROM cells WHERE col_no = 3 AND value = 'The' AND row_no <= 1000 GROUP BY sheet",
+    "find_row": f"WITH {CELLS} SELECT sheet, min(row_no) AS row_no FROM cells WHERE col_no = 3 AND value = 'The' GROUP BY sheet",
     "find_col": f"WITH {CELLS} SELECT sheet, min(col_no) AS col_no FROM cells WHERE row_no = 1 AND value = 'en' GROUP BY sheet",
     "section_slice": f"WITH {CELLS}, {_MARKS} SELECT c.* FROM cells c JOIN marks m ON c.sheet = m.sheet AND row_no >= a AND row_no < b",
     "grid_set_value": f"""

@@ -90,13 +90,14 @@ QUERIES = {
     )
 }
 
-_LETTERS = """
-    abc AS (SELECT i, chr(CAST(65 + i AS INTEGER)) AS c FROM range(26) r(i)),
-    cols AS (SELECT i + 1 AS num, c AS name FROM abc
-        UNION ALL SELECT 26 * (a.i + 1) + b.i + 1, a.c || b.c FROM abc a, abc b
-        UNION ALL SELECT 676 * (a.i + 1) + 26 * (b.i + 1) + d.i + 1, a.c || b.c || d.c FROM abc a, abc b, abc d
-        UNION ALL SELECT 17576 * (a.i + 1) + 676 * (b.i + 1) + 26 * (d.i + 1) + e.i + 1, a.c || b.c || d.c || e.c
-            FROM abc a, abc b, abc d, abc e)"""
+def _letters_of(n: str) -> str:
+    """SQL for the letters of column ``n``, up to five of them."""
+    steps = [sum(26**j for j in range(k + 1)) for k in range(5)]
+    return " || ".join(
+        f"CASE WHEN {n} >= {steps[k]} THEN chr(CAST(65 + (({n} - {steps[k]}) // {26**k}) % 26 AS INTEGER)) ELSE '' END" for k in reversed(range(5))
+    )
+
+
 _RESCALED = """
     fonts AS (SELECT p_type AS sheet, p_partkey AS cell, p_brand AS font_name, CASE WHEN p_name <> 'small ring' THEN p_size END AS font_size FROM part),
     scaled AS (SELECT sheet, cell, 'Brand#2' AS font_name, font_name <> 'Brand#2' AS changed,
@@ -122,10 +123,9 @@ ORACLES = {
         SELECT o_orderkey AS name FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS done FROM lineitem GROUP BY 1)
             ON o_orderkey = l_orderkey WHERE done IS NULL OR done < o_orderdate""",
     "a1_columns": f"""
-        WITH {_LETTERS}
-        SELECT p_partkey + 1 AS n, a.name AS letters, p_partkey + 1 AS back, b.name AS shifted,
-            a.name || p_size || ':' || c.name || (p_size + 1) AS area
-        FROM part JOIN cols a ON a.num = p_partkey + 1 JOIN cols c ON c.num = p_partkey + 3 LEFT JOIN cols b ON b.num = p_partkey - 4""",
+        SELECT n, {_letters_of("n")} AS letters, n AS back, CASE WHEN n > 5 THEN {_letters_of("(n - 5)")} END AS shifted,
+            {_letters_of("n")} || p_size || ':' || {_letters_of("(n + 2)")} || (p_size + 1) AS area
+        FROM (SELECT p_partkey + 1 AS n, p_size FROM part)""",
     "tiered_rescale": f"WITH {_RESCALED} SELECT sheet, cell, font_name, font_size, changed FROM scaled",
     "tiered_rescale_counts": f"WITH {_RESCALED} SELECT sheet, count(*) FILTER (changed) AS n_changed FROM scaled GROUP BY sheet",
 }

@@ -81,7 +81,7 @@ def link_facts(spark, sf):
 
 
 def text_nodes(spark, sf):
-    return mk.text_nodes(_pages(spark, sf)).select("doc_id", "pos", "kind", "text")
+    return mk.text_nodes(_pages(spark, sf)).select("doc_id", "pos", "kind", "text", "shown")
 
 
 def comment_strip(spark, sf):
@@ -279,7 +279,7 @@ ORACLES = {
         d AS (SELECT doc_id, pos, kind, CASE WHEN kind = 'text' THEN replace(replace(replace(replace(replace(replace(replace(
             t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') ELSE t END AS t FROM n),
         s AS (SELECT doc_id, pos, kind, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM d)
-        SELECT doc_id, pos, kind, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS text FROM s WHERE t <> ''""",
+        SELECT doc_id, pos, kind, t AS text, CASE WHEN length(t) > 200 THEN left(t, 197) || '...' ELSE t END AS shown FROM s WHERE t <> ''""",
     "comment_strip": "SELECT page_id AS doc_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS text FROM pages",
     "tag_snippets": """
         SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?s)<a [^>]*>.*?</a>')) AS snippet FROM pages""",

@@ -94,9 +94,38 @@ def asof_events(spark, sf):
     ).select("event_id", "user_id", "signup_id")
 
 
+def _asof_by(spark, sf, at, band):
+    events = read_table(spark, sf, "events").select("event_id", "user_id", at.alias("at"), "event_type")
+    buys = events.where("event_type = 'purchase'").select("event_id", "user_id", "at")
+    signups = events.where("event_type = 'signup'").select("user_id", "at", F.col("event_id").alias("signup_id"))
+    return asof_backward(
+        buys, signups, by=["user_id"], left_on="at", right_on="at", payload=["signup_id"], tie_break=["signup_id"], band=band
+    ).select("event_id", "signup_id")
+
+
+def asof_double(spark, sf):
+    """The signup with the nearest value not above that of each purchase; values are fractions."""
+    return _asof_by(spark, sf, F.col("value"), 10)
+
+
+def asof_date(spark, sf):
+    """Last signup on the day of each purchase or before; days only."""
+    return _asof_by(spark, sf, F.col("ts").cast("date"), 7)
+
+
+def search_term_edges(spark, sf):
+    """Null and empty terms beside real ones find nothing, in a short term table and in a long one alike."""
+    nation = read_table(spark, sf, "nation")
+    few = nation.select(F.col("n_nationkey").cast("int").alias("seq"), F.when(F.col("n_nationkey") % 5 > 1, F.lit("that of")).when(F.col("n_nationkey") % 5 == 1, F.lit("")).alias("term"))
+    many = few.unionByName(read_table(spark, sf, "orders").select((F.col("o_orderkey") + 100).cast("int").alias("seq"), F.concat(F.lit("no such term "), "o_orderkey").alias("term")))
+    pages = _documents(spark, sf).select("doc_id", F.lit(1).alias("page_no"), "text")
+    found = [se.find_terms(pages, t).select("doc_id", "seq", F.lit(k).alias("terms")) for k, t in (("few", few), ("many", many))]
+    return found[0].unionByName(found[1])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (search_hits, search_sections, search_hits_ci, search_docs, search_context, search_term_table, outline_list, asof_heading, asof_events)
+    for f in (asof_double, asof_date, search_term_edges, search_hits, search_sections, search_hits_ci, search_docs, search_context, search_term_table, outline_list, asof_heading, asof_events)
 }
 
 _TERM_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS)) + ") v(seq, term)"
@@ -141,4 +170,13 @@ ORACLES = {
         FROM (SELECT * FROM events WHERE event_type = 'purchase') p
         ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND p.ts >= s.ts""",
 }
+_ASOF = """
+    SELECT p.event_id, max(struct_pack(a := {at_s}, b := s.event_id)).b AS signup_id
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id = s.user_id AND {at_s} <= {at_p} GROUP BY p.event_id"""
+ORACLES["asof_double"] = _ASOF.format(at_s="s.value", at_p="p.value")
+ORACLES["asof_date"] = _ASOF.format(at_s="CAST(s.ts AS DATE)", at_p="CAST(p.ts AS DATE)")
+ORACLES["search_term_edges"] = """
+    SELECT doc_id, CAST(n_nationkey AS INTEGER) AS seq, t.terms FROM documents, nation, (VALUES ('few'), ('many')) t(terms)
+    WHERE n_nationkey % 5 > 1 AND contains(replace(replace(text, chr(10), ' '), chr(13), ' '), 'that of')"""
 ORACLES["search_sections"] = ORACLES["search_hits"]

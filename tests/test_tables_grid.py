@@ -28,6 +28,11 @@ def test_upsert_rejects_repeated_keys(spark, orders):
     batch = spark.createDataFrame([(2, 30, "x"), (2, 31, "y")], "id int, product int, note string")
     with pytest.raises(Exception, match="key occurs twice"):
         tables.upsert(orders, batch, ["id"]).collect()
+    for narrowed in (lambda df: df.select("id").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="twice"):
+            narrowed(tables.upsert(orders, batch, ["id"]))
+    with pytest.raises(Exception, match="twice"):
+        tables.upsert(orders.select("id"), batch.select("id"), ["id"]).count()
 
 
 def test_delete_first(orders):
@@ -119,8 +124,9 @@ def test_keywords_and_sections(spark):
         [("s", 2, 1, "K"), ("s", 3, 1, "x"), ("s", 5, 1, "K"), ("s", 6, 1, "E"), ("s", 2, 4, "K"), ("t", 1, 1, "K"), ("u", 1001, 1, "K")],
         "sheet string, row_no int, col_no int, value string",
     )
-    assert rows(grid.find_row(cells, 1, "K"), "sheet") == [("s", 2), ("t", 1)]
-    assert rows(grid.find_row(cells, 1, "K", first=3), "sheet") == [("s", 5)]
+    assert rows(grid.find_row(cells, 1, "K"), "sheet") == [("s", 2), ("t", 1), ("u", 1001)]
+    assert rows(grid.find_row(cells, 1, "K", last=1000), "sheet") == [("s", 2), ("t", 1)]
+    assert rows(grid.find_row(cells, 1, "K", first=3, last=1000), "sheet") == [("s", 5)]
     assert rows(grid.find_col(cells, 2, "K"), "sheet") == [("s", 1)]
     assert [r[1] for r in rows(grid.section(cells, 1, "K", "E"), "row_no", "col_no")] == [2, 2, 3, 5]
     assert grid.sheets_like(cells, "s|u").count() == 6
