@@ -14,15 +14,15 @@ from docloom.llm.words import PIECE, mix, run_hashes
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5)  # characters (bytes of UTF-8)
-SAMPLE = 6_000  # labelled documents used for training at most
+SAMPLE = 2_500  # labelled documents used for training at most
 DIMENSIONS, EPOCHS, RATE, SEED = 16, 5, 1.0, 7
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
-def _features(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place, bucket) of all features of a buffer: words between blanks, pairs of neighbouring words, and character
+def _features(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, another place, bucket) of all features of a buffer: words between blanks, pairs of neighbouring words, and character
     n-grams that do not reach over a blank (one at either end marks the border of a word). The buffer begins and ends
     with a blank."""
     data = np.frombuffer(raw, np.uint8)
@@ -31,10 +31,10 @@ def _features(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return
     starts = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
     words = run_hashes(np.where(blank, 0, data)[starts[0] :], starts - starts[0])
-    yield starts, (words % np.uint64(BUCKETS)).astype(np.int32)
+    yield starts, starts, (words % np.uint64(BUCKETS)).astype(np.int32)
     pairs = mix(words[:-1] * np.uint64(31) + words[1:])
     pairs[words[:-1] == words[1:]] = 1  # a word said twice is one feature, whatever the word
-    yield starts[:-1], (pairs % np.uint64(BUCKETS)).astype(np.int32)
+    yield starts[:-1], starts[1:], (pairs % np.uint64(BUCKETS)).astype(np.int32)
     values = np.where(blank, 32, data).astype(np.uint32) + np.uint32(1)
     blanks = np.cumsum(blank, dtype=np.int32)
     for n in NGRAMS:
@@ -49,12 +49,13 @@ def _features(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h = h[place]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        yield place, (h >> np.uint32(14)).astype(np.int32)
+        inside = place + 1  # the second character is never a blank
+        yield inside, inside, (h >> np.uint32(14)).astype(np.int32)
 
 
 def _buffers(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Texts joined by two line breaks, a few MB at a time: first, last + 1, bytes, beginning of each. Between two texts
-    stand two blanks; only pairs of words reach over them, and those are dropped by the caller."""
+    stand two blanks; only pairs of words reach over them."""
     i = 0
     while i < len(texts):
         parts, size, j = [b"\n"], 1, i
@@ -71,12 +72,12 @@ def _buffers(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndar
 
 def _placed(raw: bytes, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of all features; a pair of words belongs to the text of both."""
-    for k, (place, bucket) in enumerate(_features(raw)):
-        owner = np.searchsorted(begins, place, "right") - 1
-        if k == 1:
-            same = owner == np.append(np.searchsorted(begins, place[1:], "right") - 1, len(begins) - 2)
-            place, bucket, owner = place[same], bucket[same], owner[same]
-        yield np.maximum(owner, 0), bucket
+    for first, last, bucket in _features(raw):
+        owner = np.searchsorted(begins, first, "right") - 1
+        if last is not first:
+            same = owner == np.searchsorted(begins, last, "right") - 1
+            owner, bucket = owner[same], bucket[same]
+        yield owner, bucket
 
 
 def bags(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
