@@ -122,9 +122,41 @@ def wsdl_catalogue(spark, sf):
     return sv.catalogue(_descriptions(spark, sf))
 
 
+def wsdl_deep_fields(spark, sf):
+    """Fields of types nested as deep as the part's size modulo seven, below a restriction."""
+    part = read_table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 7).alias("n"))
+    level = F.sequence(F.lit(0), F.col("n"))
+    opened = F.array_join(F.transform(level, lambda i: F.concat(F.lit('<x:element name="e'), i, F.lit('"><x:complexType><x:sequence>'))), "")
+    closed = F.repeat(F.lit("</x:sequence></x:complexType></x:element>"), F.col("n") + 1)
+    head = '<definitions xmlns:x="http://www.w3.org/2001/XMLSchema"><types><x:schema><x:complexType name="T"><x:complexContent><x:restriction base="B">'
+    tail = "</x:restriction></x:complexContent></x:complexType></x:schema></types></definitions>"
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit(head), opened, closed, F.lit(tail)).alias("text"))
+    return sv.fields(sv.parse(docs)).select("doc_id", "field_pos", "name", "type_name")
+
+
+def wsdl_prefixes(spark, sf):
+    """Ports whose addresses stand under several prefixes, or name the SOAP namespace themselves; none to three per document."""
+    uri = "http://schemas.xmlsoap.org/wsdl/soap/"
+    nation = read_table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 4).alias("n"))
+    address = lambda i: F.when(i % 3 == 0, F.lit("<a:address")).when(i % 3 == 1, F.lit("<b:address")).otherwise(F.lit(f'<address xmlns="{uri}"'))
+    port = lambda i: F.concat(F.lit('<port name="P'), i, F.lit('">'), address(i), F.lit(' location="u'), i, F.lit('"/></port>'))
+    ports = F.when(F.col("n") > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), port), "")).otherwise("")
+    head = f'<definitions xmlns:a="{uri}" xmlns:b="{uri}"><service name="S">'
+    docs = nation.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit(head), ports, F.lit("</service></definitions>")).alias("text"))
+    return sv.ports(sv.parse(docs)).select("doc_id", "port_pos", "port", "address")
+
+
+def wsdl_rejects(spark, sf):
+    """Descriptions cut short, lost or replaced by plain text."""
+    k = F.col("doc_id") % 5
+    docs = _descriptions(spark, sf).withColumn("text", F.when(k == 1, F.substring("text", 1, 900)).when(k == 2, F.lit(None)).when(k == 3, F.lit("no description")).otherwise(F.col("text")))
+    return sv.rejects(docs)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        wsdl_deep_fields, wsdl_prefixes, wsdl_rejects,
         wsdl_roundtrip, wsdl_ports, wsdl_bindings, wsdl_operations, wsdl_soap_action, wsdl_messages, wsdl_types, wsdl_fields,
         wsdl_references, wsdl_catalogue,
     )
@@ -161,6 +193,14 @@ _CATALOGUE = [
 ]
 
 ORACLES = {
+    "wsdl_deep_fields": """
+        SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS field_pos, 'e' || i AS name, 'T' AS type_name
+        FROM part, range(7) r(i) WHERE i <= p_size % 7""",
+    "wsdl_prefixes": """
+        SELECT n_nationkey AS doc_id, CAST(i AS INTEGER) AS port_pos, 'P' || i AS port, 'u' || i AS address
+        FROM nation, range(3) r(i) WHERE i < n_nationkey % 4""",
+    "wsdl_rejects": f"""
+        WITH {_BASE} SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'missing' ELSE 'unreadable' END AS reason FROM c WHERE doc_id % 5 IN (1, 2, 3)""",
     "wsdl_roundtrip": _rows("'urn:' || r_name AS target_namespace, c_name AS service, n_name AS port_type"),
     "wsdl_ports": _rows(
         "0 AS port_pos, c_name AS service, 'P1' AS port, 'B1' AS binding, 'http://one/' || k AS address",
