@@ -35,6 +35,11 @@ def sheet_scan(spark, sf):
     return sheets.to_wide(_cells(spark, sf), {1: "line", 3: "word"})
 
 
+def sheet_named(spark, sf):
+    """Cells under the names of their own sheet's first row."""
+    return sheets.named_cells(_cells(spark, sf))
+
+
 def find_row(spark, sf):
     return grid.find_row(_cells(spark, sf), 3, "The")
 
@@ -92,7 +97,7 @@ def object_delete(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        sheet_scan, find_row, find_col, section_slice, grid_set_value, grid_delete_rows, grid_delete_cols, grid_delete_range,
+        sheet_scan, sheet_named, find_row, find_col, section_slice, grid_set_value, grid_delete_rows, grid_delete_cols, grid_delete_range,
         grid_delete_range_left, grid_insert_range, grid_insert_range_right, grid_insert_rows, grid_insert_cols, object_delete,
     )
 }
@@ -111,6 +116,9 @@ _MARKS = """
 
 ORACLES = {
     "sheet_scan": f"WITH {CELLS} SELECT sheet, row_no, t AS line, string_split(t, ' ')[1] AS word FROM lines WHERE row_no > 1",
+    "sheet_named": f"""
+        WITH {CELLS} SELECT c.sheet, c.row_no, h.value AS name, c.value FROM cells c JOIN cells h
+            ON c.sheet = h.sheet AND c.col_no = h.col_no WHERE h.row_no = 1 AND c.row_no > 1 AND h.value IS NOT NULL""",
     "find_row": f"WITH {CELLS} SELECT sheet, min(row_no) AS row_no FROM cells WHERE col_no = 3 AND value = 'The' GROUP BY sheet",
     "find_col": f"WITH {CELLS} SELECT sheet, min(col_no) AS col_no FROM cells WHERE row_no = 1 AND value = 'en' GROUP BY sheet",
     "section_slice": f"WITH {CELLS}, {_MARKS} SELECT c.* FROM cells c JOIN marks m ON c.sheet = m.sheet AND row_no >= a AND row_no < b",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.rows import join_one_per_key
+
+WIDEST = 16_384  # fixed value: columns of a sheet
 
 def read_csv_sheet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV export of one sheet with a header row. Without ``schema`` every column is text."""
@@ -15,7 +18,20 @@ def read_csv_sheet(spark: SparkSession, path: str, schema: str | None = None) ->
 def header_of(cells: DataFrame, sheet: str, header_row: int = 1) -> dict[int, str]:
     """Column number to header text: one sheet's header row, at most as wide as a sheet."""
     rows = cells.where((F.col("sheet") == sheet) & (F.col("row_no") == header_row)).select("col_no", "value")
-    return {r["col_no"]: r["value"] for r in rows.orderBy("col_no").collect()}
+    found = rows.orderBy("col_no").limit(WIDEST + 1).collect()
+    if len(found) > WIDEST:
+        raise ValueError(f"row {header_row} of sheet {sheet} has more than {WIDEST} cells")
+    return {r["col_no"]: r["value"] for r in found}
+
+
+def named_cells(cells: DataFrame, header_row: int = 1) -> DataFrame:
+    """Cells below the header under the names that their own sheet's header row gives: sheet, row_no, name, value.
+
+    Every sheet has its own header. Columns without a header cell are left out. A sheet with most rows is spread over tasks.
+    """
+    names = cells.where(F.col("row_no") == header_row).groupBy("sheet", "col_no").agg(F.max("value").alias("name"))
+    below = cells.where(F.col("row_no") > header_row)
+    return join_one_per_key(below, names, ["sheet", "col_no"], salt=F.col("row_no")).where(F.col("name").isNotNull()).select("sheet", "row_no", "name", "value")
 
 
 def to_wide(cells: DataFrame, columns: dict[int, str], header_row: int = 1) -> DataFrame:

@@ -105,6 +105,49 @@ def write_keyed_text(df: DataFrame, path: str, keys: list[str], content: str, or
     placed.select(*keys, F.col(content).cast("string").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
+def write_files(df: DataFrame, root: str, path: str, content: str, order: list[str] | None = None) -> None:
+    """One file per value of ``path`` below ``root``, at exactly that place: ``1/a_b.txt``, ``src/x.jsp.txt``.
+
+    Without ``order`` there is one row per path and its content is the file. With ``order`` the rows of a path are the lines of
+    a report: they are sorted in their task and written one after the other, so a report is never held as a whole. Files are
+    written under another name and then renamed; a repeated task writes them again. Null paths are left out, null contents
+    count as empty. ``root`` is a folder that the tasks can reach, a path or a URI that Arrow's file systems know.
+    """
+
+    def write(batches):
+        import posixpath
+        import uuid
+
+        import pandas as pd
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        at, own, out = None, None, None
+
+        def close():
+            if out is not None:
+                out.close()
+                files.move(own, posixpath.join(top, at))
+
+        n = 0
+        for b in batches:
+            for where, text in zip(b["path"], b["text"]):
+                if where != at:
+                    close()
+                    at = where
+                    folder = posixpath.dirname(posixpath.join(top, at))
+                    files.create_dir(folder, recursive=True)
+                    own = posixpath.join(folder, "." + uuid.uuid4().hex)
+                    out, n = files.open_output_stream(own), n + 1
+                out.write(((text or "") + ("\n" if order else "")).encode("utf-8", "surrogatepass"))
+        close()
+        yield pd.DataFrame({"files": [n]})
+
+    rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("string").alias("text"), *(order or []))
+    placed = rows.repartition("path").sortWithinPartitions("path", *order) if order else rows
+    placed.select("path", "text").mapInPandas(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def report_path(rel_path: Column, suffix: str = ".jsp.txt") -> Column:
     """Where the report of a source file goes: the same place in the output tree, with the suffix replaced."""
     return F.concat(F.regexp_replace(rel_path, r"\.[^./]*$", ""), F.lit(suffix))

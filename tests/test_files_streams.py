@@ -92,6 +92,8 @@ def test_import_to_keyed_files(spark, tmp_path):
     assert [tuple(r) for r in out.orderBy("path").collect()] == [("1/a_b.txt", "1", "new"), ("3/v.txt", "3", "")]
     sinks.write_keyed_text(out, str(tmp_path / "k"), ["no"], "content")
     assert spark.read.text(str(tmp_path / "k/no=1")).first().value == "new"
+    sinks.write_files(out, str(tmp_path / "f"), "path", "content")
+    assert {str(p.relative_to(tmp_path / "f")): p.read_text() for p in (tmp_path / "f").rglob("*.txt")} == {"1/a_b.txt": "new", "3/v.txt": ""}
     with pytest.raises(ValueError, match="missing columns: v9, v8"):
         ingest.import_rows(sheet, "No.", "v9", "v8")
 
@@ -103,6 +105,9 @@ def test_reports_as_ordered_lines(spark, tmp_path):
     text = "".join(open(p, encoding="utf-8").read() for p in parts(tmp_path / "r/doc_id=d1", ".txt"))
     where = docs.select(sinks.report_path(F.lit("a.b/x.jsp")).alias("p")).first().p
     assert where == "a.b/x.jsp.txt"
+    reports = lines.withColumn("path", F.concat(F.lit("out/"), sinks.report_path(F.concat("doc_id", F.lit(".wsdl")), ".txt")))
+    sinks.write_files(reports, str(tmp_path / "m"), "path", "line", order=["line_no"])
+    assert (tmp_path / "m/out/d1.txt").read_text() == "".join(r.line + "\n" for r in lines.orderBy("line_no").collect())
     assert "ターゲット名前空間: urn:q" in text and text.index("WSDL") < text.index("urn:q") < text.index("🔧")
 
 
