@@ -225,7 +225,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["__text"]]
+            texts = [t if isinstance(t, str) else None for t in b[text]]
             found = search(texts)
             n_hit, items = [sum(y - x for x, y in f[2]) for f in found], [set(f[1]) for f in found]
             out = b[kept].copy()
@@ -249,7 +249,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 
     passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
     schema = f"{passed}, n_hit long, items array<string>" + ("" if clean else ", n_words long, spans array<struct<start:long,end:long>>")
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return docs.select(*(kept if text in kept else [*kept, text])).mapInPandas(run, schema)
 
 
 def op7_benchmark_decontamination(spark, sf):

@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = tokenizer(path)
-        for b in batches:
+        for b in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
             ids, counts = known.encode([t if isinstance(t, str) else None for t in b["text"]])
             ids, at, rows = ids.astype("<u4"), 0, []
             for k, n in zip(b["id"].tolist(), counts.tolist(), strict=True):

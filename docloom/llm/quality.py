@@ -14,7 +14,7 @@ from docloom.llm.words import PIECE, mix, run_hashes
 
 BUCKETS = 1 << 18
 NGRAMS = (3, 4, 5)  # characters (bytes of UTF-8)
-SAMPLE = 2_500  # labelled documents used for training at most
+SAMPLE = 2_000  # labelled documents used for training at most
 DIMENSIONS, EPOCHS, RATE, SEED = 16, 5, 1.0, 7
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -161,8 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     counted = texts.mapInPandas(count, "id string, label int, ids binary, n binary")
-    rows = counted.groupBy("id").agg(F.min(F.struct("label", "ids", "n")).alias("r")).select("id", "r.*").collect()
-    return train([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<i4"), r["label"]) for r in sorted(rows, key=lambda r: r["id"])])
+    rows = counted.groupBy("id").agg(F.min(F.struct("label", "ids", "n")).alias("r")).select("id", "r.*").toLocalIterator()
+    # One partition after the other, so that the driver never holds the rows twice.
+    found = sorted(((r["id"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<i4"), r["label"]) for r in rows), key=lambda r: r[0])
+    return train([r[1:] for r in found])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -171,13 +173,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
     kept = [c for c in docs.columns if c.lower() != "score"]
+    asked = kept if text in kept else [*kept, text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[kept].assign(score=shared.value.scores([t if isinstance(t, str) else None for t in b["__text"]]))
+            yield b[kept].assign(score=shared.value.scores([t if isinstance(t, str) else None for t in b[text]]))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, f"{schema}, score double")
+    return docs.select(*asked).mapInPandas(run, f"{schema}, score double")
 
 
 def score_ids(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,9 +13,9 @@ import numpy as np
 
 from docloom.llm.words import run_hashes
 
-PIECE = 1 << 21
-REMEMBERED = 1_000_000  # distinct parts kept by one worker, about 60 MB
-GROUP = 20
+PIECE = 1 << 20  # bytes cut into parts at once
+REMEMBERED = 800_000  # distinct parts kept by one worker, about 50 MB
+GROUP, GROUPS = 20, 200  # parts in one text for the library, and texts in one call: its results take much memory
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 _PRINTED = np.zeros(256, bool)
@@ -63,9 +63,10 @@ class PartTokenizer:
         simple = [p for p in parts if self._simple(p)]
         other = [p for p in parts if not self._simple(p)]
         groups = [simple[i : i + GROUP] for i in range(0, len(simple), GROUP)]
-        if groups:
-            joined = self.library.encode_batch_fast([b"\0".join(g).decode() for g in groups], add_special_tokens=False)
-            for group, out in zip(groups, joined, strict=True):
+        for i in range(0, len(groups), GROUPS):
+            some = groups[i : i + GROUPS]
+            joined = self.library.encode_batch_fast([b"\0".join(g).decode() for g in some], add_special_tokens=False)
+            for group, out in zip(some, joined, strict=True):
                 ids, at = out.ids, 0
                 for part in group:
                     end = ids.index(self.mark, at) if self.mark in ids[at:] else len(ids)

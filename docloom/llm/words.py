@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 21  # bytes handled at once; numpy needs about 40 bytes of memory for each
+PIECE = 1 << 19  # bytes handled at once; numpy needs about 40 bytes of memory for each
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
