@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.store import keep_columns, ship_package
-from docloom.llm.words import blocks, words_of
+from docloom.llm.words import WORDS_SQL, blocks, words_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20  # words in one index, unless one document has more
@@ -264,5 +264,24 @@ def op7_benchmark_decontamination(spark, sf):
     )
 
 
+ORACLE = """
+with dw as (select doc_id, {WORDS_SQL} as w from documents),
+bw as (select item_id, {WORDS_SQL} as w from benchmark),
+wins as (
+  select item_id, least(len(w), 10) as n, md5(array_to_string(w[i:i + 9], ' ')) as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from bw where len(w) > 0)),
+spots as (
+  select doc_id, n, i, md5(array_to_string(w[i:i + n - 1], ' ')) as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, (select distinct n from wins) where len(w) >= n)),
+met as (select doc_id, item_id, i, s.n from spots s join wins using (win, n)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from met) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item_id::varchar as item from met) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join hit using (doc_id) left join items using (doc_id)
+""".replace("{WORDS_SQL}", WORDS_SQL)
+
 QUERIES = {"op7_benchmark_decontamination": op7_benchmark_decontamination}
-ORACLES = {}
+ORACLES = {"op7_benchmark_decontamination": ORACLE}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
 from docloom.llm.store import salted_lookup, ship_package, staged
-from docloom.llm.words import blocks, mix
+from docloom.llm.words import WORDS_SQL, blocks, mix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 3  # a pair at the threshold shares no band with probability (1 - 0.8^3)^24 = 3e-8
@@ -239,5 +239,24 @@ def op5_ngram_jaccard(spark, sf):
     return similar_documents(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_text_links")
 
 
+ORACLE = """
+with recursive dw as (select doc_id, {WORDS_SQL} as w from documents),
+sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from dw),
+keyed as (select doc_id, s, len(s) as n, md5(array_to_string(s, chr(10))) as k from sets),
+every as (select doc_id, n, k, unnest(s) as shingle from keyed),
+each as (select * from every where shingle in (select shingle from every group by shingle having count(*) > 1)),
+common as (
+  select a.doc_id as a, b.doc_id as b, b.k <> a.k as other, b.k as k, count(*) / (a.n + b.n - count(*)) as share
+  from each a join each b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n, a.k, b.k),
+links as (select * from common where share >= 0.8),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on r.b = l.a),
+classes as (select a, min(b) as class_id from reach group by a),
+counts as (select a, count(*) as n_links, count(distinct k) filter (other) as n_text_links from links group by a)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links, coalesce(n_text_links, 0)::bigint as n_text_links
+from documents d join classes c on d.doc_id = c.a left join counts n on d.doc_id = n.a
+""".replace("{WORDS_SQL}", WORDS_SQL)
+
 QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard}
-ORACLES = {}
+ORACLES = {"op5_ngram_jaccard": ORACLE}

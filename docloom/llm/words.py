@@ -19,6 +19,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1 << 16, np.uint64)
 _POWERS[1:] = np.cumprod(np.full((1 << 16) - 1, _BASE, np.uint64))
 
+# The same words in DuckDB's SQL, of a column named text.
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes so that all bits depend on all input bits."""
