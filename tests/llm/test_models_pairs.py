@@ -1,10 +1,14 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from test_sharding_lines import brute_lines
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docloom.llm import jaccard, quality
@@ -151,6 +155,60 @@ def test_pipeline(spark, tmp_path):
     assert len(dropped_good) < 0.35 * len(labels)
 
 
+def brute_lines_of(docs):
+    """Documents after line dedup, by the brute-force version of the operator."""
+    done = brute_lines([(k, 0, t) for k, t in docs])
+    return [(k, done[k, 0][0]) for k, _ in docs if done[k, 0][1] == 0 or done[k, 0][2] < done[k, 0][1]]
+
+
+def brute_cut(text, items):
+    """The text without windows of benchmark items; a line break in each place, until none is left."""
+    while True:
+        found = list(WORD.finditer((text or "").translate(LOWER)))
+        w, hit = [m.group() for m in found], []
+        for item in items:
+            v = words(item)
+            for i in range(max(1, len(v) - 9) if v else 0):
+                part = v[i : i + 10]
+                hit += [(j, j + len(part)) for j in range(len(w) - len(part) + 1) if w[j : j + len(part)] == part]
+        if not hit:
+            return text
+        spans = []
+        for a, b in sorted(hit):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        for a, b in reversed(spans):
+            text = text[: found[a].start()] + "\n" + text[found[b - 1].end() :]
+
+
+def test_pipeline_against_brute_force(spark):
+    """From the classifier's choice on, every stage is redone plainly; the packing is checked for its places."""
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    good = corpus_pipeline.quality_classifier(spark, docs, source).select("doc_id", "text").collect()
+    rest = brute_lines_of(sorted((r.doc_id, r.text) for r in good))
+    classes = brute_links(rest)
+    rest = [d for d, c in zip(rest, classes, strict=True) if d[0] == c[1]]
+    items = [r.text for r in spark.read.parquet(f"{source}/benchmark.parquet").select("text").collect()]
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    known.encode_special_tokens = True
+    want = []
+    for key, text in rest:
+        ids = np.array([*known.encode(brute_cut(text, items) or "", add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or min(2048, len(ids)), len(ids) + 1, 2048)]
+        want += [(key, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = corpus_pipeline.run(spark, source).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for pieces in held.values():
+        ends = [0, *(a + n for a, n in sorted(pieces))]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+
+
 def test_one_of_each_class_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near = text.replace("w30", "x")

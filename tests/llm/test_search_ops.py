@@ -106,7 +106,7 @@ def test_top_products_against_brute_force(spark):
     draw = random.Random(9)
     rows = [(i, [draw.uniform(-1, 1) for _ in range(6)]) for i in range(1500)]
     rows += [(2000 + i, rows[7][1]) for i in range(1200)]  # one common vector
-    rows += [(None, [1.0] * 6), (5000, None), (5001, [1.0, None, 0, 0, 0, 0]), (5002, [float("nan")] * 6), (5003, [float("inf")] * 6), (5100, [0.5, 0.25]), (5200, []), (5300, [1e9] * 6)]
+    rows += [(None, [1.0] * 6), (5000, None), (5001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5002, [float("nan")] * 6), (5003, [float("inf")] * 6), (5100, [0.5, 0.25]), (5200, []), (5300, [1e9] * 6)]
     table = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<double>, score string")
     vectors = knn.whole_vectors(table)
     got = sorted(tuple(r) for r in knn.top_products(vectors, vectors.where("id % 100 = 0"), 10).collect())
