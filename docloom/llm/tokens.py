@@ -2,7 +2,8 @@
 
 Both tokenizers split a text before they merge: white space after a printed character, and punctuation after a letter,
 always begin a new part. A text is cut at such places only, so the ids of the parts in order are the ids of the text.
-Distinct parts are found with numpy, encoded by the library and remembered.
+Nothing is cut inside a string of an added token, such as ``<|endoftext|>``. Distinct parts are found with numpy, encoded
+by the library and remembered.
 """
 
 from __future__ import annotations
@@ -34,14 +35,19 @@ def _printed_before(data: np.ndarray) -> np.ndarray:
 
 
 class PartTokenizer:
-    """Ids by ``tokenizers`` for many texts. Strings of special tokens are ordinary text."""
+    """Ids by ``tokenizers`` for many texts. With ``added``, strings of special tokens get the ids of those tokens, as the
+    library gives them by default; without, they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        known = [t for t in self.library.get_added_tokens_decoder().values() if added or not t.special]
+        self.tokens = [t.content.encode() for t in known]
+        # Tokens that look at their neighbours or at normalised text leave no safe place to cut.
+        self.uncut = any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in known)
         mark = self.library.encode("\x00", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
@@ -52,8 +58,8 @@ class PartTokenizer:
         self.ids = np.zeros(0, np.uint32)
 
     def _simple(self, part: bytes) -> bool:
-        """May stand between two marks: begins with a blank or letter, ends with a letter, has no mark."""
-        if self.mark is None or 0 in part or not (_SPACE[part[0]] or _LETTER[part[0]]):
+        """May stand between two marks: begins with a blank or letter, ends with a letter, has no mark and no added token."""
+        if self.mark is None or self.uncut or 0 in part or any(t in part for t in self.tokens) or not (_SPACE[part[0]] or _LETTER[part[0]]):
             return False
         last = part[-1]
         return bool(_LETTER[last]) or (len(part) > 2 and part[-2] == 0xC3 and 0x80 <= last < 0xC0 and last not in (0x97, 0xB7))
@@ -121,12 +127,20 @@ class PartTokenizer:
         data = np.frombuffer(raw, np.uint8)
         ends = np.cumsum([len(c) for c in coded])
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+        inner = np.zeros(len(data), bool)  # bytes of an added token after its first
+        for token in self.tokens:
+            found = raw.find(token)
+            while found >= 0:
+                inner[found + 1 : found + len(token)] = True
+                found = raw.find(token, found + 1)
         counts, out, at, span = np.zeros(len(texts), np.int64), [], 0, PIECE
         while at < len(data):
             part = data[at : at + span]
             cut = np.zeros(len(part), bool)
             cut[0] = True
-            cut[1:] = (_SPACE[part[1:]] & _printed_before(part)[:-1]) | (_POINT[part[1:]] & _LETTER[part[:-1]])
+            if not self.uncut:
+                cut[1:] = (_SPACE[part[1:]] & _printed_before(part)[:-1]) | (_POINT[part[1:]] & _LETTER[part[:-1]])
+                cut &= ~inner[at : at + span]
             inside = begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + len(part))] - at
             cut[inside] = True
             starts = np.flatnonzero(cut)
@@ -147,7 +161,7 @@ _LOADED: dict[str, PartTokenizer] = {}
 
 
 def tokenizer(path: str) -> PartTokenizer:
-    """One tokenizer per worker process and file."""
+    """One tokenizer per worker process and file, with the ids of the untouched library."""
     if path not in _LOADED:
-        _LOADED[path] = PartTokenizer(path)
+        _LOADED[path] = PartTokenizer(path, added=True)
     return _LOADED[path]

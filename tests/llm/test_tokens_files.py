@@ -37,6 +37,31 @@ def test_parts_give_the_ids_of_the_whole_text(documents, monkeypatch, name):
     assert parts.encode([])[0].size == 0
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_have_their_own_ids(spark, monkeypatch, name):
+    path = public_tokenizers.path(name)
+    whole, parts, draw = Tokenizer.from_file(path), tokens.PartTokenizer(path, added=True), random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "b", " ", "  ", "\n", ".", "'s", "é", "日", "\x00", "<|", "|>", "\u0338"]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext<|endoftext|>|>", "<|endoftext|><|endoftext|>", "<|endof", "text|>"]
+    texts += ["".join(draw.choice(bits) for _ in range(30)) for _ in range(500)]
+    known = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for piece, kept in ((1 << 21, 1_000_000), (64, 50), (8, 50)):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        monkeypatch.setattr(tokens, "REMEMBERED", kept)
+        ids, counts = parts.encode(texts)
+        assert counts.tolist() == [len(k) for k in known] and ids.tolist() == [i for k in known for i in k]
+    monkeypatch.setattr(parts, "uncut", True)
+    assert parts.encode(texts)[0].tolist() == [i for k in known for i in k]
+
+    docs = spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")
+    crcs = {k: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for k, ids in enumerate(known[:20])}
+    folder = shared_folder(spark, "ids")
+    written = idfile.read_token_files(spark, folder, idfile.write_token_files(docs, folder, path, 2))
+    assert {r.doc_id: r.ids_crc32 for r in written.collect()} == crcs
+    end = packing.pack_documents(docs, path).where("piece = 0").collect()
+    assert {r.doc_id: r.length for r in end} == {k: len(ids) + 1 for k, ids in enumerate(known[:20])}
+
+
 def test_files_hold_any_ids():
     values = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 3, np.uint32)
     for n in range(22):
