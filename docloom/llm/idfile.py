@@ -84,7 +84,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Encode every whole text (null: empty), add ``end_id`` and write the ids to files in ascending key order (nulls
     first, equal keys by a hash of their text). Gives the list of files: file, part, seq, n_docs, n_ids.
 
-    Texts are dealt to tasks by key ranges and sorted there. A file's name comes from its task and number and its bytes
+    Texts are dealt to tasks by ranges of key and hash and sorted there, so a key (or null) with many rows is spread over
+    several tasks; only rows that agree in both meet in one. A file's name comes from its task and number and its bytes
     from the texts alone, so a repeated task writes the same files again. An empty table writes no file.
     """
     spark = docs.sparkSession
@@ -121,7 +122,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     # The largest 64-bit key is left as it is; nulls come first in Spark's order.
     dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartitionByRange(tasks, "id").sortWithinPartitions("id", F.xxhash64("text")).select("id", "text", F.spark_partition_id().alias("part"))
+    order = [F.col("id"), F.xxhash64("text")]
+    ordered = dealt.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
     return staged(ordered.mapInPandas(write, "file string, part long, seq long, n_docs long, n_ids long"), "idfiles")
 
 

@@ -87,6 +87,19 @@ def test_token_files_round_trip(spark, documents, nothing, file_ids):
     assert idfile.read_token_files(spark, empty, idfile.write_token_files(nothing, empty, path, 2)).count() == 0
 
 
+def test_rows_of_one_key_are_spread(spark):
+    path, n = public_tokenizers.path(NAMES[1]), 4000
+    docs = spark.range(2 * n).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('text ', id) as text")
+    folder = shared_folder(spark, "ids")
+    files = idfile.write_token_files(docs, folder, path, 2)
+    assert max(r.n_docs for r in files.groupBy("part").agg(F.sum("n_docs").alias("n_docs")).collect()) < n / 2
+    got = [(r.doc_id, r.ids_crc32) for r in idfile.read_token_files(spark, folder, files).orderBy("start").collect()]
+    whole, want = library(NAMES[1]), []
+    for r in docs.orderBy("doc_id", F.xxhash64("text")).collect():
+        want.append((r.doc_id, zlib.crc32(np.array([*whole.encode(r.text, add_special_tokens=False).ids, 2], "<u4").tobytes())))
+    assert got == want
+
+
 def test_plan_is_close_to_the_bound():
     draw = random.Random(4)
     for capacity, most in ((2048, 2048), (2048, 500), (100, 60), (10, 10)):
