@@ -6,11 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD_ROWS = 500_000  # a list of rows of fixed width is sent to all executors up to this length and shuffled beyond it
 _SHIPPED: set[str] = set()
 
 
@@ -56,6 +59,36 @@ def keep_columns(df: DataFrame, made: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def fields_of(df: DataFrame, columns: list[str]) -> str:
+    """The schema text of some columns of ``df``."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in columns)
+
+
+def map_texts(df: DataFrame, make: Callable[[list[str | None]], dict[str, list]], schema: str, kept: list[str], text: str = "text") -> DataFrame:
+    """The columns ``kept`` of ``df`` and those that ``make`` gives for its texts, one value per row.
+
+    Kept columns stay Arrow arrays, so that integers beside nulls, decimals and times come back as they were. ``make``
+    gets lists of texts and returns a list for each column of ``schema``.
+    """
+    asked = kept if text in kept else [*kept, text]
+    out = f"{fields_of(df, kept)}, {schema}" if kept else schema
+    made = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = make(b.column(text).to_pylist())
+            columns = [b.column(c) for c in kept] + [pa.array(found[f.name], f.type) for f in made]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made.names])
+
+    return df.select(*asked).mapInArrow(run, out)
+
+
+def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+
 def _file_system(folder: str):
     from pyarrow import fs
 
