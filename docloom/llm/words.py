@@ -23,6 +23,11 @@ _POWERS[1:] = np.cumprod(np.full((1 << 16) - 1, _BASE, np.uint64))
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
+def lowered(raw: bytes) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[np.frombuffer(raw, np.uint8)]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes so that all bits depend on all input bits."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
