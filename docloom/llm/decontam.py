@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import keep_columns, ship_package
+from docloom.llm.store import keep_columns, map_texts, ship_package
 from docloom.llm.words import WORDS_SQL, blocks, words_of
 
 WINDOW = 10
@@ -223,33 +222,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
             return found[0]
         return [(x[0][0], set().union(*(y[1] for y in x)), merged([s for y in x for s in y[2]]), merged([s for y in x for s in y[3]])) for x in zip(*found, strict=True)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b[text]]
-            found = search(texts)
-            n_hit, items = [sum(y - x for x, y in f[2]) for f in found], [set(f[1]) for f in found]
-            out = b[kept].copy()
-            if clean:
-                dirty = [i for i, f in enumerate(found) if f[3]]
-                hits = {i: found[i] for i in dirty}
-                while dirty:
-                    for i in dirty:
-                        texts[i] = _without(texts[i], hits[i][3])
-                    again = search([texts[i] for i in dirty])
-                    hits = {i: f for i, f in zip(dirty, again, strict=True) if f[3]}
-                    for i, f in hits.items():
-                        n_hit[i] += sum(y - x for x, y in f[2])
-                        items[i] |= f[1]
-                    dirty = list(hits)
-                out[text] = texts
-            else:
-                out["n_words"] = [f[0] for f in found]
-                out["spans"] = [[{"start": x, "end": y} for x, y in f[2]] for f in found]
-            yield out.assign(n_hit=n_hit, items=[sorted(map(str, x)) for x in items])
-
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    schema = f"{passed}, n_hit long, items array<string>" + ("" if clean else ", n_words long, spans array<struct<start:long,end:long>>")
-    return docs.select(*(kept if text in kept else [*kept, text])).mapInPandas(run, schema)
+    def run(texts: list[str | None]) -> dict[str, list]:
+        found = search(texts)
+        n_hit, items = [sum(y - x for x, y in f[2]) for f in found], [set(f[1]) for f in found]
+        if clean:
+            dirty = [i for i, f in enumerate(found) if f[3]]
+            hits = {i: found[i] for i in dirty}
+            while dirty:
+                for i in dirty:
+                    texts[i] = _without(texts[i], hits[i][3])
+                again = search([texts[i] for i in dirty])
+                hits = {i: f for i, f in zip(dirty, again, strict=True) if f[3]}
+                for i, f in hits.items():
+                    n_hit[i] += sum(y - x for x, y in f[2])
+                    items[i] |= f[1]
+                dirty = list(hits)
+            made = {text: texts}
+        else:
+            made = {"n_words": [f[0] for f in found], "spans": [[{"start": x, "end": y} for x, y in f[2]] for f in found]}
+        return made | {"n_hit": n_hit, "items": [sorted(map(str, x)) for x in items]}
+
+    if clean:
+        out = map_texts(docs, run, f"`{text}` string, n_hit long, items array<string>", [c for c in kept if c != text], text)
+        return out.select(*kept, "n_hit", "items")
+    return map_texts(docs.select(key, text), run, "n_hit long, items array<string>, n_words long, spans array<struct<start:long,end:long>>", [key], text)
 
 
 def op7_benchmark_decontamination(spark, sf):

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,34 +98,34 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         put_file(folder, name, encode_file(keys, counts, ids))
         return {"file": name, "part": part, "seq": seq, "n_docs": len(keys), "n_ids": len(ids)}
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, seq, held, size = tokenizer(tokenizer_path), 0, 0, [], 0
         for b in batches:
             if len(b):
-                part = int(b["part"].iloc[0])
+                part = b.column("part")[0].as_py()
             for i in range(0, len(b), 1000):
-                some = b.iloc[i : i + 1000]
-                ids, counts = known.encode([t if isinstance(t, str) else None for t in some["text"]])
+                some = b.slice(i, 1000)
+                ids, counts = known.encode(some.column("text").to_pylist())
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
                 counts = counts + 1
-                keys = [None if pd.isna(k) else int(k) for k in some["id"]]
+                keys = some.column("id").to_pylist()
                 at = first = 0
                 for j, n in enumerate(np.cumsum(counts).tolist()):
                     if size + n - at >= file_ids or j == len(keys) - 1:
                         held.append((keys[first : j + 1], counts[first : j + 1].tolist(), ids[at:n]))
                         size, at, first = size + n - at, n, j + 1
                     if size >= file_ids:
-                        yield pd.DataFrame([close(part, seq, held)])
+                        yield pa.RecordBatch.from_pylist([close(part, seq, held)])
                         seq, held, size = seq + 1, [], 0
         if held:
-            yield pd.DataFrame([close(part, seq, held)])
+            yield pa.RecordBatch.from_pylist([close(part, seq, held)])
 
     # The largest 64-bit key is left as it is; nulls come first in Spark's order.
     dealt = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("id"), F.xxhash64("text")]
     ordered = dealt.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
-    return staged(ordered.mapInPandas(write, "file string, part long, seq long, n_docs long, n_ids long"), "idfiles")
+    return staged(ordered.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long"), "idfiles")
 
 
 def read_token_files(spark, folder: str, files: DataFrame, with_ids: bool = False) -> DataFrame:

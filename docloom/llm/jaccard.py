@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.graph import components
-from docloom.llm.store import salted_lookup, ship_package, staged
+from docloom.llm.store import map_texts, salted_lookup, ship_package, staged
 from docloom.llm.words import WORDS_SQL, blocks, mix
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 3  # a pair at the threshold shares no band with probability (1 - 0.8^3)^24 = 3e-8
+BANDS, ROWS = 46, 5  # a pair at the threshold shares no band with probability (1 - 0.8^5)^46 = 1.2e-8
 HASHES = BANDS * ROWS
-STEP = 12  # MinHash values compared at a time
+STEP = 10  # MinHash values compared at a time
+CHUNK = 1 << 15  # sets whose bands one task compares at once
 TOLERANCE = 1e-9  # a pair is dropped when it reaches the threshold with a smaller probability
 BLOCK = 512  # documents of one component compared in one call, against as many
 SPREAD_ROWS = 500_000  # a list of keys is sent to all executors up to this length and shuffled beyond it
@@ -110,6 +111,17 @@ def similar_pairs(sets: list[np.ndarray], signatures: np.ndarray, side: np.ndarr
     return a[good], b[good]
 
 
+def _heads(hashed: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each row, where rows with an equal value in a column are connected."""
+    a, b = [], []
+    for column in hashed.T:
+        order = np.argsort(column, kind="stable")
+        same = np.flatnonzero(column[order[1:]] == column[order[:-1]])
+        a.append(order[same])
+        b.append(order[same + 1])
+    return _roots(len(hashed), np.concatenate(a), np.concatenate(b))
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each one's component."""
     root = np.arange(n)
@@ -132,7 +144,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     key among all documents that links connect; stays is true for the class's first row by key (nulls first) and mark.
 
     Copies (equal sets) are reduced to one first. Sets that share a band of MinHash values are candidates; they are gathered
-    by the components of the graph of bands, and a component is dealt out in pairs of blocks of about ``BLOCK`` sets, so a
+    by the components of the graph of bands: first those within a chunk of a task, of which only one set goes on for
+    each band, then across chunks. A component is dealt out in pairs of blocks of about ``BLOCK`` sets, so a
     group of any size is spread and no pair becomes a row. Within a call, pairs that share a band are compared on ``STEP`` more
     MinHash values at a time and dropped when the posterior probability of reaching the threshold falls below ``TOLERANCE``;
     the rest are verified on their shingles.
@@ -142,20 +155,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     ship_package(spark)
-    kind = docs.schema[key].dataType.simpleString()
     bodies = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = list(shingle_sets([t if isinstance(t, str) else None for t in b["text"]]))
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield b[["id", "mark"]].assign(
-                node=nodes,
-                short=[int.from_bytes(n[:8], "little", signed=True) if n else 0 for n in nodes],
-                signature=[signature(s).tobytes() if len(s) else None for s in sets],
-            )
-
-    signed = staged(bodies.mapInPandas(sign, f"id {kind}, mark long, node binary, short long, signature binary"), "signed")
+    def sign(texts: list[str | None]) -> dict[str, list]:
+        nodes, signatures = [], []
+        for s in shingle_sets(texts):
+            nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            signatures.append(signature(s).tobytes() if len(s) else None)
+        return {"node": nodes, "short": [int.from_bytes(n[:8], "little", signed=True) if n else 0 for n in nodes], "signature": signatures}
+
+    signed = staged(map_texts(bodies, sign, "node binary, short long, signature binary", ["id", "mark"]), "signed")
     first = F.min(F.struct("id", "mark"))
     sets = staged(
         signed.where("node is not null").groupBy("node").agg(first.alias("first"), F.min("id").alias("low"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("signature").alias("signature")),
@@ -163,16 +172,31 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                values = np.frombuffer(b"".join(b["signature"]), np.uint32).reshape(len(b), BANDS, ROWS).astype(np.uint64)
+        """Sets of a chunk that bands connect get one head; each band goes on once for each head, each set once with its head."""
+        held, n = [], 0
+        for b in [*batches, None]:
+            if b is not None and len(b):
+                held.append(b)
+                n += len(b)
+            if n and (b is None or n >= CHUNK):
+                short = np.concatenate([x["short"].to_numpy() for x in held])
+                values = np.frombuffer(b"".join(s for x in held for s in x["signature"]), np.uint32).reshape(n, BANDS, ROWS).astype(np.uint64)
                 hashed = mix((values @ _PLACE[:ROWS]) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64))
-                yield pd.DataFrame({"band": hashed.ravel().view(np.int64), "a": np.repeat(b["short"].to_numpy(), BANDS)})
-
-    banded = sets.select("short", "signature").mapInPandas(bands, "band long, a long")
+                head = _heads(hashed)
+                pairs = np.unique(np.stack([hashed.ravel(), np.repeat(head, BANDS).astype(np.uint64)]), axis=1)
+                yield pd.DataFrame({"band": pairs[0].view(np.int64), "a": short[pairs[1].astype(np.int64)], "member": pd.array([None] * pairs.shape[1], "Int64")})
+                yield pd.DataFrame({"band": pd.array([None] * n, "Int64"), "a": short[head], "member": short})
+                held, n = [], 0
+
+    banded = staged(sets.select("short", "signature").mapInPandas(bands, "band long, a long, member long"), "banded")
+    heads, banded = banded.where("member is not null").select("member", "a"), banded.where("member is null").select("band", "a")
     hubs = staged(banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("top")).where("b <> top").select("band", "b"), "bands")
     met = banded.join(F.broadcast(hubs), "band") if hubs.count() <= SPREAD_ROWS else salted_lookup(banded, hubs, ["band"], ["a"])
-    gathered = components(staged(met.where("a <> b").select("a", "b").distinct(), "met"))
+    linked = components(staged(met.where("a <> b").select("a", "b").distinct(), "met"))
+    # A set alone in its chunk may be a head elsewhere linked; a set alone everywhere needs no comparison.
+    crowded = heads.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    known = staged(crowded.join(linked, crowded["a"] == linked["node"], "full_outer").select(F.coalesce("a", "node").alias("a"), F.coalesce("label", "a").alias("label")), "heads")
+    gathered = staged(salted_lookup(heads, known, ["a"], ["member"]).select(F.col("member").alias("node"), "label"), "gathered")
 
     sizes = gathered.groupBy("label").agg(F.count("*").alias("members"))
     total = gathered.count()

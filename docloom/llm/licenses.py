@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import ship_package
+from docloom.llm.store import map_texts, ship_package
 from docloom.llm.words import blocks, word_hashes
 
 # Phrases and their labels, as the contract names them.
@@ -134,40 +134,34 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, text))  # one number per licence word
-    kind = docs.schema[key].dataType.simpleString()
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = RareTokenIndex(*shared.value)
-        for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["text"]]
-            n = len(texts)
-            n_words, places = np.zeros(n, np.int64), [[] for _ in range(n)]
-            for i, j, _, _, first, _, _, words in blocks(texts):
-                n_words[i:j] = np.diff(first)
-                # Of texts without words, which begin where the next one does, the search takes the last: the owner.
-                for k, doc, starts, share in index.find(words, first):
-                    for d, s, x in zip(doc.tolist(), (starts - first[doc]).tolist(), share.tolist(), strict=True):
-                        places[i + d].append((k, s, x))
-            base = [[p for p in ps if p[0] < len(PHRASES)] for ps in places]
-            label = lambda ps: ",".join(sorted({index.entries[p[0]][0] for p in ps}))
-            yield pd.DataFrame(
-                {
-                    key: b["id"],
-                    "n_words": n_words,
-                    "n_base": [len(x) for x in base],
-                    "first_word": pd.array([min((p[1] for p in x), default=None) for x in base], "Int64"),
-                    "last_word": pd.array([max((p[1] for p in x), default=None) for x in base], "Int64"),
-                    "base_labels": [label(x) for x in base],
-                    "labels": [label(x) for x in places],
-                    "score": [max((p[2] for p in x), default=0.0) for x in places],
-                    "places": [[{"label": index.entries[k][0], "word": s, "share": x} for k, s, x in sorted(ps)] for ps in places],
-                }
-            )
+    built: list[RareTokenIndex] = []  # once for each worker
+
+    def scan(texts: list[str | None]) -> dict[str, list]:
+        if not built:
+            built.append(RareTokenIndex(*shared.value))
+        index, n = built[0], len(texts)
+        n_words, places = np.zeros(n, np.int64), [[] for _ in range(n)]
+        for i, j, _, _, first, _, _, words in blocks(texts):
+            n_words[i:j] = np.diff(first)
+            # Of texts without words, which begin where the next one does, the search takes the last: the owner.
+            for k, doc, starts, share in index.find(words, first):
+                for d, s, x in zip(doc.tolist(), (starts - first[doc]).tolist(), share.tolist(), strict=True):
+                    places[i + d].append((k, s, x))
+        base = [[p for p in ps if p[0] < len(PHRASES)] for ps in places]
+        label = lambda ps: ",".join(sorted({index.entries[p[0]][0] for p in ps}))
+        return {
+            "n_words": n_words,
+            "n_base": [len(x) for x in base],
+            "first_word": [min((p[1] for p in x), default=None) for x in base],
+            "last_word": [max((p[1] for p in x), default=None) for x in base],
+            "base_labels": [label(x) for x in base],
+            "labels": [label(x) for x in places],
+            "score": [max((p[2] for p in x), default=0.0) for x in places],
+            "places": [[{"label": index.entries[k][0], "word": s, "share": x} for k, s, x in sorted(ps)] for ps in places],
+        }
 
     columns = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(
-        scan, f"`{key}` {kind}, {columns}, places array<struct<label:string,word:long,share:double>>"
-    )
+    return map_texts(docs.select(key, text), scan, f"{columns}, places array<struct<label:string,word:long,share:double>>", [key], text)
 
 
 def op4_license_scan(spark, sf):

@@ -131,7 +131,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             ).otherwise(F.array().cast("array<struct<cut:int,v1:bigint,v2:bigint>>")),
         ),
     )
-    variants = asked.select("k1", "k2", "place", F.posexplode_outer(neighbours).alias("__at", "v")).select("k1", "k2", "place", "v.*")
+    variants = staged(asked.select("k1", "k2", "place", F.posexplode_outer(neighbours).alias("__at", "v")).select("k1", "k2", "place", "v.*"), "neighbours")
     equal = staged(variants.groupBy("v1").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("v1"), "variants")
     met = variants.join(F.broadcast(equal), "v1", "left_semi") if equal.count() <= SPREAD_ROWS else salted_lookup(variants, equal, ["v1"], ["k1"])
     met = staged(met.select("k1", "k2", "place", "cut", "v1", "v2"), "met")

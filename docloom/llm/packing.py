@@ -7,11 +7,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.store import keep_columns, ship_package, staged
+from docloom.llm.store import fields_of, keep_columns, ship_package, staged
 from docloom.llm.tokens import tokenizer
 
 CAPACITY = 2048
@@ -111,19 +111,19 @@ def pack(items: DataFrame, order: list[str], length: str = "length", capacity: i
     shared = items.sparkSession.sparkContext.broadcast((table, starts, np.searchsorted(table[:, 0], np.arange(capacity + 2))))
     numbered = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(length, "__slice").orderBy(*order)) - 1)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, starts, begins = shared.value
         span = np.int64(1) << 40
         keys = table[:, 0] * span + table[:, 1]
         for b in batches:
-            n = b[length].to_numpy(np.int64)
-            rank = starts[n, b["__slice"].to_numpy(np.int64)] + b["__n"].to_numpy(np.int64)
+            n, part, rank = (b.column(c).to_numpy().astype(np.int64) for c in (length, "__slice", "__n"))
+            rank = starts[n, part] + rank
             run = table[np.searchsorted(keys, n * span + rank, "right") - 1]
             at = rank - run[:, 1]
-            yield b[kept].assign(sequence_id=run[:, 4] + at // run[:, 3], offset=run[:, 5] + at % run[:, 3] * n)
+            made = [pa.array(run[:, 4] + at // run[:, 3]), pa.array(run[:, 5] + at % run[:, 3] * n)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + made, names=[*kept, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in kept)
-    return numbered.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    return numbered.mapInArrow(place, f"{fields_of(items, kept)}, sequence_id long, offset long")
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -133,12 +133,12 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokenizer(path)
-        for b in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
-            ids, counts = known.encode([t if isinstance(t, str) else None for t in b["text"]])
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
+            ids, counts = known.encode(b.column("text").to_pylist())
             ids, at, rows = ids.astype("<u4"), 0, []
-            for k, n in zip(b["id"].tolist(), counts.tolist(), strict=True):
+            for k, n in enumerate(counts.tolist()):
                 own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
                 at += n
                 first = len(own) % capacity or min(capacity, len(own))
@@ -146,11 +146,13 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", t
                     start = 0 if not piece else end - capacity
                     raw = own[start:end].tobytes()
                     rows.append((k, piece, start, end - start, zlib.crc32(raw), *([raw] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["id"] = out["id"].astype("Int64" if kind in ("bigint", "int") else object)
-            yield out
+            owner, *made = zip(*rows, strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            # The key of a piece is taken from the batch as it is.
+            columns = [b.column("id").take(pa.array(owner, pa.int64())), *[pa.array(x, t) for x, t in zip(made, kinds, strict=False)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    made = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(
+    made = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
         cut, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     )
     return made.withColumnRenamed("id", key)

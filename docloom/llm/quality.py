@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import ship_package
+from docloom.llm.store import keep_columns, map_texts, ship_package
 from docloom.llm.words import PIECE, mix, run_hashes
 
 BUCKETS = 1 << 18
@@ -157,9 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = list(bags([t if isinstance(t, str) else None for t in b["text"]]))
-            yield pd.DataFrame({"id": b["id"].astype(str), "label": b["label"], "ids": [x.astype("<i4").tobytes() for x, _ in found], "n": [x.astype("<i4").tobytes() for _, x in found]})
+            yield pd.DataFrame({"id": b["id"], "label": b["label"], "ids": [x.astype("<i4").tobytes() for x, _ in found], "n": [x.astype("<i4").tobytes() for _, x in found]})
 
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").withColumn("id", F.col("id").cast("string"))
     counted = texts.mapInPandas(count, "id string, label int, ids binary, n binary")
     rows = counted.groupBy("id").agg(F.min(F.struct("label", "ids", "n")).alias("r")).select("id", "r.*").toLocalIterator()
     # One partition after the other, so that the driver never holds the rows twice.
@@ -172,28 +172,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     gets the score of the bias alone. An input column score is replaced."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
-    kept = [c for c in docs.columns if c.lower() != "score"]
-    asked = kept if text in kept else [*kept, text]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[kept].assign(score=shared.value.scores([t if isinstance(t, str) else None for t in b[text]]))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*asked).mapInPandas(run, f"{schema}, score double")
+    return map_texts(docs, lambda texts: {"score": shared.value.scores(texts)}, "score double", keep_columns(docs, ["score"]), text)
 
 
 def score_ids(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` only; the texts stay in the tasks."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b["id"], "score": shared.value.scores([t if isinstance(t, str) else None for t in b["text"]])})
-
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"`{key}` {kind}, score double")
+    return map_texts(docs.select(key, text), lambda texts: {"score": shared.value.scores(texts)}, "score double", [key], text)
 
 
 def op6_quality_classifier(spark, sf):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SPREAD_ROWS = 500_000  # a list of rows of fixed width is sent to all executors up to this length and shuffled beyond it
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -28,11 +29,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for one run below ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder for one run below ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary folder; on
+    a cluster the executors would not share one, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
     return f"{base.rstrip('/')}/docloom/{name}-{uuid.uuid4().hex}"
 
 

@@ -34,6 +34,12 @@ def _printed_before(data: np.ndarray) -> np.ndarray:
     return ends
 
 
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two tables of columns, each by its first column, as one."""
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+
 class PartTokenizer:
     """Ids by ``tokenizers`` for many texts. With ``added``, strings of special tokens get the ids of those tokens, as the
     library gives them by default; without, they are ordinary text."""
@@ -53,21 +59,31 @@ class PartTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _simple(self, part: bytes) -> bool:
-        """May stand between two marks: begins with a blank or letter, ends with a letter, has no mark and no added token."""
-        if self.mark is None or self.uncut or 0 in part or any(t in part for t in self.tokens) or not (_SPACE[part[0]] or _LETTER[part[0]]):
-            return False
-        last = part[-1]
-        return bool(_LETTER[last]) or (len(part) > 2 and part[-2] == 0xC3 and 0x80 <= last < 0xC0 and last not in (0x97, 0xB7))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        # Hash, head, first id and number of ids of the parts known, by hash: most of them, and the few learned last.
+        self.old, self.new = none, none
+        self.stock, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+
+    def _simple(self, parts: list[bytes]) -> np.ndarray:
+        """Which parts may stand between two marks: begin with a blank or letter, end with a letter, have no mark and no added
+        token. Parts with either are only looked for where the parts together hold one."""
+        if self.mark is None or self.uncut:
+            return np.zeros(len(parts), bool)
+        ends = np.frombuffer(b"".join(p[:1] + (b"\0\0" + p)[-3:] for p in parts), np.uint8).reshape(-1, 4)
+        first, before, last = ends[:, 0], ends[:, 2], ends[:, 3]
+        accented = (before == 0xC3) & (last >= 0x80) & (last < 0xC0) & (last != 0x97) & (last != 0xB7) & (ends[:, 1] != 0)
+        good = (_SPACE[first] | _LETTER[first]) & (_LETTER[last] | accented)
+        whole = b"\n".join(parts)
+        for unsafe in [b"\0", *self.tokens]:
+            if unsafe in whole:
+                good &= ~np.array([unsafe in p for p in parts])
+        return good
 
     def _encode_new(self, parts: list[bytes]) -> list[list[int]]:
         done: dict[bytes, list[int]] = {}
-        simple = [p for p in parts if self._simple(p)]
-        other = [p for p in parts if not self._simple(p)]
+        good = self._simple(parts).tolist()
+        simple = [p for p, g in zip(parts, good, strict=True) if g]
+        other = [p for p, g in zip(parts, good, strict=True) if not g]
         groups = [simple[i : i + GROUP] for i in range(0, len(simple), GROUP)]
         for i in range(0, len(groups), GROUPS):
             some = groups[i : i + GROUPS]
@@ -87,13 +103,27 @@ class PartTokenizer:
     def _learn(self, hashes: np.ndarray, heads: np.ndarray, parts: list[bytes]) -> None:
         encoded = self._encode_new(parts)
         sizes = np.array([len(x) for x in encoded], np.int64)
-        begins = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32, int(sizes.sum()))])
-        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = np.concatenate([self.hashes, hashes])[order]
-        self.heads = np.concatenate([self.heads, heads])[order]
-        self.begins = np.concatenate([self.begins, begins])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        begins = self.n_ids + np.cumsum(sizes) - sizes
+        end = self.n_ids + int(sizes.sum())
+        if end > len(self.stock):
+            self.stock = np.concatenate([self.stock[: self.n_ids], np.zeros(max(end, len(self.stock)), np.uint32)])
+        self.stock[self.n_ids : end] = np.fromiter((i for x in encoded for i in x), np.uint32, end - self.n_ids)
+        self.n_ids = end
+        self.new = _merged(self.new, (hashes, heads, begins, sizes))
+        if 8 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = _merged(self.old, self.new), tuple(x[:0] for x in self.new)
+
+    def _look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Which hashes are known, and head, first id and number of ids of each."""
+        known, facts = np.zeros(len(hashes), bool), tuple(np.zeros(len(hashes), x.dtype) for x in self.old[1:])
+        for part in (self.old, self.new):
+            if len(part[0]):
+                at = np.minimum(np.searchsorted(part[0], hashes), len(part[0]) - 1)
+                here = part[0][at] == hashes
+                known |= here
+                for out, values in zip(facts, part[1:], strict=True):
+                    out[here] = values[at[here]]
+        return known, facts
 
     def _ids_of(self, raw: bytes, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts of ``data`` that begin at ``starts``, and how many each has."""
@@ -105,20 +135,18 @@ class PartTokenizer:
             heads |= np.where(lengths > k, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
         heads |= (lengths & 0xFF).astype(np.uint64) << np.uint64(56)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        if len(self.old[0]) + len(self.new[0]) > REMEMBERED:
             self._forget()
-        at = np.searchsorted(self.hashes, distinct)
-        known = at < len(self.hashes)
-        known[known] = self.hashes[at[known]] == distinct[known]
+        known, facts = self._look_up(distinct)
         if not known.all():
             new = first[~known]
             self._learn(distinct[~known], heads[new], [raw[s : s + n] for s, n in zip(starts[new].tolist(), lengths[new].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, distinct)
-        if not (heads == self.heads[at][back]).all():
+            known, facts = self._look_up(distinct)
+        if not (heads == facts[0][back]).all():
             raise ValueError("two parts of text share a 64-bit hash")
-        sizes, begins = self.sizes[at][back], self.begins[at][back]
+        begins, sizes = facts[1][back], facts[2][back]
         total = int(sizes.sum())
-        return self.ids[np.arange(total) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)], sizes
+        return self.stock[np.arange(total) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)], sizes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each (null: none)."""

@@ -12,7 +12,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +97,7 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload:
     ship_package(pages.sparkSession)
     make_folder(folder)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
         part = seq = size = held = 0
         frames: list[tuple[bytes, int]] = []
@@ -112,22 +112,21 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload:
                 held, size = held + len(data), 0
                 records.clear()
 
-        def end_bundle() -> pd.DataFrame:
+        def end_bundle() -> pa.RecordBatch:
             nonlocal seq, held
             end_frame()
             put_file(folder, f"{part:06d}-{seq:06d}.warc.zst", seal(frames))
-            out = pd.DataFrame(index, columns=["record_id", "key", "bundle", "frame", "offset", "length"]).astype({"key": "Int64"})
+            out = _batch(index, INDEX)
             seq, held = seq + 1, 0
             frames.clear()
             index.clear()
             return out
 
         for b in batches:
-            for key_, url, text, refers, part in zip(b["key"], b["url"], b["html"], b["refers"], b["part"], strict=True):
-                body = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                own = None if pd.isna(key_) else int(key_)
-                other = None if pd.isna(refers) else f"urn:page:{int(refers)}"
-                record = warc_record("revisit" if other else "response", f"urn:page:{own}", url if isinstance(url, str) else None, body, other)
+            for own, url, text, refers, part in zip(*(b.column(c).to_pylist() for c in ("key", "url", "html", "refers", "part")), strict=True):
+                body = (text or "").encode("utf-8", "surrogatepass")
+                other = None if refers is None else f"urn:page:{refers}"
+                record = warc_record("revisit" if other else "response", f"urn:page:{own}", url, body, other)
                 index.append((f"urn:page:{own}", own, f"{part:06d}-{seq:06d}.warc.zst", len(frames), size, len(record)))
                 records.append(record)
                 size += len(record)
@@ -142,7 +141,7 @@ def write_bundles(pages: DataFrame, folder: str, key: str = "page_id", payload:
     # The order within a task is fixed, so that a repeated task cuts the same bundles.
     rows = mark_revisits(pages, key, payload).select(F.col(key).cast("long").alias("key"), url.alias("url"), F.col(payload).alias("html"), F.col("__refers").cast("long").alias("refers"))
     ordered = rows.withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "url", F.xxhash64("html"))
-    return staged(ordered.mapInPandas(write, "record_id string, key long, bundle string, frame long, offset long, length long"), "warcindex")
+    return staged(ordered.mapInArrow(write, "record_id string, key long, bundle string, frame long, offset long, length long"), "warcindex")
 
 
 def _row(bundle: str, frame: int, at: int, fields: dict[str, str], body: bytes) -> tuple:
@@ -157,12 +156,19 @@ def _row(bundle: str, frame: int, at: int, fields: dict[str, str], body: bytes)
     )
 
 
-COLUMNS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "bundle", "frame", "offset", "payload"]
+INDEX = pa.schema([("record_id", pa.string()), ("key", pa.int64()), ("bundle", pa.string()), ("frame", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+RECORDS = pa.schema(
+    [
+        ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+        ("target", pa.string()), ("bundle", pa.string()), ("frame", pa.int64()), ("offset", pa.int64()), ("payload", pa.binary()),
+    ]
+)
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, bundle string, frame long, offset long, payload binary"
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({"page_id": "Int64", "refers_to": "Int64"})
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as Arrow columns, so that numbers beside nulls stay as they are. Fields beyond the schema are left out."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def read_bundles(spark, folder: str, with_payload: bool = True) -> DataFrame:
@@ -171,17 +177,19 @@ def read_bundles(spark, folder: str, with_payload: bool = True) -> DataFrame:
 
     ship_package(spark)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = RECORDS if with_payload else pa.schema(list(RECORDS)[:-1])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         for b in batches:
-            for path, raw in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):
+                raw, name = content.as_py(), path.as_py().rsplit("/", 1)[1]
                 for k, (start, size) in enumerate(seek_table(raw)):
                     data = opener.decompress(raw[start : start + size])
-                    out = _frame([_row(path.rsplit("/", 1)[1], k, *r) for r in parse_records(data)])
-                    yield out if with_payload else out.drop(columns="payload")
+                    yield _batch([_row(name, k, *r) for r in parse_records(data)], schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    return files.mapInPandas(read, SCHEMA if with_payload else SCHEMA.replace(", payload binary", ""))
+    return files.mapInArrow(read, SCHEMA if with_payload else SCHEMA.replace(", payload binary", ""))
 
 
 def fetch_records(folder: str, wanted: DataFrame) -> DataFrame:
@@ -192,21 +200,21 @@ def fetch_records(folder: str, wanted: DataFrame) -> DataFrame:
     spark = wanted.sparkSession
     ship_package(spark)
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener, bundle, frame, table, data = zstandard.ZstdDecompressor(), None, None, [], b""
         for b in batches:
             rows = []
-            for r in b.itertuples():
-                if r.bundle != bundle:
-                    table, bundle, frame = seek_table(_tail(folder, r.bundle)), r.bundle, None
-                if r.frame != frame:
-                    frame = r.frame
+            for name, number, offset, length in zip(*(b.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length")), strict=True):
+                if name != bundle:
+                    table, bundle, frame = seek_table(_tail(folder, name)), name, None
+                if number != frame:
+                    frame = number
                     data = opener.decompress(read_range(folder, bundle, *table[frame]))
-                (_, fields, body) = next(parse_records(data[r.offset : r.offset + r.length]))
-                rows.append(_row(bundle, frame, r.offset, fields, body))
-            yield _frame(rows)
+                (_, fields, body) = next(parse_records(data[offset : offset + length]))
+                rows.append(_row(bundle, frame, offset, fields, body))
+            yield _batch(rows, RECORDS)
 
-    return wanted.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInPandas(fetch, SCHEMA)
+    return wanted.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(fetch, SCHEMA)
 
 
 def _tail(folder: str, name: str) -> bytes:
