@@ -6,6 +6,8 @@ Each stage takes (spark, docs, folder of the tables) and gives a DataFrame; all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +20,26 @@ from docloom.llm.quality import fit, score
 from docloom.llm.store import staged
 
 
-def _counted(docs: DataFrame, columns: list[str], changed: str) -> DataFrame:
-    """The columns of documents, with n_chars counted again where the text has changed."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.select(*columns)
+def _beside(docs: DataFrame, made: list[str], use: Callable[[DataFrame], DataFrame], keep: str, changed: str = "false") -> DataFrame:
+    """The columns of ``docs`` for the rows that ``keep`` names after ``use``, with n_chars counted again where ``changed`` holds.
+
+    Columns of ``docs`` that are named like those an operator makes are put aside while it works, and come back."""
+    aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in made}
+    out = use(docs.withColumnsRenamed(aside)).where(keep)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents scored 0.5 or more stay."""
     model = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return score(docs, model).where("score >= 0.5").select(*docs.columns)
+    return _beside(docs, ["score"], lambda d: score(d, model), "score >= 0.5")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document that had lines and lost all of them goes with them."""
-    return _counted(dedupe_lines(docs).where("n_removed < n_lines or n_lines = 0"), docs.columns, "n_removed > 0")
+    return _beside(docs, ["n_lines", "n_removed"], dedupe_lines, "n_removed < n_lines or n_lines = 0", "n_removed > 0")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -56,8 +62,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, folder: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
-    out = find_benchmark(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), clean=True)
-    return _counted(out, docs.columns, "n_hit > 0")
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return _beside(docs, ["n_hit", "items"], lambda d: find_benchmark(d, benchmark, clean=True), "true", "n_hit > 0")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
