@@ -125,4 +125,4 @@ def test_registered(spark):
     import __spark_entry__ as driver
 
     names = {n.split("_")[0] for n in driver.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in driver.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in driver.queries()
