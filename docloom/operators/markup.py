@@ -1,15 +1,17 @@
 """Markup extraction: tokens, attributes, embedded logic, scripts, text nodes.
 
 Input is ``(doc_id, text)``, one row per source file or page. Each document is cut once into text pieces
-and markup pieces; everything except nesting depth is computed inside the row, without a shuffle.
+and markup pieces; everything is computed inside the row, without a shuffle. Which tag stands in which is
+found in one pass over short codes of the tags (:mod:`docloom.operators.nesting`); the text stays in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators.nesting import nest, tag_code
 from docloom.operators.rows import explode_rows, inline_rows
 
 # Patterns and names that decide what counts as which kind of markup.
@@ -44,6 +46,11 @@ VOID_TAGS = (
     "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
     "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
 )
+WHOLE_TAGS = ("a", "input", "form:input")  # shown up to their end
+BARE_ATTRIBUTES = (
+    "allowfullscreen", "async", "autofocus", "autoplay", "checked", "controls", "default", "defer", "disabled", "formnovalidate", "hidden", "ismap",
+    "loop", "multiple", "muted", "nomodule", "novalidate", "open", "playsinline", "readonly", "required", "reversed", "selected",
+)
 LIST_ATTRIBUTES = ("class", "rel", "rev", "accept-charset", "headers", "accesskey", "dropzone")
 
 # A tag: a name, then anything up to ">" where quoted values may hold ">". Possessive, so it never backtracks.
@@ -89,12 +96,25 @@ def pieces(docs: DataFrame) -> DataFrame:
     return parted.select("doc_id", "parts", tx.match_lines(F.col("parts")).alias("lines"))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
+def nested(docs: DataFrame, implied: bool = False) -> DataFrame:
+    """:func:`pieces` with ``nest``, what :func:`docloom.operators.nesting.nest` says of each markup part."""
+
+    def code(piece: Column) -> Column:
+        name = _tag_name(piece)
+        alone = piece.endswith("/>") | name.isin(*VOID_TAGS) | piece.rlike(r"(?i)</(?:script|style)\s*>$")
+        return tag_code(name, piece.startswith("</"), piece.rlike("^<[A-Za-z]"), alone)
+
+    known = pieces(docs)
+    codes = F.transform(F.filter("parts", lambda _, i: i % 2 == 1), code)
+    return known.select(*known.columns, nest(codes, implied).alias("nest"))
+
+
+def tokens(docs: DataFrame, elements: bool = True) -> DataFrame:
     """Markup tokens in document order.
 
     Columns: doc_id, pos, line, kind (open, close, logic, include, comment, doctype), name, tag (opening or
-    closing tag as written), body (script or style content, logic code), element (an ``a`` up to its end
-    tag), raw.
+    closing tag as written), body (script or style content, logic code), element (``WHOLE_TAGS`` up to their
+    end; null for others, and without ``elements``), raw.
     """
     parts = F.col("parts")
     marked = F.transform(
@@ -102,11 +122,11 @@ def tokens(docs: DataFrame) -> DataFrame:
         lambda line, k: F.struct(
             line.alias("line"),
             F.element_at(parts, 2 * k + 2).alias("raw"),
-            _anchor_element(parts, 2 * k + 1).alias("element"),
+            (_element(k) if elements else F.lit(None).cast("string")).alias("element"),
         ),
     )
-    exploded = explode_rows(pieces(docs), ["doc_id"], marked, "pos", "t").select("doc_id", "pos", "t.*")
-    return _describe(exploded)
+    source = nested(docs) if elements else pieces(docs)
+    return _describe(explode_rows(source, ["doc_id"], marked, "pos", "t").select("doc_id", "pos", "t.*"))
 
 
 def tokens_and_text(docs: DataFrame) -> DataFrame:
@@ -115,18 +135,31 @@ def tokens_and_text(docs: DataFrame) -> DataFrame:
     """
     parts, lines = F.col("parts"), F.col("lines")
 
+    def enclosing(k: Column) -> Column:
+        """The tag open after token ``k``. The one-element array binds its number, so it is read once."""
+        at = F.element_at(F.col("nest"), (k + 1).cast("int"))["around"]
+        raw = lambda j: F.element_at(parts, (2 * j + 2).cast("int"))
+        found = F.transform(
+            F.filter(F.array(at), lambda j: j >= 0),
+            lambda j: F.struct(
+                tag_snippet(_tag_name(raw(j)), F.regexp_extract(raw(j), _OPENING, 1), _element(j)).alias("raw"),
+                F.element_at(lines, j + 1).alias("line"),
+            ),
+        )
+        return F.try_element_at(found, F.lit(1))
+
     def entry(line: Column, k: Column) -> Column:
         raw = F.when(k > 0, F.try_element_at(parts, 2 * k))
         after = F.element_at(parts, 2 * k + 1)
         asks = F.contains(F.concat(F.when(raw.startswith("<!"), raw).otherwise(""), after), F.lit("${"))
         return F.struct(
             line.alias("line"), raw.alias("raw"), after.alias("after"),
-            F.when(k > 0, _anchor_element(parts, 2 * k - 1)).alias("element"),
-            F.when(asks & (k > 0), _enclosing(parts, lines, k)).alias("parent"),
+            F.when(k > 0, _element(k - 1)).alias("element"),
+            F.when(asks & (k > 0), enclosing(k - 1)).alias("parent"),
         )
 
     marked = F.transform(F.concat(F.array(F.lit(0)), lines), entry)
-    exploded = explode_rows(pieces(docs), ["doc_id"], marked, "k", "t")
+    exploded = explode_rows(nested(docs), ["doc_id"], marked, "k", "t")
     return _describe(exploded.select("doc_id", (F.col("k") - 1).alias("pos"), "t.*"), "after", "parent")
 
 
@@ -150,62 +183,20 @@ def _describe(rows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _enclosing(parts: Column, lines: Column, k: Column) -> Column:
-    """Innermost tag still open after the ``k``-th token: walks back and skips closed elements.
+def _element(k: Column) -> Column:
+    """The source of the ``k``-th tag with all that stands in it, for the tags that are shown whole; null for others.
 
-    Tags left open inside a closed element are passed over, as a tolerant reader closes them with it.
-    """
+    A tag that is not closed ends where the tag around it does, or at the end of the document."""
+    parts, found = F.col("parts"), F.element_at(F.col("nest"), (k + 1).cast("int"))
+    here, first = F.element_at(parts, (2 * k + 2).cast("int")), 2 * k + 2
+    last = 2 * found["end"] + F.when(found["own"], 2).otherwise(1)
+    whole = F.array_join(F.slice(parts, first.cast("int"), (last - first + 1).cast("int")), "")
+    return F.when(here.rlike(r"(?i)^<(?:" + "|".join(WHOLE_TAGS) + r")(?=[\s>/])"), whole)
 
-    def step(acc: Column, j: Column) -> Column:
-        raw = F.element_at(parts, 2 * j + 2)
-        name = _tag_name(raw)
-        closed = acc["closed"]
-        opens = (
-            raw.rlike("^<[A-Za-z]") & ~raw.endswith("/>") & ~raw.rlike(r"(?i)</(?:script|style)\s*>$")
-            & ~name.isin(*VOID_TAGS)
-        )
-        return (
-            F.when(acc["at"].isNotNull(), acc)
-            .when(raw.startswith("</"), F.struct(F.concat(F.array(name), closed).alias("closed"), acc["at"].alias("at")))
-            .when(opens & (F.size(closed) == 0), F.struct(closed.alias("closed"), j.cast("int").alias("at")))
-            .when(
-                opens & (F.try_element_at(closed, F.lit(1)) == name),
-                F.struct(F.slice(closed, F.lit(2), F.size(closed)).alias("closed"), acc["at"].alias("at")),
-            )
-            .otherwise(acc)
-        )
 
-    start = F.struct(F.array().cast("array<string>").alias("closed"), F.lit(None).cast("int").alias("at"))
-    at = F.aggregate(F.sequence(k - 1, F.lit(0), F.lit(-1)), start, step, lambda acc: acc["at"])
-    # The one-element array binds the position, so the walk runs once.
-    found = F.transform(
-        F.filter(F.array(at), lambda j: j.isNotNull()),
-        lambda j: F.struct(
-            tag_snippet(
-                _tag_name(F.element_at(parts, 2 * j + 2)),
-                F.regexp_extract(F.element_at(parts, 2 * j + 2), _OPENING, 1),
-                _anchor_element(parts, 2 * j + 1),
-            ).alias("raw"),
-            F.element_at(lines, j + 1).alias("line"),
-        ),
-    )
-    return F.try_element_at(found, F.lit(1))
-
-
-def _anchor_element(parts: Column, at: Column) -> Column:
-    """For an ``<a>`` at 0-based position ``at``: the source from it to its end tag. Null for other parts."""
-    here = F.element_at(parts, at + 1)
-    tail = F.slice(parts, at + 2, F.size(parts))
-    end = F.array_position(F.transform(tail, lambda p: p.rlike(r"(?i)^</a\s*>$")), True)
-    next_ends = F.try_element_at(parts, (at + 3).cast("int")).rlike(r"(?i)^</a\s*>$")
-    near = F.array_join(F.slice(parts, at + 1, F.lit(3)), "")
-    far = F.when(end > 0, F.concat(here, F.array_join(F.slice(tail, F.lit(1), end.cast("int")), ""))).otherwise(here)
-    return F.when(here.rlike(r"(?i)^<a(?=[\s>/])"), F.when(next_ends, near).otherwise(far))
-
-
-def tags(docs: DataFrame) -> DataFrame:
+def tags(docs: DataFrame, elements: bool = True) -> DataFrame:
     """Opening tags only: doc_id, pos, line, name, tag, body, element."""
-    return tokens(docs).where(F.col("kind") == "open").drop("kind", "raw")
+    return tokens(docs, elements).where(F.col("kind") == "open").drop("kind", "raw")
 
 
 def attribute_list(tag: Column) -> Column:
@@ -227,7 +218,7 @@ def attribute_list(tag: Column) -> Column:
 
 def attributes(docs: DataFrame) -> DataFrame:
     """One row per attribute: doc_id, pos, line, tag name, idx, attribute name and value."""
-    found = explode_rows(tags(docs), ["doc_id", "pos", "line", "name"], attribute_list(F.col("tag")), "idx", "a")
+    found = explode_rows(tags(docs, False), ["doc_id", "pos", "line", "name"], attribute_list(F.col("tag")), "idx", "a")
     return found.select("doc_id", "pos", "line", "name", "idx", F.col("a.name").alias("attr"), F.col("a.value").alias("value"))
 
 
@@ -252,7 +243,7 @@ def logic(docs: DataFrame) -> DataFrame:
         .when(F.col("raw").startswith("<%!"), "declaration")
         .otherwise("scriptlet")
     )
-    return tokens(docs).where(F.col("kind") == "logic").select(
+    return tokens(docs, False).where(F.col("kind") == "logic").select(
         "doc_id", "pos", "line", kind.alias("kind"), F.col("body").alias("code"),
         (tx.newlines(F.col("body")) + 1).alias("line_count"),
         tx.shorten(tx.squeeze(F.col("raw")), 200).alias("display"),
@@ -261,7 +252,7 @@ def logic(docs: DataFrame) -> DataFrame:
 
 def includes(docs: DataFrame) -> DataFrame:
     """Static includes: doc_id, pos, line, file."""
-    return tokens(docs).where(F.col("kind") == "include").select(
+    return tokens(docs, False).where(F.col("kind") == "include").select(
         "doc_id", "pos", "line", F.regexp_extract("raw", STATIC_INCLUDE, 1).alias("file")
     )
 
@@ -323,7 +314,7 @@ def _first_by_name(found: Column) -> Column:
 def inline_scripts(docs: DataFrame) -> DataFrame:
     """Script tags without a source: doc_id, pos, line, body."""
     source = F.coalesce(attribute(attribute_list(F.col("tag")), "src"), F.lit(""))
-    return tags(docs).where((F.col("name") == "script") & (source == "")).select("doc_id", "pos", "line", "body")
+    return tags(docs, False).where((F.col("name") == "script") & (source == "")).select("doc_id", "pos", "line", "body")
 
 
 def script_functions(docs: DataFrame) -> DataFrame:
@@ -369,7 +360,7 @@ def links(docs: DataFrame) -> DataFrame:
         fact((n == "a") & attribute(attrs, "href").isNotNull(), "link", attribute(attrs, "href")),
         field("type"), field("value"), field("name"),
     )
-    listed = tags(docs).withColumn("attrs", attribute_list(F.col("tag")))
+    listed = tags(docs, False).withColumn("attrs", attribute_list(F.col("tag")))
     return inline_rows(listed, ["doc_id", "pos", "line", "name"], F.array_compact(found))
 
 
@@ -422,29 +413,30 @@ def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
 
 
 def tag_snippet(name: Column, tag: Column, element: Column) -> Column:
-    """Source shown for a tag: the whole element for ``a``, the opening tag for every other tag."""
-    return F.when(name == "a", F.coalesce(element, tag)).otherwise(tag)
+    """Source shown for a tag: the whole element for ``WHOLE_TAGS``, the opening tag for every other tag. Attributes that count
+    by being there are shown without their empty value."""
+    shown = F.when(name.isin(*WHOLE_TAGS), F.coalesce(element, tag)).otherwise(tag)
+    bare = r"(?i)(\s(?:" + "|".join(BARE_ATTRIBUTES) + r"))\s*=\s*(?:\"\"|'')"
+    return F.when(F.contains(shown, F.lit('""')) | F.contains(shown, F.lit("''")), F.regexp_replace(shown, bare, "$1")).otherwise(shown)
 
 
-def depth(docs: DataFrame) -> DataFrame:
-    """Nesting depth of each opening tag: number of tags open around it.
+def depth(docs: DataFrame, implied: bool = False) -> DataFrame:
+    """Nesting depth of each opening tag: doc_id, pos, name and the number of tags open around it."""
+    return structure(docs, implied).select("doc_id", "pos", "name", "depth")
 
-    Counts opening against closing tags, so it is exact where every tag is closed. The running sum is per
-    document; only four narrow columns are shuffled, never text, and a document is one input row.
+
+def structure(docs: DataFrame, implied: bool = False) -> DataFrame:
+    """Where each opening tag stands: doc_id, pos, name, depth, parent (position of the tag around it, or null), end (position of
+    the token that ends it, or null at the end of the document) and closed (whether that is its own end tag).
+
+    End tags end what is open in their element, and stray ones count for nothing; with ``implied``, tags such as ``li``
+    and ``p`` also end their predecessors. One pass over the tags of a document, no shuffle.
     """
-    step = (
-        F.when(F.col("kind") == "close", -1)
-        .when(F.col("name").isin(*VOID_TAGS, "script", "style") | F.col("tag").endswith("/>"), 0)
-        .otherwise(1)
-    )
-    running = F.sum("step").over(
-        Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        tokens(docs)
-        .where(F.col("kind").isin("open", "close"))
-        .select("doc_id", "pos", "name", "kind", step.alias("step"))
-        .withColumn("running", running)
-        .where(F.col("kind") == "open")
-        .select("doc_id", "pos", "name", (F.col("running") - F.greatest(F.col("step"), F.lit(0))).alias("depth"))
+    names = F.transform(F.filter("parts", lambda _, i: i % 2 == 1), lambda p: F.struct(p.rlike("^<[A-Za-z]").alias("opens"), _tag_name(p).alias("name")))
+    found = F.zip_with(names, F.col("nest"), lambda x, n: F.struct(x["opens"].alias("opens"), x["name"].alias("name"), n.alias("n")))
+    rows = explode_rows(nested(docs, implied).withColumn("size", F.size("nest")), ["doc_id", "size"], found, "pos", "t").where("t.opens")
+    number = lambda c, lost: F.when(~lost, F.col(c))
+    return rows.select(
+        "doc_id", "pos", F.col("t.name").alias("name"), F.col("t.n.depth").alias("depth"), number("t.n.parent", F.col("t.n.parent") < 0).alias("parent"),
+        number("t.n.end", F.col("t.n.end") >= F.col("size")).alias("end"), F.col("t.n.own").alias("closed"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 from docloom.operators import markup as mk
 from docloom.operators import rules as ru
+from docloom.operators.nesting import IMPLIED_ENDS
 from docloom.operators.rows import explode_rows, spread
 from docloom.operators.rules import Rule
 from docloom.sources.tables import read_table
@@ -76,6 +77,32 @@ def tag_depth(spark, sf):
     return mk.depth(_pages(spark, sf)).select("doc_id", "pos", "name", F.col("depth").cast("int").alias("depth"))
 
 
+def _broken_pages(spark, sf):
+    """Pages with end tags left out, and with stray ones."""
+    k, text = F.col("doc_id") % 3, F.col("text")
+    lost = F.replace(F.replace(text, F.lit("</li>"), F.lit("")), F.lit("</p>"), F.lit(""))
+    stray = F.concat(F.lit("<ul><li>a<li><b>b</ul><p></nav></i><table><tr><td><p>x<td>y<tr><td>z</table>"), F.replace(text, F.lit("</p>"), F.lit("</b>")), F.lit("<div><dl><dt>t<dd>d"))
+    return _pages(spark, sf).withColumn("text", F.when(k == 1, lost).when(k == 2, stray).otherwise(text))
+
+
+def tag_structure(spark, sf):
+    """Depth, enclosing tag and end of every tag of broken pages, as plain tag readers see them."""
+    return mk.structure(_broken_pages(spark, sf)).select("doc_id", "pos", "name", "depth", "parent", F.col("end").alias("end_pos"), "closed")
+
+
+def tag_structure_implied(spark, sf):
+    """The same with implied ends, as in browsers."""
+    return mk.structure(_broken_pages(spark, sf), implied=True).select("doc_id", "pos", "name", "depth", "parent", F.col("end").alias("end_pos"), "closed")
+
+
+def element_snippets(spark, sf):
+    """Elements shown whole: closed ones, one closed by its surroundings and one open to the end, with bare attributes."""
+    pages = spread(read_table(spark, sf, "pages").select("page_id", "url"))
+    parts = ['<div><form:input path="p', F.col("page_id"), '" disabled="" value="">', F.col("url"), "<b>", F.col("page_id"), "</form:input></b></div>", '<p><a href="', F.col("url"), '">x<i>y</p>z<input checked=\'\' name="', F.col("page_id"), '"><a name="n">', F.col("url"), "<u>"]
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+    return mk.tags(docs).select("doc_id", "pos", mk.tag_snippet(F.col("name"), F.col("tag"), F.col("element")).alias("snippet"))
+
+
 def link_facts(spark, sf):
     return mk.links(_server_pages(spark, sf)).select("doc_id", "dep_kind", "target")
 
@@ -175,7 +202,7 @@ def top_files(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_tokens, tag_counts, attr_counts, tag_family, tag_labels, tag_depth, link_facts, text_nodes, comment_strip,
+        tag_tokens, tag_counts, attr_counts, tag_family, tag_labels, tag_depth, tag_structure, tag_structure_implied, element_snippets, link_facts, text_nodes, comment_strip,
         tag_snippets, snippets, line_numbers, js_functions, include_facts, logic_segments, inline_events, script_functions,
         script_bindings, el_expressions, rule_hits_default, rule_hits, rule_first_match, rule_summary, rule_pivot,
         rule_totals, top_files,
@@ -201,6 +228,43 @@ _ATTRS = f"""
         regexp_replace(regexp_replace(a, '^[^=]+=?', ''), '^\\"(.*)\\"$', '\\1') AS value FROM attrs)"""
 
 
+# Tags that end others, for the implied ends: the tag, those it ends, those it does not look beyond.
+_ENDS = "(VALUES " + ", ".join(f"('{name}', {list(ends)}, {list(stops)})" for name, (ends, stops) in IMPLIED_ENDS.items()) + ") e(name, ends, stops)"
+
+
+def _structure(pages: str, implied: bool) -> str:
+    """A stack of open tags, moved on by one tag a step. A step first drops what an end tag or an implied end closes, then adds
+    the tag itself; ``level`` is the number of tags that stay open in between."""
+    last_stop = "coalesce(list_max(list_filter(range(1, len(w.names) + 1), lambda i: list_contains(e.stops, w.names[i]))), 0)"
+    first_end = f"list_min(list_filter(range({last_stop} + 1, len(w.names) + 1), lambda i: list_contains(e.ends, w.names[i])))"
+    own = "CASE WHEN c.kind = '-' AND list_contains(w.names, c.name) THEN len(w.names) - list_position(list_reverse(w.names), c.name)"
+    level = f"{own} {f"WHEN c.kind <> '-' AND e.name IS NOT NULL THEN coalesce({first_end} - 1, len(w.names))" if implied else ''} ELSE len(w.names) END"
+    return f"""
+    WITH RECURSIVE source AS ({pages}), {_TOKENS.replace('FROM pages', 'FROM source')},
+    marks AS (SELECT doc_id, pos, lower(regexp_extract(raw, '^</?([A-Za-z][^\\s/>]*)', 1)) AS name,
+        CASE WHEN raw LIKE '</%' THEN '-' WHEN raw LIKE '%/>' OR raw ILIKE '%</script>' OR raw ILIKE '%</style>'
+            OR lower(regexp_extract(raw, '^<([A-Za-z][^\\s/>]*)', 1)) IN ({', '.join(f"'{t}'" for t in mk.VOID_TAGS)}) THEN '=' ELSE '+' END AS kind
+        FROM toks WHERE regexp_matches(raw, '^</?[A-Za-z]')),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM marks),
+    walk(doc_id, i, stack, names, level, before, had) AS (
+        SELECT doc_id, 0::BIGINT, []::INTEGER[], []::VARCHAR[], 0::BIGINT, []::INTEGER[], []::VARCHAR[] FROM (SELECT DISTINCT doc_id FROM c)
+        UNION ALL
+        SELECT doc_id, i, CASE WHEN kind = '+' THEN list_append(stack[:level], pos) ELSE stack[:level] END,
+            CASE WHEN kind = '+' THEN list_append(names[:level], name) ELSE names[:level] END, level, stack, names
+        FROM (SELECT w.doc_id, c.i, c.pos, c.kind, c.name, w.stack, w.names, CAST({level} AS BIGINT) AS level
+            FROM walk w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1 {f'LEFT JOIN {_ENDS} ON e.name = c.name' if implied else ''})),
+    ends AS (SELECT w.doc_id, unnest(w.before[w.level + 1:]) AS pos, c.pos AS end_pos, unnest(list_transform(range(1, len(w.before[w.level + 1:]) + 1), lambda k: k = 1)) AND c.kind = '-' AS closed
+        FROM walk w JOIN c USING (doc_id, i) WHERE len(w.before) > w.level)
+    SELECT c.doc_id, c.pos, c.name, CAST(w.level AS INTEGER) AS depth, w.before[w.level] AS parent,
+        CASE WHEN c.kind = '=' THEN c.pos ELSE e.end_pos END AS end_pos, c.kind = '=' OR coalesce(e.closed, false) AS closed
+    FROM c JOIN walk w USING (doc_id, i) LEFT JOIN ends e ON e.doc_id = c.doc_id AND e.pos = c.pos WHERE c.kind <> '-'"""
+
+
+_BROKEN = """SELECT page_id, CASE page_id % 3 WHEN 1 THEN replace(replace(html, '</li>', ''), '</p>', '')
+    WHEN 2 THEN '<ul><li>a<li><b>b</ul><p></nav></i><table><tr><td><p>x<td>y<tr><td>z</table>' || replace(html, '</p>', '</b>') || '<div><dl><dt>t<dd>d'
+    ELSE html END AS html FROM pages"""
+
+
 def _case(rules, target, value):
     arms = " ".join(f"WHEN regexp_matches({value}, '{r.pattern}') THEN {i}" for i, r in enumerate(rules) if r.target == target)
     return f"CASE {arms} END"
@@ -252,14 +316,14 @@ ORACLES = {
     "tag_labels": f"""
         WITH {_TOKENS} SELECT doc_id, name AS tag_label FROM tags WHERE name = 'script'
         UNION ALL SELECT page_id, l FROM pages, (VALUES ('c:forEach'), ('form:input'), ('jsp:include'), ('script'), ('script')) v(l)""",
-    "tag_depth": f"""
-        WITH {_TOKENS},
-        steps AS (SELECT doc_id, pos, lower(regexp_extract(raw, '^</?([A-Za-z][^\\s/>]*)', 1)) AS name, raw,
-            CASE WHEN raw LIKE '</%' THEN -1 WHEN raw LIKE '%/>' OR raw ILIKE '%</script>' OR raw ILIKE '%</style>' THEN 0
-                WHEN lower(regexp_extract(raw, '^<([A-Za-z][^\\s/>]*)', 1)) IN ('br', 'meta', 'img', 'input', 'link', 'hr') THEN 0 ELSE 1 END AS dl
-            FROM toks WHERE regexp_matches(raw, '^</?[A-Za-z]'))
-        SELECT doc_id, pos, name, CAST(d - greatest(dl, 0) AS INTEGER) AS depth FROM
-            (SELECT *, sum(dl) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS d FROM steps) WHERE raw NOT LIKE '</%'""",
+    "tag_depth": "SELECT doc_id, pos, name, depth FROM (" + _structure("SELECT * FROM pages", False) + ")",
+    "tag_structure": _structure(_BROKEN, False),
+    "tag_structure_implied": _structure(_BROKEN, True),
+    "element_snippets": """
+        SELECT page_id AS doc_id, s.pos, s.snippet FROM pages, LATERAL (VALUES
+            (0, '<div>'), (1, '<form:input path="p' || page_id || '" disabled value="">' || url || '<b>' || page_id || '</form:input>'), (2, '<b>'),
+            (6, '<p>'), (7, '<a href="' || url || '">x<i>y'), (8, '<i>'), (10, '<input checked name="' || page_id || '">'),
+            (11, '<a name="n">' || url || '<u>'), (12, '<u>')) s(pos, snippet)""",
     "link_facts": f"""
         WITH {_ATTRS}
         SELECT doc_id, 'link' AS dep_kind, value AS target FROM named WHERE name = 'a' AND attr = 'href'
