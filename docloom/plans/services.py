@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import services as sv
-from docloom.operators.rows import spread
+from docloom.operators.rows import explode_rows, spread
 from docloom.sources.tables import read_table
 
 # "{w}" is the prefix of service elements, "{s}" that of SOAP elements, "{decl}" the declaration of the former.
@@ -134,6 +134,23 @@ def wsdl_deep_fields(spark, sf):
     return sv.fields(sv.parse(docs)).select("doc_id", "field_pos", "name", "type_name")
 
 
+def wsdl_tree_fields(spark, sf):
+    """Fields below groups and other wrappers, with comments and character data that look like tags, in two schemas."""
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_size") % 4).alias("n"))
+    k = F.col("p_partkey").cast("string")
+    extra = F.when(F.col("n") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit('<x:group><x:any2><x:element name="g'), i, F.lit('" type="x:int"/></x:any2></x:group>'))), "")).otherwise("")
+    parts = [
+        '<definitions xmlns:x="http://www.w3.org/2001/XMLSchema"><types><!-- <x:schema><x:element name="lost"/></x:schema> --><x:schema><x:simpleType name="s"/>',
+        '<x:element name="E', k, '" type="x:T"/><x:complexType name="T"><x:annotation><x:documentation><![CDATA[<sequence>', F.col("p_name"), "</sequence>]]> &amp; more<!-- not this --></x:documentation></x:annotation>",
+        '<x:sequence><!-- <x:element name="gone"/> -->', extra, "<x:element name='last' minOccurs='0'><x:annotation><x:documentation>a <b>c</b></x:documentation></x:annotation></x:element></x:sequence></x:complexType></x:schema>",
+        '<x:schema><x:group name="G"><x:complexType name="U"><x:element ref="r"/></x:complexType></x:group></x:schema></types></definitions>',
+    ]
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+    types = sv.types(sv.parse(docs))
+    rows = explode_rows(types, ["doc_id", "type_pos", "kind", F.col("name").alias("type_name"), F.col("documentation").alias("type_doc")], F.col("fields"), "field_pos", "f")
+    return rows.select("doc_id", "type_pos", "kind", "type_name", "type_doc", "field_pos", "f.name", "f.type", "f.min_occurs", "f.documentation")
+
+
 def wsdl_prefixes(spark, sf):
     """Ports whose addresses stand under several prefixes, or name the SOAP namespace themselves; none to three per document."""
     uri = "http://schemas.xmlsoap.org/wsdl/soap/"
@@ -156,7 +173,7 @@ def wsdl_rejects(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        wsdl_deep_fields, wsdl_prefixes, wsdl_rejects,
+        wsdl_deep_fields, wsdl_tree_fields, wsdl_prefixes, wsdl_rejects,
         wsdl_roundtrip, wsdl_ports, wsdl_bindings, wsdl_operations, wsdl_soap_action, wsdl_messages, wsdl_types, wsdl_fields,
         wsdl_references, wsdl_catalogue,
     )
@@ -196,6 +213,13 @@ ORACLES = {
     "wsdl_deep_fields": """
         SELECT p_partkey AS doc_id, CAST(i AS INTEGER) AS field_pos, 'e' || i AS name, 'T' AS type_name
         FROM part, range(7) r(i) WHERE i <= p_size % 7""",
+    "wsdl_tree_fields": """
+        WITH p AS (SELECT p_partkey AS doc_id, '<sequence>' || p_name || '</sequence> & more' AS doc, p_size % 4 AS n FROM part)
+        SELECT doc_id, 0 AS type_pos, 'complexType' AS kind, 'T' AS type_name, doc AS type_doc, CAST(i AS INTEGER) AS field_pos,
+            CASE WHEN i < n THEN 'g' || (i + 1) ELSE 'last' END AS name, CASE WHEN i < n THEN 'int' ELSE '' END AS type,
+            CASE WHEN i < n THEN '1' ELSE '0' END AS min_occurs, CASE WHEN i < n THEN '' ELSE 'a' END AS documentation
+        FROM p, range(4) r(i) WHERE i <= n
+        UNION ALL SELECT doc_id, 2, 'complexType', 'U', '', 0, NULL, '', '1', '' FROM p""",
     "wsdl_prefixes": """
         SELECT n_nationkey AS doc_id, CAST(i AS INTEGER) AS port_pos, 'P' || i AS port, 'u' || i AS address
         FROM nation, range(3) r(i) WHERE i < n_nationkey % 4""",

@@ -90,3 +90,36 @@ def test_catalogue(docs):
     assert "  ├─ x (element: E1)\n  ├─ y (type: Zed)\n\n====" in text
     assert text.endswith("【要素】 E2 : string\n\n" + "=" * 80)
     assert sv.catalogue(docs).where("doc_id = 4").count() == 0
+
+
+def test_one_broken_text_hurts_nobody(spark, docs):
+    broken = spark.createDataFrame([(9, "<definitions><types><schema>" + "<complexType>" * 1500), (10, "<a><b></a></b>"), (11, "")], "doc_id int, text string")
+    both = sv.parse(docs.union(broken))
+    for table in (sv.ports, sv.types, sv.fields, sv.references, sv.messages):
+        assert {r["doc_id"] for r in table(both).collect()} == {1, 2, 3}
+    assert {(r["doc_id"], r["reason"]) for r in sv.rejects(docs.union(broken)).collect()} == {(4, "unreadable"), (9, "unreadable"), (10, "unreadable"), (11, "unreadable")}
+
+
+def test_a_thousand_levels(spark):
+    opened = "".join(f'<x:element name="e{i}"><x:complexType><x:sequence>' for i in range(1000))
+    text = f'<definitions><types><x:schema xmlns:x="x"><x:complexType name="T"><x:choice>{opened}{"</x:sequence></x:complexType></x:element>" * 1000}</x:choice></x:complexType></x:schema></types></definitions>'
+    fields = sv.fields(sv.parse(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    assert [r["name"] for r in fields.orderBy("field_pos").collect()] == [f"e{i}" for i in range(1000)]
+
+
+def test_text_is_left_alone(spark):
+    text = """<definitions xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/"><portType name="P"><operation name="o">
+<documentation><![CDATA[<soap:address/> <sequence>kept</sequence>]]></documentation></operation></portType>
+<service name="S"><port name="p"><!-- <soap:address location="no"/> --><soap:address location="a&gt;b"/></port></service></definitions>"""
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert sv.operations(sv.parse(docs)).first()["documentation"] == "<soap:address/> <sequence>kept</sequence>"
+    assert sv.ports(sv.parse(docs)).first()["address"] == "a>b"
+    other = text.replace("<soap:", "<").replace("</soap:", "</").replace('<address location="a', '<address xmlns="http://schemas.xmlsoap.org/wsdl/soap/" location="a')
+    assert sv.ports(sv.parse(spark.createDataFrame([(1, other), (2, other.replace('b"/>', 'b"> </address>'))], "doc_id int, text string"))).select("address").collect() == [("a>b",)] * 2
+
+
+def test_no_job_while_a_plan_is_built(spark, docs):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    sv.fields(sv.parse(docs)), sv.catalogue(docs), sv.ports(sv.parse(docs))
+    assert set(tracker.getJobIdsForGroup()) == before
