@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -53,18 +53,31 @@ def read_texts(
     )
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Term list file, one term a line, stripped, blank lines dropped: ``(seq, term)`` in file order.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files of any size with their number in the file: ``(path, line_no, line)``, numbered from 0.
 
-    A term list is one file and is read as one row, so ``seq`` is its line order.
+    Files are read in splits, by as many tasks as there are splits. A split's rows stand in file order in one task, so a line's
+    place in its split needs no shuffle; a small table of lines per split, summed up file by file, gives where each split starts.
+    ``\\n``, ``\\r\\n`` and ``\\r`` end a line; the line end at the end of a file starts no other line.
     """
-    lines = F.posexplode(F.split("value", r"\r\n|\r|\n"))
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(lines.alias("seq", "term"))
-        .select("seq", tx.strip(F.col("term")).alias("term"))
-        .where(F.length("term") > 0)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
     )
+    splits = lines.groupBy("path", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.col("id") - F.col("first") + F.col("start")
+    return lines.join(starts, ["path", "split"]).select("path", number.alias("line_no"), "line")
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Term list file, one term a line, stripped, blank lines dropped: ``(seq, term)``, ``seq`` being the line in the file.
+
+    The file may be of any size; it is read in splits.
+    """
+    lines = read_lines(spark, path).select(F.col("line_no").cast("int").alias("seq"), tx.strip(F.col("line")).alias("term"))
+    return lines.where(F.length("term") > 0)
 
 
 def manifest(spark: SparkSession, root: str, suffix: str) -> DataFrame:

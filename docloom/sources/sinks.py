@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import posixpath
+import uuid
+from collections.abc import Iterator
+from functools import partial
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +99,42 @@ def write_table_json(df: DataFrame, path: str, key: str) -> None:
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
 
 
+def table_json_lines(df: DataFrame, key: str) -> DataFrame:
+    """Schema and rows as the lines of one JSON document: ``(part, key, line)``; rows stand by ``key``, which is unique.
+
+    The document is ``{"schema": ..., "data": [...]}``. Only the first row has no comma before it; it is found by its key.
+    """
+    opening = json.dumps(table_schema(df, key), ensure_ascii=False)
+    first = df.agg(F.min(F.struct(F.col(key)))).scalar()
+    comma = F.when(F.struct(F.col(key)).eqNullSafe(first), "").otherwise(",")
+    rows = df.select(F.lit(1).alias("part"), F.col(key).alias("key"), F.concat(comma, record_json()).alias("line"))
+    kind = df.schema[key].dataType
+    edges = df.sparkSession.createDataFrame([(0, f'{{"schema": {opening}, "data": ['), (2, "]}")], "part int, line string")
+    return rows.unionByName(edges.select("part", F.lit(None).cast(kind).alias("key"), "line"))
+
+
+def write_ordered_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Lines as one text in parts: each part holds a run of ``order``, and the parts, joined by name, are the text.
+
+    Many tasks write, so a text of any size can be written, with one heading or one JSON document around all of it.
+    """
+    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def csv_lines(df: DataFrame, headings: dict[str, str], order: list[str]) -> DataFrame:
+    """A CSV report as lines with one heading: ``(part, *order, line)``, for ``write_ordered_lines``.
+
+    All values are quoted, quotes doubled; null is empty. A value may hold line ends.
+    """
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in headings]
+    rows = df.select(F.lit(1).alias("part"), *order, F.concat_ws(",", *quoted).alias("line"))
+    heading = ",".join('"' + h.replace('"', '""') + '"' for h in headings.values())
+    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
+    top = df.sparkSession.createDataFrame([(0, heading)], "part int, line string")
+    return rows.unionByName(top.select("part", *nothing, "line"))
+
+
 def write_keyed_text(df: DataFrame, path: str, keys: list[str], content: str, order: list[str] | None = None) -> None:
     """Text under one folder per key (``no=1/name=a/``).
 
@@ -109,43 +151,74 @@ def write_files(df: DataFrame, root: str, path: str, content: str, order: list[s
     """One file per value of ``path`` below ``root``, at exactly that place: ``1/a_b.txt``, ``src/x.jsp.txt``.
 
     Without ``order`` there is one row per path and its content is the file. With ``order`` the rows of a path are the lines of
-    a report: they are sorted in their task and written one after the other, so a report is never held as a whole. Files are
-    written under another name and then renamed; a repeated task writes them again. Null paths are left out, null contents
-    count as empty. ``root`` is a folder that the tasks can reach, a path or a URI that Arrow's file systems know.
+    a report: they are sorted in their task and written one after the other, so a report is never held as a whole. Null paths
+    are left out, null contents count as empty. ``root`` is a folder that the tasks can reach, a path or a URI that Arrow's file
+    systems know.
+
+    Nothing is seen below ``root`` before every file is written. Tasks write aside, in a folder of this call, and return the
+    names as rows of a table; Spark commits of each task the rows of one attempt only. A second job then moves the files that
+    this table names, so a lost, repeated or late task neither shows half a file nor replaces one that was published. If the
+    first job fails, ``root`` is as before.
     """
-
-    def write(batches):
-        import posixpath
-        import uuid
-
-        import pandas as pd
-        from pyarrow import fs
-
-        files, top = fs.FileSystem.from_uri(root)
-        at, own, out = None, None, None
-
-        def close():
-            if out is not None:
-                out.close()
-                files.move(own, posixpath.join(top, at))
-
-        n = 0
-        for b in batches:
-            for where, text in zip(b["path"], b["text"]):
-                if where != at:
-                    close()
-                    at = where
-                    folder = posixpath.dirname(posixpath.join(top, at))
-                    files.create_dir(folder, recursive=True)
-                    own = posixpath.join(folder, "." + uuid.uuid4().hex)
-                    out, n = files.open_output_stream(own), n + 1
-                out.write(((text or "") + ("\n" if order else "")).encode("utf-8", "surrogatepass"))
-        close()
-        yield pd.DataFrame({"files": [n]})
-
+    spark, at = df.sparkSession, _uri(root)
+    aside = f"{at}/.writing-{uuid.uuid4().hex}"
     rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("string").alias("text"), *(order or []))
     placed = rows.repartition("path").sortWithinPartitions("path", *order) if order else rows
-    placed.select("path", "text").mapInPandas(write, "files long").write.format("noop").mode("overwrite").save()
+    written = placed.select("path", "text").mapInPandas(partial(_write_aside, aside=aside, end="\n" if order else ""), WRITTEN)
+    try:
+        written.write.parquet(f"{aside}/written")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        named = spark.read.schema(WRITTEN).parquet(f"{aside}/written").repartition(tasks, "path")
+        named.mapInPandas(partial(_publish, root=at), "files long").write.format("noop").mode("overwrite").save()
+    finally:
+        files, folder = fs.FileSystem.from_uri(aside)
+        if files.get_file_info(folder).type != fs.FileType.NotFound:
+            files.delete_dir(folder)
+
+
+WRITTEN = "path string, aside string"
+
+
+def _uri(root: str) -> str:
+    """A folder under the name that Spark and Arrow read alike."""
+    return (root if "://" in root else "file://" + posixpath.abspath(root)).rstrip("/")
+
+
+def _write_aside(batches: Iterator[pd.DataFrame], aside: str, end: str) -> Iterator[pd.DataFrame]:
+    """Write neighbouring rows of one path to a file of their own; gives the path and the file."""
+    files, top = fs.FileSystem.from_uri(aside)
+    files.create_dir(top, recursive=True)
+    at, own, out = None, None, None
+    for b in batches:
+        done = []
+        for where, text in zip(b["path"], b["text"]):
+            if where != at or not end:
+                if out is not None:
+                    out.close()
+                    done.append((at, own))
+                at, own = where, f"{top}/{uuid.uuid4().hex}"
+                out = files.open_output_stream(own)
+            out.write(((text or "") + end).encode("utf-8", "surrogatepass"))
+        yield pd.DataFrame(done, columns=["path", "aside"])
+    if out is not None:
+        out.close()
+        yield pd.DataFrame([(at, own)], columns=["path", "aside"])
+
+
+def _publish(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+    """Move files to their places. A file that is no longer aside was moved by an earlier attempt of the task."""
+    files, top = fs.FileSystem.from_uri(root)
+    for b in batches:
+        for where, own in zip(b["path"], b["aside"]):
+            target = posixpath.join(top, where)
+            files.create_dir(posixpath.dirname(target), recursive=True)
+            try:
+                files.move(own, target)
+            except OSError:
+                both = files.get_file_info([own, target])
+                if both[0].type != fs.FileType.NotFound or both[1].type == fs.FileType.NotFound:
+                    raise
+        yield pd.DataFrame({"files": [len(b)]})
 
 
 def report_path(rel_path: Column, suffix: str = ".jsp.txt") -> Column:

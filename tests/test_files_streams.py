@@ -1,6 +1,9 @@
+import csv
+import io
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +49,22 @@ def test_terms(spark, tmp_path):
     assert [tuple(r) for r in files.read_terms(spark, path).orderBy("seq").collect()] == [(0, "one"), (3, "二"), (4, "three")]
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    texts = {"a.txt": "".join(f"line {i} {'x' * (i % 37)}\n" for i in range(400)), "b.txt": "\n\r\n\rone\r\n\n" * 60 + "end", "c.txt": "", "d.txt": "no end"}
+    for name, text in texts.items():
+        write(str(tmp_path / "t" / name), text.encode(), "wb")
+    want = {(n, i, x) for n, text in texts.items() for i, x in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n")) if text}
+    for size in ("128m", "97", "10"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = [(r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in files.read_lines(spark, str(tmp_path / "t")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_manifest_and_pending(spark, tmp_path):
     for name in ("src/a.xlsx", "src/sub/b.xlsx"):
         write(str(tmp_path / name), "x")
@@ -111,6 +130,46 @@ def test_reports_as_ordered_lines(spark, tmp_path):
     assert "ターゲット名前空間: urn:q" in text and text.index("WSDL") < text.index("urn:q") < text.index("🔧")
 
 
+def test_failed_write_publishes_nothing(spark, tmp_path):
+    old = spark.createDataFrame([("x.txt", "old")], "path string, text string")
+    root = tmp_path / "w"
+    sinks.write_files(old, str(root), "path", "text")
+    rows = spark.range(0, 40, 1, 4).select(F.format_string("d%d/x.txt", "id").alias("path"), F.when(F.col("id") == 39, F.raise_error(F.lit("broken"))).otherwise("new").alias("text"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_files(rows.unionByName(old), str(root), "path", "text")
+    assert [(p.relative_to(root).as_posix(), p.read_text()) for p in root.rglob("*") if p.is_file()] == [("x.txt", "old")]
+    sinks.write_files(rows.where("path <> 'd39/x.txt'").unionByName(old), root.as_uri(), "path", "text")
+    assert len([p for p in root.rglob("*") if p.is_file()]) == 40 and (root / "d7/x.txt").read_text() == "new"
+
+
+def test_late_attempt_does_not_publish(tmp_path):
+    batch = [pd.DataFrame({"path": ["a/x", "b"], "text": ["1", None]})]
+    aside = tmp_path / "root/.writing"
+    first, late = [pd.concat(list(sinks._write_aside(batch, aside.as_uri(), ""))) for _ in range(2)]
+    assert len(late) == 2  # not in the committed table
+    root = (tmp_path / "root").as_uri()
+    assert [f["files"][0] for f in sinks._publish([first], root)] == [2]
+    assert [f["files"][0] for f in sinks._publish([first], root)] == [2]  # a repeated task finds its files moved
+    assert ((tmp_path / "root/a/x").read_text(), (tmp_path / "root/b").read_text()) == ("1", "")
+    with pytest.raises(OSError):
+        list(sinks._publish([pd.DataFrame({"path": ["c"], "aside": [str(tmp_path / "none")]})], root))
+
+
+def test_one_document_in_parts(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").alias("no"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "q", '), "id")).alias("name"))
+    joined = lambda p: "".join(open(x, encoding="utf-8").read() for x in parts(p, ".txt"))
+    for rows, n in ((df, 500), (df.where("no < 0"), 0), (df.where("no = 3"), 1)):
+        to = tmp_path / f"j{n}"
+        sinks.write_ordered_lines(sinks.table_json_lines(rows, "no"), str(to), ["part", "key"])
+        found = json.loads(joined(to))
+        assert found["schema"] == sinks.table_schema(df, "no")
+        assert [tuple(r.values()) for r in found["data"]] == [tuple(r) for r in rows.orderBy("no").collect()] and len(found["data"]) == n
+    lines = sinks.csv_lines(df, {"no": "番号", "name": "名"}, ["no"])
+    sinks.write_ordered_lines(lines, str(tmp_path / "c"), ["part", "no"])
+    with_heading = list(csv.reader(io.StringIO(joined(tmp_path / "c"))))
+    assert with_heading == [["番号", "名"]] + [[str(r.no), r.name or ""] for r in df.orderBy("no").collect()]
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "orders")
     sinks.replace_table(spark, spark.range(3), path, "2024-01-01")
