@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -164,12 +163,12 @@ def write_files(df: DataFrame, root: str, path: str, content: str, order: list[s
     aside = f"{at}/.writing-{uuid.uuid4().hex}"
     rows = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("string").alias("text"), *(order or []))
     placed = rows.repartition("path").sortWithinPartitions("path", *order) if order else rows
-    written = placed.select("path", "text").mapInPandas(partial(_write_aside, aside=aside, end="\n" if order else ""), WRITTEN)
+    written = placed.select("path", "text").mapInPandas(_write_aside(aside, "\n" if order else ""), WRITTEN)
     try:
         written.write.parquet(f"{aside}/written")
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         named = spark.read.schema(WRITTEN).parquet(f"{aside}/written").repartition(tasks, "path")
-        named.mapInPandas(partial(_publish, root=at), "files long").write.format("noop").mode("overwrite").save()
+        named.mapInPandas(_publish(at), "files long").write.format("noop").mode("overwrite").save()
     finally:
         files, folder = fs.FileSystem.from_uri(aside)
         if files.get_file_info(folder).type != fs.FileType.NotFound:
@@ -184,41 +183,49 @@ def _uri(root: str) -> str:
     return (root if "://" in root else "file://" + posixpath.abspath(root)).rstrip("/")
 
 
-def _write_aside(batches: Iterator[pd.DataFrame], aside: str, end: str) -> Iterator[pd.DataFrame]:
+def _write_aside(aside: str, end: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Write neighbouring rows of one path to a file of their own; gives the path and the file."""
-    files, top = fs.FileSystem.from_uri(aside)
-    files.create_dir(top, recursive=True)
-    at, own, out = None, None, None
-    for b in batches:
-        done = []
-        for where, text in zip(b["path"], b["text"]):
-            if where != at or not end:
-                if out is not None:
-                    out.close()
-                    done.append((at, own))
-                at, own = where, f"{top}/{uuid.uuid4().hex}"
-                out = files.open_output_stream(own)
-            out.write(((text or "") + end).encode("utf-8", "surrogatepass"))
-        yield pd.DataFrame(done, columns=["path", "aside"])
-    if out is not None:
-        out.close()
-        yield pd.DataFrame([(at, own)], columns=["path", "aside"])
-
-
-def _publish(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
+
+    def write(batches):  # an inner function, so that workers need not have this package
+        files, top = fs.FileSystem.from_uri(aside)
+        files.create_dir(top, recursive=True)
+        at, own, out = None, None, None
+        for b in batches:
+            done = []
+            for where, text in zip(b["path"], b["text"]):
+                if where != at or not end:
+                    if out is not None:
+                        out.close()
+                        done.append((at, own))
+                    at, own = where, f"{top}/{uuid.uuid4().hex}"
+                    out = files.open_output_stream(own)
+                out.write(((text or "") + end).encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame(done, columns=["path", "aside"])
+        if out is not None:
+            out.close()
+            yield pd.DataFrame([(at, own)], columns=["path", "aside"])
+
+    return write
+
+
+def _publish(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Move files to their places. A file that is no longer aside was moved by an earlier attempt of the task."""
-    files, top = fs.FileSystem.from_uri(root)
-    for b in batches:
-        for where, own in zip(b["path"], b["aside"]):
-            target = posixpath.join(top, where)
-            files.create_dir(posixpath.dirname(target), recursive=True)
-            try:
-                files.move(own, target)
-            except OSError:
-                both = files.get_file_info([own, target])
-                if both[0].type != fs.FileType.NotFound or both[1].type == fs.FileType.NotFound:
-                    raise
-        yield pd.DataFrame({"files": [len(b)]})
+
+    def publish(batches):
+        files, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for where, own in zip(b["path"], b["aside"]):
+                target = posixpath.join(top, where)
+                files.create_dir(posixpath.dirname(target), recursive=True)
+                try:
+                    files.move(own, target)
+                except OSError:
+                    both = files.get_file_info([own, target])
+                    if both[0].type != fs.FileType.NotFound or both[1].type == fs.FileType.NotFound:
+                        raise
+            yield pd.DataFrame({"files": [len(b)]})
+
+    return publish
 
 
 def report_path(rel_path: Column, suffix: str = ".jsp.txt") -> Column:

@@ -145,14 +145,14 @@ def test_failed_write_publishes_nothing(spark, tmp_path):
 def test_late_attempt_does_not_publish(tmp_path):
     batch = [pd.DataFrame({"path": ["a/x", "b"], "text": ["1", None]})]
     aside = tmp_path / "root/.writing"
-    first, late = [pd.concat(list(sinks._write_aside(batch, aside.as_uri(), ""))) for _ in range(2)]
+    first, late = [pd.concat(list(sinks._write_aside(aside.as_uri(), "")(batch))) for _ in range(2)]
     assert len(late) == 2  # not in the committed table
     root = (tmp_path / "root").as_uri()
-    assert [f["files"][0] for f in sinks._publish([first], root)] == [2]
-    assert [f["files"][0] for f in sinks._publish([first], root)] == [2]  # a repeated task finds its files moved
+    assert [f["files"][0] for f in sinks._publish(root)([first])] == [2]
+    assert [f["files"][0] for f in sinks._publish(root)([first])] == [2]  # a repeated task finds its files moved
     assert ((tmp_path / "root/a/x").read_text(), (tmp_path / "root/b").read_text()) == ("1", "")
     with pytest.raises(OSError):
-        list(sinks._publish([pd.DataFrame({"path": ["c"], "aside": [str(tmp_path / "none")]})], root))
+        list(sinks._publish(root)([pd.DataFrame({"path": ["c"], "aside": [str(tmp_path / "none")]})]))
 
 
 def test_one_document_in_parts(spark, tmp_path):
