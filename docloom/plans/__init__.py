@@ -4,8 +4,8 @@ Every query reads whole tables. ``QUERIES`` maps a name to ``(spark, folder) ->
 maps it to SQL.
 """
 
-from docloom.plans import files, grid, grouping, ingest, markup, relational, search, services
+from docloom.plans import files, grid, grouping, ingest, markup, relational, search, services, streams
 
-MODULES = (relational, search, markup, services, grouping, ingest, grid, files)
+MODULES = (relational, search, markup, services, grouping, ingest, grid, files, streams)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

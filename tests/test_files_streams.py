@@ -191,6 +191,35 @@ def test_log_stream_equals_batch(spark, tmp_path):
     assert {r.level for r in batch.collect()} == {"INFO", "ERROR", "UNKNOWN"}
 
 
+def test_tables_kept_up_with_a_stream(spark, tmp_path):
+    rows = [(i, f"k{i % 3}" if i % 7 else None, (i * 37) % 50) for i in range(60)]
+    schema = "id long, source string, at long"
+    src = str(tmp_path / "in")
+
+    def go(keep, name):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        keep(stream, str(tmp_path / name), str(tmp_path / f"{name}-cp")).awaitTermination(120)
+
+    kept = {
+        "newest": lambda s, to, cp: jobs.keep_newest(s, to, cp, ["source"], ["at", "id"], 4),
+        "firsts": lambda s, to, cp: jobs.keep_firsts(s, to, cp, ["source"], ["at", "id"]),
+    }
+    for part in (rows[:25], rows[25:]):  # stopped and started again in between
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(src)
+        for name, keep in kept.items():
+            go(keep, name)
+    last = str(tmp_path / "newest")
+    # A version whose batch was not finished is not read.
+    jobs.folded(spark, last).limit(1).write.parquet(f"{last}/version=99")
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append((r[2], r[0]))
+    got = {(r.source, r.at, r.id) for r in jobs.folded(spark, last).collect()}
+    assert got == {(k, *x) for k, g in groups.items() for x in sorted(g)[-4:]}
+    first = {(r.source, r.at, r.id) for r in jobs.folded(spark, str(tmp_path / "firsts")).collect()}
+    assert first == {(k, *min(g)) for k, g in groups.items()}
+
+
 def test_hit_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         write(str(tmp_path / f"src/p{i}.jsp"), f"<% a{i}\n %><font>x</font><p onclick='f()'>${{a > {i}}}</p>")
