@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import function_name, prefixed_value
+from docloom.operators.rows import inline_rows
 
 CHUNK = 1_000
 
@@ -40,15 +41,23 @@ def last_by_kind(
     """One row per item: for each kind in ``scalars`` the content of its last step, empty if there is none.
 
     ``counted`` adds the number of steps of a kind. Steps without a kind are ignored and items without
-    steps are kept. All values are partial aggregates.
+    steps are kept. One scan and one shuffle of each table, as partial aggregates; ``items`` may be ``steps`` itself.
     """
-    is_kind = lambda k: F.col(kind) == k
+    step = F.struct(F.col(position).alias("position"), F.col(kind).alias("kind"), F.col(content).alias("content"))
+    if items is steps:
+        rows = steps.select(key, step.alias("__step"), F.lit(True).alias("__item"))
+    else:
+        taken = steps.select(key, step.alias("__step"), F.lit(False).alias("__item"))
+        rows = items.select(key, F.lit(None).cast(taken.schema["__step"].dataType).alias("__step"), F.lit(True).alias("__item")).unionByName(taken)
+    # A null key names an item, but no steps belong to it.
+    is_kind = lambda k: (F.col("__step.kind") == k) & F.col(key).isNotNull()
     last = [
-        F.max_by(F.when(is_kind(k), F.col(content)), F.when(is_kind(k), F.col(position))).alias(n) for n, k in scalars.items()
+        F.coalesce(F.max_by(F.when(is_kind(k), F.col("__step.content")), F.when(is_kind(k), F.col("__step.position"))), F.lit("")).alias(n)
+        for n, k in scalars.items()
     ]
     counts = [F.count_if(is_kind(k)).alias(n) for n, k in (counted or {}).items()]
-    rolled = steps.where(F.length(kind) > 0).groupBy(key).agg(*last, *counts)
-    return items.select(key).distinct().join(rolled, key, "left").fillna("", subset=list(scalars)).fillna(0, subset=list(counted or {}))
+    rolled = rows.groupBy(key).agg(*last, *counts, F.bool_or("__item").alias("__item"))
+    return rolled.where("__item").drop("__item")
 
 
 def lists_by_kind(steps: DataFrame, key: str, position: str, kind: str, content: str, kinds: Sequence[str], chunk: int = CHUNK) -> DataFrame:
@@ -99,14 +108,12 @@ def spec_lines(steps: DataFrame, key: str, position: str, kind: str, content: st
             F.when(F.length("response") > 0, F.lit("    # HTTPレスポンス判定")), told("response", "    expected_response = "),
             F.when(F.col("n_check") > 0, F.lit("    # 判定用SQL"))],
     }
-    heads = [
-        rolled.select(key, F.lit(p).alias("part"), F.lit(0).cast("bigint").alias("position"),
-                      F.posexplode(F.array_compact(F.array(*texts))).alias("line_no", "line"))
-        for p, texts in parts.items()
-    ]
+    numbered = lambda p: lambda line, i: F.struct(F.lit(p).alias("part"), i.alias("line_no"), line.alias("line"))
+    told_lines = F.concat(*[F.transform(F.array_compact(F.array(*texts)), numbered(p)) for p, texts in parts.items()])
+    heads = inline_rows(rolled, [key], told_lines).select(key, "part", F.lit(0).cast("bigint").alias("position"), "line_no", "line")
     sql = steps.where(F.col(kind).isin(SETUP_SQL, CHECK_SQL)).select(
         key, F.when(F.col(kind) == SETUP_SQL, 1).otherwise(3).alias("part"), F.col(position).cast("bigint").alias("position"),
         F.lit(0).alias("line_no"),
         F.concat(F.when(F.col(kind) == SETUP_SQL, "    # 実行SQL: ").otherwise("    # 判定SQL: "), content).alias("line"),
     )
-    return heads[0].unionByName(heads[1]).unionByName(sql)
+    return heads.unionByName(sql)

@@ -159,6 +159,24 @@ STEPS = [
 ]
 
 
+def test_last_by_kind(spark):
+    """Against a plain walk: items without steps stay, steps without an item go, a null key has no steps."""
+    steps = [("a", 1, "x", "one"), ("a", 3, "x", "two"), ("a", 2, "y", "y1"), ("b", 1, "z", "none"), (None, 1, "x", "lost"), ("d", 1, "x", "no item"), ("a", 4, None, "kindless"), ("a", None, "x", "no place"), ("c", 1, "x", None)]
+    schema = "no string, pos long, kind string, content string"
+    table = spark.createDataFrame(steps, schema)
+    items = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("e",), (None,)], "no string")
+    for of, keys in ((items, ["a", "b", "c", "e", None]), (table, ["a", "b", "c", "d", None])):
+        want = set()
+        for k in keys:
+            own = [s for s in steps if k is not None and s[0] == k]
+            last = max(((s[1], s[3]) for s in own if s[2] == "x" and s[1] is not None), default=(0, ""))[1]
+            want.add((k, last or "", sum(s[2] == "y" for s in own)))
+        got = [tuple(r) for r in group.last_by_kind(of, table, "no", "pos", "kind", "content", {"last_x": "x"}, {"n_y": "y"}).collect()]
+        assert len(got) == len(want) and set(got) == want
+    empty = spark.createDataFrame([], schema)
+    assert group.last_by_kind(empty, empty, "no", "pos", "kind", "content", {"last_x": "x"}).count() == 0
+
+
 def test_spec_lines(spark):
     steps = spark.createDataFrame(STEPS, "no string, pos int, kind string, content string").where("no is not null")
     lines = group.spec_lines(steps, "no", "pos", "kind", "content").orderBy("no", "part", "position", "line_no")
