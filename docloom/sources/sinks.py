@@ -179,8 +179,10 @@ WRITTEN = "path string, aside string"
 
 
 def _uri(root: str) -> str:
-    """A folder under the name that Spark and Arrow read alike."""
-    return (root if "://" in root else "file://" + posixpath.abspath(root)).rstrip("/")
+    """A folder under the name that Spark and Arrow read alike; a path without a scheme is a local or mounted one."""
+    local = root.removeprefix("file:")
+    named = root if "://" in root else "file://" + posixpath.abspath(local)
+    return named.rstrip("/")
 
 
 def _write_aside(aside: str, end: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

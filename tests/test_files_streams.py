@@ -142,6 +142,11 @@ def test_failed_write_publishes_nothing(spark, tmp_path):
     assert len([p for p in root.rglob("*") if p.is_file()]) == 40 and (root / "d7/x.txt").read_text() == "new"
 
 
+def test_names_of_folders():
+    names = ["/a/b/", "file:/a/b", "file:///a/b", "s3://x/a/b/"]
+    assert [sinks._uri(n) for n in names] == ["file:///a/b"] * 3 + ["s3://x/a/b"]
+
+
 def test_late_attempt_does_not_publish(tmp_path):
     batch = [pd.DataFrame({"path": ["a/x", "b"], "text": ["1", None]})]
     aside = tmp_path / "root/.writing"
