@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import string
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +14,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import markup as mk
-from docloom.operators.rows import inline_rows
+from docloom.operators.literals import required_literals
+from docloom.operators.rows import explode_rows, inline_rows
+
+FEW_RULES = 100  # up to here rules are tried one after the other, beyond it they are looked up
+MOST_RULES, MOST_CHARS = 20_000, 4_000_000  # a rule table of this size is fetched and becomes part of the plan
+GRAM = 4  # characters of a pattern's text that are looked up
 
 
 @dataclass(frozen=True)
@@ -58,6 +67,53 @@ def rule_index(rules: Sequence[Rule], target: Column, kind: Column, value: Colum
     return F.coalesce(*[F.when(fits(r), F.lit(i)) for i, r in enumerate(rules)], F.lit(None).cast("int"))
 
 
+def first_fitting(rules: Sequence[Rule], target: Column, kind: Column, value: Column) -> Column:
+    """The position of the first rule that fits as an array of one, or an empty one: ``rule_index`` for long lists.
+
+    Every match of a pattern holds one of its texts (``required_literals``), so a rule is tried only where a piece of such a
+    text, up to four characters and the rarest of the list, stands in the value. The pieces are one constant hash table,
+    and a value is cut into its pieces once, whatever the number of rules. Rules without such texts are always tried.
+    """
+    texts = [(i, r.target, required_literals(r.pattern) if r.pattern else None) for i, r in enumerate(rules)]
+    times = Counter((t, piece) for _, t, found in texts for x in found or () for piece in set(_pieces(x)))
+    entries = defaultdict(set)
+    for i, t, found in texts:
+        for piece in {""} if found is None else {min(_pieces(x), key=lambda g, t=t: (times[t, g], g)) for x in found}:
+            entries[f"{t}\0{piece}"].add(i)
+    n = 2 * len(entries) + 1
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for key, numbers in entries.items():
+        buckets[zlib.crc32(key.encode()) % n].append({"key": key, "rules": sorted(numbers)})
+    table = _constant(buckets, "array<array<struct<key:string,rules:array<int>>>>")
+    listed = _constant([{"kind": r.kind, "pattern": r.pattern or None} for r in rules], "array<struct<kind:string,pattern:string>>")
+
+    sizes = sorted({len(key) - key.index("\0") - 1 for key in entries} - {0})
+    folded = F.translate(F.coalesce(value, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    cut = [F.regexp_extract_all(folded, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
+
+    def met(piece: Column) -> Column:
+        key = F.concat(target, F.lit("\0"), piece)
+        bucket = F.element_at(table, (F.crc32(F.encode(key, "UTF-8")) % n + 1).cast("int"))
+        return F.flatten(F.transform(F.filter(bucket, lambda e: e["key"] == key), lambda e: e["rules"]))
+
+    def fits(no: Column) -> Column:
+        rule = F.element_at(listed, no + 1)
+        return (rule["kind"].isNull() | (rule["kind"] == kind)) & (rule["pattern"].isNull() | F.regexp_like(value, rule["pattern"]))
+
+    numbers = F.flatten(F.transform(F.array_distinct(F.concat(F.array(F.lit("")), *cut)), met))
+    return F.slice(F.filter(F.array_sort(F.array_distinct(numbers)), fits), 1, 1)
+
+
+def _pieces(text: str) -> list[str]:
+    size = min(len(text), GRAM)
+    return [text[i : i + size] for i in range(len(text) - size + 1)]
+
+
+def _constant(rows: list, schema: str) -> Column:
+    """Rows as one constant of the plan: the optimizer reads the text once."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
 # What a rule can be tested against.
 TARGETS = (
     "html_tag", "html_attr_name", "html_attr_value", "el_expression", "inline_event", "js_function", "js_event", "jsp-logic",
@@ -165,7 +221,12 @@ def candidates(docs: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
 
 def hits(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Rule hits with everything the reports show. No shuffle: one pass over the documents."""
-    found = candidates(docs, {r.target for r in rules}).withColumn("rule_no", rule_index(rules, F.col("target"), F.col("kind"), F.col("value")))
+    found = candidates(docs, {r.target for r in rules})
+    tested = F.col("target"), F.col("kind"), F.col("value")
+    if len(rules) > FEW_RULES:
+        found = explode_rows(found, found.columns, first_fitting(rules, *tested), "__pos", "rule_no")
+    else:
+        found = found.withColumn("rule_no", rule_index(rules, *tested))
     shown = tx.snippet(F.when(F.length("kind") > 0, F.col("kind")).otherwise(F.col("value")))
     picked = F.element_at(rule_literals(rules), F.col("rule_no") + 1)
     return found.where(F.col("rule_no").isNotNull()).select(
@@ -176,15 +237,8 @@ def hits(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
 
 
 def rule_literals(rules: Sequence[Rule]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.complexity).alias("complexity"),
-                F.lit(r.description).alias("description"),
-            )
-            for r in rules
-        ]
-    )
+    shown = [{"rule_id": r.id, "rule_name": r.name, "complexity": r.complexity, "description": r.description} for r in rules]
+    return _constant(shown, "array<struct<rule_id:string,rule_name:string,complexity:string,description:string>>")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -198,9 +252,19 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 def first_match(rows: DataFrame, key: Sequence[str], rules: DataFrame) -> DataFrame:
     """Table-driven form: rows ``(key..., target, kind, value)`` against a rule table, first rule wins.
 
-    Rules of one target are packed into one row, so the join adds at most one row per candidate and the
-    choice among rules is made inside the row, in rule order.
+    A table of at most ``MOST_RULES`` rules is fetched when the plan is built and looked up in place (``first_fitting``): no
+    join, one scan of the rows. Rules of a larger one are packed into one row per target, so the join adds at most one row
+    per candidate and the choice among rules is made inside the row, in rule order.
     """
+    listed = _listed(rules)
+    if listed is not None:
+        if not listed:
+            return rows.select(*key, "target", "value", F.lit("").alias("rule_id")).where(F.lit(False))
+        first = first_fitting(listed, F.col("target"), F.col("kind"), F.col("value"))
+        kept = list(dict.fromkeys([*key, "target", "value"]))
+        ids = _constant([r.id for r in listed], "array<string>")
+        found = explode_rows(rows, kept, first, "__pos", "__no")
+        return found.select(*key, "target", "value", F.element_at(ids, F.col("__no") + 1).alias("rule_id")).where(F.col("rule_id").isNotNull())
     packed = rules.groupBy("target").agg(
         F.array_sort(F.collect_list(F.struct("ord", "rule_id", "kind", "pattern"))).alias("rules")
     )
@@ -215,6 +279,15 @@ def first_match(rows: DataFrame, key: Sequence[str], rules: DataFrame) -> DataFr
     )
 
 
+def _listed(rules: DataFrame) -> list[Rule] | None:
+    """The rules of a table in their order, or None if it is too large; its size is checked before a row is fetched."""
+    size = rules.agg(F.count("*").alias("n"), F.sum(F.length("pattern")).alias("chars")).first()
+    if size["n"] > MOST_RULES or (size["chars"] or 0) > MOST_CHARS:
+        return None
+    rows = rules.where("target is not null").select("ord", "rule_id", "target", "kind", "pattern").orderBy("ord", "rule_id", "kind", "pattern").collect()
+    return [Rule(r["rule_id"], "", "", r["target"], "", r["kind"], r["pattern"]) for r in rows]
+
+
 def _per_rule(rules: Sequence[Rule]) -> list[Column]:
     return [F.count_if(F.col("rule_id") == r.id).alias(r.id) for r in rules]
 
@@ -228,9 +301,20 @@ def pivot_by_document(docs: DataFrame, found: DataFrame, rules: Sequence[Rule] =
 def summary(found: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
     """Hits per rule, rules without hits included, ordered by complexity and id.
 
-    All counts come from one global aggregate, which is then turned into one row per rule.
+    All counts come from one global aggregate, which is then turned into one row per rule; those of a long list from one
+    aggregate by rule.
     """
     rank = lambda r: COMPLEXITY_ORDER.get(r.complexity, 99)
+    if len(rules) > FEW_RULES:
+        shown = _constant(
+            [{"grade": rank(r), "rule_id": r.id, "rule_name": r.name, "complexity": r.complexity} for r in rules],
+            "array<struct<grade:int,rule_id:string,rule_name:string,complexity:string>>",
+        )
+        listed = found.sparkSession.range(1).select(F.inline(shown))
+        counted = found.groupBy("rule_id").agg(F.count("*").alias("n_hits"))
+        return listed.join(counted, "rule_id", "left").select(
+            "grade", "rule_id", "rule_name", "complexity", F.coalesce("n_hits", F.lit(0)).alias("n_hits")
+        ).orderBy("grade", "rule_id")
     rows = F.array(
         *[
             F.struct(

@@ -24,6 +24,19 @@ PAGE_RULES = (
     Rule("font", "Fonts", "other", "html_tag", "never occurs", pattern=r"^font$"),
 )
 
+# A long list of rules: one for each beginning of three letters from a to q, and some that overlap them.
+_LETTERS = "abcdefghijklmnopq"
+LIBRARY = (
+    Rule("the", "Links to the", "高", "html_attr_value", "before all others", pattern=r"(?i)^/the$"),
+    *[
+        Rule(f"at_{a}{b}{c}", "Links by beginning", "中", "html_attr_value", "", pattern=f"^/{a}{b}{c}")
+        for a in _LETTERS for b in _LETTERS for c in _LETTERS
+    ],
+    Rule("ending", "Links by ending", "低", "html_attr_value", "", pattern=r"^/.*(ing|tion)$"),
+    Rule("stop", "Links with a stop", "低", "html_attr_value", "nothing to look up", pattern=r"[,.]$"),
+    Rule("heading", "Headings", "低", "html_tag", "", pattern=r"^h[1-6]$"),
+)
+
 
 def _pages(spark, sf):
     return spread(read_table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
@@ -173,6 +186,24 @@ def rule_hits(spark, sf):
     return ru.hits(_pages(spark, sf), PAGE_RULES).select("doc_id", "pos", "idx", "rule_id", "complexity", "snippet")
 
 
+def rule_library(spark, sf):
+    """Some 4,900 rules over the web pages, looked up by what their matches must hold."""
+    return ru.hits(_pages(spark, sf), LIBRARY).select("doc_id", "pos", "idx", "rule_id", "complexity", "snippet")
+
+
+def rule_library_table(spark, sf):
+    """The same list as a table, over attribute values: hits per rule."""
+    rows = mk.attributes(_pages(spark, sf)).select(
+        "doc_id", F.lit("html_attr_value").alias("target"), F.lit("").alias("kind"), "value"
+    )
+    return ru.first_match(rows, ["doc_id"], ru.rule_table(spark, LIBRARY)).groupBy("rule_id").agg(F.count("*").alias("n_hits"))
+
+
+def rule_library_summary(spark, sf):
+    """Hits of every rule of the long list, rules without any included."""
+    return ru.summary(ru.hits(_pages(spark, sf), LIBRARY), LIBRARY).select("grade", "rule_id", "n_hits")
+
+
 def rule_first_match(spark, sf):
     """The same tag rules kept as a table."""
     rows = mk.tags(_pages(spark, sf)).select(
@@ -204,7 +235,7 @@ QUERIES = {
     for f in (
         tag_tokens, tag_counts, attr_counts, tag_family, tag_labels, tag_depth, tag_structure, tag_structure_implied, element_snippets, link_facts, text_nodes, comment_strip,
         tag_snippets, snippets, line_numbers, js_functions, include_facts, logic_segments, inline_events, script_functions,
-        script_bindings, el_expressions, rule_hits_default, rule_hits, rule_first_match, rule_summary, rule_pivot,
+        script_bindings, el_expressions, rule_hits_default, rule_hits, rule_library, rule_library_table, rule_library_summary, rule_first_match, rule_summary, rule_pivot,
         rule_totals, top_files,
     )
 }
@@ -279,6 +310,15 @@ _HITS = f"""
         UNION ALL SELECT doc_id, pos, 2 * idx + 1, value, {_case(PAGE_RULES, 'html_attr_value', 'value')} FROM named),
     hits AS (SELECT doc_id, pos, idx, rule_id, complexity, value FROM cand JOIN {_RULES_SQL} ON cand.no = r.no)"""
 
+_LIBRARY_HITS = f"""
+    {_ATTRS},
+    hits AS (SELECT doc_id, pos, 0 AS idx, 'heading' AS rule_id, '低' AS complexity, name AS value FROM tags WHERE regexp_matches(name, '^h[1-6]$')
+        UNION ALL SELECT doc_id, pos, 2 * idx + 1, CASE WHEN regexp_matches(value, '(?i)^/the$') THEN 'the'
+            WHEN regexp_matches(value, '^/[{_LETTERS}]{{3}}') THEN 'at_' || substr(value, 2, 3)
+            WHEN regexp_matches(value, '^/.*(ing|tion)$') THEN 'ending' WHEN regexp_matches(value, '[,.]$') THEN 'stop' END AS rule_id,
+            CASE WHEN rule_id = 'the' THEN '高' WHEN rule_id LIKE 'at_%' THEN '中' ELSE '低' END, value
+        FROM named WHERE rule_id IS NOT NULL)"""
+
 # Lines of the server page: the web page starts on line 5; "b" is the line of the first logic after it.
 _SERVER = """
     s AS (SELECT page_id AS doc_id, page_id AS i, html, length(html) - length(replace(html, chr(10), '')) + 6 AS b FROM pages)"""
@@ -391,6 +431,13 @@ ORACLES = {
         "CAST(b + 13 AS INTEGER), NULL, 'js_event_bind', 'btn.on(''click'') → (anonymous)', 'btn.addEventListener(\"click\", function'",
     ),
     "rule_hits": f"WITH {_HITS} SELECT doc_id, pos, idx, rule_id, complexity, value AS snippet FROM hits",
+    "rule_library": f"WITH {_LIBRARY_HITS} SELECT doc_id, pos, idx, rule_id, complexity, value AS snippet FROM hits",
+    "rule_library_table": f"WITH {_LIBRARY_HITS} SELECT rule_id, count(*) AS n_hits FROM hits WHERE rule_id <> 'heading' GROUP BY rule_id",
+    "rule_library_summary": f"""
+        WITH {_LIBRARY_HITS}, l AS (SELECT unnest(string_split('{_LETTERS}', '')) AS c),
+        r AS (SELECT 1 AS grade, 'the' AS rule_id UNION ALL SELECT 2, 'at_' || a.c || b.c || d.c FROM l a, l b, l d
+            UNION ALL SELECT 3, unnest(['ending', 'stop', 'heading']))
+        SELECT CAST(grade AS INTEGER) AS grade, rule_id, count(h.doc_id) AS n_hits FROM r LEFT JOIN hits h USING (rule_id) GROUP BY ALL""",
     "rule_first_match": f"""
         WITH {_TOKENS}, c AS (SELECT doc_id, pos, name AS value, {_case(PAGE_RULES, 'html_tag', 'name')} AS no FROM tags)
         SELECT doc_id, pos, value, rule_id FROM c JOIN {_RULES_SQL} ON c.no = r.no""",
