@@ -13,6 +13,7 @@ from docloom.llm.store import ship_package, staged
 
 LEAST_PIVOTS, MOST_PIVOTS, ROWS_PER_PIVOT = 16, 4096, 1024
 BLOCK = 1024  # rows of one group solved in one call
+SLICE = 4096  # queries that meet them there, at about
 
 
 def whole_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -50,6 +51,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     The products with the pivots, which are rows themselves, give each query a score that its k-th best reaches at least. By
     ``q.x <= q.pivot + |q| radius`` a query is sent only to groups that may hold as much, and each group is solved where it
     lies. Groups are split into blocks of about ``BLOCK`` rows, so rows that agree or crowd together do not meet in one task.
+    Queries are dealt to slices of about ``SLICE``, and a block is solved once for each slice: both sides of a call are
+    bounded, even where the bound spares no group.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -57,6 +60,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     n, width = shape["n"], shape["width"] or 0
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // ROWS_PER_PIVOT))
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(count).toPandas()  # bounded by MOST_PIVOTS
+    slices = max(1, -(-queries.count() // SLICE))
     pivots = spark.sparkContext.broadcast((_matrix(chosen["v"], width), chosen["id"].to_numpy(np.int64)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,9 +97,17 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
                 who = one[at]
                 yield pd.DataFrame({"group": group[at], "block": block, "id": some["id"].to_numpy()[who], "least": least[who], "v": some["v"].to_numpy()[who]})
 
-    sent = queries.mapInPandas(send, "group int, block int, id long, least long, v array<long>")
+    to_slice = F.pmod(F.xxhash64("id", "v"), F.lit(slices)).cast("int").alias("slice")
+    sent = queries.mapInPandas(send, "group int, block int, id long, least long, v array<long>").select("*", to_slice)
     sizes = spark.createDataFrame([(g, int(x)) for g, x in enumerate(blocks)], "group int, blocks int")
     held = data.join(F.broadcast(sizes), "group").select("group", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int").alias("block"), "id", "v")
+    # Asked blocks only: a block goes to the slices that have queries for it.
+    if slices == 1:
+        held = held.withColumn("slice", F.lit(0))
+    else:
+        sent = staged(sent, "asked")
+        wanted = sent.select("group", "block", F.col("slice").alias("to")).distinct()
+        held = held.join(wanted, ["group", "block"]).select("group", "block", "id", "v", F.col("to").alias("slice"))
 
     def solve(_, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -111,7 +123,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
                 out.append(pd.DataFrame({"query_id": own[q], "vec_id": ids[best], "score": score[q, best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    local = held.groupBy("group", "block").cogroup(sent.groupBy("group", "block")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    local = held.groupBy("group", "block", "slice").cogroup(sent.groupBy("group", "block", "slice")).applyInPandas(solve, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -102,7 +102,7 @@ def test_fm_index_counts_and_locates():
     assert set(zip(which.tolist(), place.tolist(), strict=True)) == want and len(which) == len(want)
 
 
-def test_top_products_against_brute_force(spark):
+def test_top_products_against_brute_force(spark, monkeypatch):
     draw = random.Random(9)
     rows = [(i, [draw.uniform(-1, 1) for _ in range(6)]) for i in range(1500)]
     rows += [(2000 + i, rows[7][1]) for i in range(1200)]  # one common vector
@@ -118,6 +118,8 @@ def test_top_products_against_brute_force(spark):
     assert got == sorted(want)
     few = vectors.where("id < 4")
     assert knn.top_products(few, few, 10).count() == 12
+    monkeypatch.setattr(knn, "SLICE", 3)
+    assert sorted(tuple(r) for r in knn.top_products(vectors, vectors.where("id % 100 = 0"), 10).collect()) == got
     assert knn.top_products(vectors.limit(0), vectors.limit(0)).count() == 0
 
 

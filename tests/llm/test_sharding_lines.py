@@ -51,6 +51,17 @@ def test_slots_are_not_in_key_order_and_shards_are_even(spark, tmp_path):
     assert sum(r.grown_shard == 8 for r in rows) == pytest.approx(8000 / 9, rel=0.15)
 
 
+def test_one_key_with_most_rows_is_spread_over_many_buckets(spark, tmp_path):
+    spark.range(4000).selectExpr("if(id % 4 = 0, id, null) as doc_id", "repeat('t', 50) as text").write.parquet(str(tmp_path / "d"))
+    out = _shuffled(spark.read.parquet(str(tmp_path / "d")), shards=4, bucket_bytes=5_000)
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) < 400  # two buckets of about 100 rows each
+    back = sharding.write_shards(out, str(tmp_path / "s"))
+    assert back.columns == out.columns and sorted(map(str, back.collect())) == sorted(map(str, out.collect()))
+    stored = back.select("slot", "shard", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
+    assert all(a.slot < b.slot for a, b in zip(stored, stored[1:], strict=False) if a.f == b.f)
+
+
 def test_no_rows(spark, nothing, tmp_path):
     nothing.write.parquet(str(tmp_path / "e"))
     assert _shuffled(spark.read.schema(nothing.schema).parquet(str(tmp_path / "e"))).count() == 0
