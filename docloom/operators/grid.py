@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.address import rescaled_size
 from docloom.functions.text import name_matches
-from docloom.operators.rows import join_one_per_key
+from docloom.operators.rows import explode_rows, join_one_per_key
 
 ROW, COL = "row_no", "col_no"
 
@@ -90,6 +90,76 @@ def insert_range(cells: DataFrame, area: Area, shift_down: bool = True, shift_ri
     return _moved(cells, ROW, beyond, area.height)
 
 
+CHUNK = 32  # turning points of a sheet that are looked through at once
+
+
+def turning_points(edits: DataFrame) -> DataFrame:
+    """Lists of edits as one map per sheet and axis: ``(sheet, axis, start, move, lost)``. From line ``start`` of the sheet as it
+    was up to the next turning point, lines move by ``move`` in all or, where ``lost``, are deleted by some edit.
+
+    ``edits`` are rows ``(sheet, step, axis, kind, at, n)``: in the order of ``step``, ``n`` blank lines are put before line
+    ``at`` (kind insert), or lines ``at`` to ``at + n - 1`` go (delete); axis is row or col. ``at`` counts as the sheet stands
+    at that step, so it is first carried back through the earlier edits of its sheet. Steps that are equal go by kind, at and
+    n. Rows with a null, with another kind or axis or with n below 1 change nothing. The edits of one sheet are one row in
+    between, and the work on them grows with the square of their number.
+    """
+    usable = edits.where("axis in ('row', 'col') and kind in ('insert', 'delete') and n >= 1 and at is not null and step is not null and sheet is not null")
+    one = F.struct("step", "kind", F.col("at").cast("bigint").alias("at"), F.col("n").cast("bigint").alias("n"))
+    listed = usable.groupBy("sheet", "axis").agg(F.sort_array(F.collect_list(one)).alias("edits"))
+
+    def before(line: Column, edit: Column) -> Column:
+        """The first line that stands at ``line`` or beyond it after the edit."""
+        at, n = edit["at"], edit["n"]
+        opened = F.when(line <= at, line).otherwise(F.greatest(at, line - n))
+        return F.when(edit["kind"] == "insert", opened).otherwise(F.when(line < at, line).otherwise(line + n))
+
+    def points(edit: Column, i: Column) -> Column:
+        earlier = F.reverse(F.slice(F.col("edits"), F.lit(1), i))
+        origin = lambda line: F.aggregate(earlier, line, before)
+        point = lambda start, move, lost: F.struct(start.alias("start"), move.alias("move"), F.lit(lost).alias("lost"))
+        none = F.lit(0).cast("bigint")
+        gone = F.array(point(origin(edit["at"]), none, 1), point(origin(edit["at"] + edit["n"]), -edit["n"], -1))
+        return F.when(edit["kind"] == "insert", F.array(point(origin(edit["at"]), edit["n"], 0))).otherwise(gone)
+
+    each = listed.select("sheet", "axis", F.explode(F.flatten(F.transform("edits", points))).alias("p"))
+    summed = each.groupBy("sheet", "axis", "p.start").agg(F.sum("p.move").alias("move"), F.sum("p.lost").alias("lost"))
+    so_far = Window.partitionBy("sheet", "axis").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select("sheet", "axis", "start", F.sum("move").over(so_far).alias("move"), (F.sum("lost").over(so_far) > 0).alias("lost"))
+
+
+def edit_lines(cells: DataFrame, edits: DataFrame) -> DataFrame:
+    """Insert and delete whole rows and columns, each sheet by its own list of ``edits`` (see ``turning_points``).
+
+    However long the lists are, cells are read once: each looks up its row and its column among the turning points of its
+    sheet. Cells of sheets without edits stay. Sheets with most of the cells are dealt to many tasks.
+    """
+    point = F.struct("start", "move", "lost")
+    of_axis = lambda a: F.sort_array(F.collect_list(F.when(F.col("axis") == a, point)))
+    chunked = lambda all_: F.when(
+        F.size(all_) > 0,
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda j: F.slice(all_, j * CHUNK + 1, F.lit(CHUNK))),
+    )
+    maps = turning_points(edits).groupBy("sheet").agg(of_axis("row").alias("__rows"), of_axis("col").alias("__cols"))
+    maps = maps.select("sheet", *[chunked(F.col(c)).alias(c) for c in ("__rows", "__cols")])
+
+    def found(chunks: str, line: str) -> Column:
+        chunk = F.get(F.col(chunks), F.size(F.filter(chunks, lambda c: c[0]["start"] <= F.col(line))) - 1)
+        return F.get(chunk, F.size(F.filter(chunk, lambda p: p["start"] <= F.col(line))) - 1)
+
+    # An outer array of one binds each look-up once.
+    both = F.array(F.struct(found("__rows", ROW).alias("r"), found("__cols", COL).alias("c")))
+    placed = F.transform(
+        both,
+        lambda b: F.struct(
+            *[(F.col(x) + F.coalesce(b[k]["move"], F.lit(0))).cast(cells.schema[x].dataType).alias(x) for x, k in ((ROW, "r"), (COL, "c"))],
+            (F.coalesce(b["r"]["lost"], F.lit(False)) | F.coalesce(b["c"]["lost"], F.lit(False))).alias("lost"),
+        ),
+    )
+    joined = join_one_per_key(cells, maps, ["sheet"], salt=F.struct(ROW, COL), how="left")
+    kept = explode_rows(joined, cells.columns, F.filter(placed, lambda p: ~p["lost"]), "__pos", "__at")
+    return kept.select(*[F.col(f"__at.{c}").alias(c) if c in (ROW, COL) else F.col(c) for c in cells.columns])
+
+
 def insert_copied_rows(cells: DataFrame, template: DataFrame, first: int, last: int, at: int, sheets: DataFrame) -> DataFrame:
     """Insert rows first..last of a template sheet before row ``at`` of every sheet in ``sheets``."""
     moved = _moved(cells, ROW, F.col(ROW) >= at, last - first + 1)

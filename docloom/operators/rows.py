@@ -36,12 +36,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else df
 
 
-def join_one_per_key(df: DataFrame, lookup: DataFrame, key: Sequence[str], salt: Column, slices: int = 32) -> DataFrame:
-    """Inner join with a table that has one row per key, safe when few keys hold most rows of ``df``.
+def join_one_per_key(df: DataFrame, lookup: DataFrame, key: Sequence[str], salt: Column, slices: int = 32, how: str = "inner") -> DataFrame:
+    """Join with a table that has one row per key (inner, or left to keep all rows of ``df``), safe when few keys hold most rows of ``df``.
 
     Rows of a key are dealt to ``slices`` tasks by ``salt`` and the lookup row is repeated for each of them.
     Adaptive skew handling does not apply here when the lookup is itself an aggregate on the key.
     """
     dealt = df.withColumn("__slice", F.pmod(F.xxhash64(salt), F.lit(slices)).cast("int"))
     repeated = lookup.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return dealt.join(repeated, [*key, "__slice"]).drop("__slice")
+    return dealt.join(repeated, [*key, "__slice"], how).drop("__slice")

@@ -72,6 +72,25 @@ def grid_delete_range_left(spark, sf):
     return grid.delete_range(_cells(spark, sf), BOX, shift_left=True)
 
 
+# Every sheet has a list of edits of its own; "i" is its number, "k" the step.
+EDIT_STEPS = 40
+EDITS = {
+    "axis": "CASE WHEN (i + k) % 4 = 0 THEN 'col' ELSE 'row' END",
+    "kind": "CASE WHEN (i + 2 * k) % 5 < 3 THEN 'insert' ELSE 'delete' END",
+    "at": "CASE WHEN (i + k) % 4 = 0 THEN 1 + (i + k) % 3 ELSE 1 + (7 * i + 5 * k) % 30 END",
+    "n": "1 + (i + k) % 2",
+}
+
+
+def grid_edit_lists(spark, sf):
+    """Forty inserts and deletes of rows and columns in a row, other ones for every sheet but each seventh, which has none."""
+    steps = read_table(spark, sf, "documents").where("doc_id % 7 <> 0").select(
+        F.col("doc_id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(EDIT_STEPS))).alias("k")
+    )
+    edits = steps.select(F.col("i").alias("sheet"), F.col("k").alias("step"), *[F.expr(sql).alias(c) for c, sql in EDITS.items()])
+    return grid.edit_lines(_cells(spark, sf), edits)
+
+
 def grid_insert_range(spark, sf):
     return grid.insert_range(_cells(spark, sf), BOX)
 
@@ -98,7 +117,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sheet_scan, sheet_named, find_row, find_col, section_slice, grid_set_value, grid_delete_rows, grid_delete_cols, grid_delete_range,
-        grid_delete_range_left, grid_insert_range, grid_insert_range_right, grid_insert_rows, grid_insert_cols, object_delete,
+        grid_delete_range_left, grid_edit_lists, grid_insert_range, grid_insert_range_right, grid_insert_rows, grid_insert_cols, object_delete,
     )
 }
 
@@ -136,6 +155,16 @@ ORACLES = {
     "grid_delete_range_left": f"""
         WITH {CELLS} SELECT sheet, row_no, CASE WHEN row_no IN (2, 3) AND col_no > 3 THEN col_no - 2 ELSE col_no END AS col_no, value
         FROM cells WHERE NOT ({_IN_BOX})""",
+    "grid_edit_lists": f"""
+        WITH RECURSIVE {CELLS}, w(k, sheet, row_no, col_no, value) AS (
+            SELECT 0, * FROM (SELECT sheet, row_no, CAST(col_no AS BIGINT), value FROM cells) UNION ALL
+            SELECT k, sheet, CASE WHEN axis = 'row' AND row_no >= a THEN row_no + d ELSE row_no END,
+                CASE WHEN axis = 'col' AND col_no >= a THEN col_no + d ELSE col_no END, value
+            FROM (SELECT *, CASE WHEN sheet % 7 = 0 THEN '' ELSE {EDITS['axis']} END AS axis, {EDITS['at']} AS a,
+                    CASE WHEN {EDITS['kind']} = 'insert' THEN {EDITS['n']} ELSE -({EDITS['n']}) END AS d
+                FROM (SELECT k + 1 AS k, sheet, sheet AS i, row_no, col_no, value FROM w WHERE k < {EDIT_STEPS}))
+            WHERE NOT (d < 0 AND axis <> '' AND CASE axis WHEN 'row' THEN row_no ELSE col_no END BETWEEN a AND a - d - 1))
+        SELECT sheet, row_no, CAST(col_no AS INTEGER) AS col_no, value FROM w WHERE k = {EDIT_STEPS}""",
     "grid_insert_range": f"""
         WITH {CELLS} SELECT sheet, CASE WHEN col_no IN (2, 3) AND row_no >= 2 THEN row_no + 2 ELSE row_no END AS row_no, col_no, value FROM cells""",
     "grid_insert_range_right": f"""

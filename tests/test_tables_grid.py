@@ -102,6 +102,39 @@ def test_shifts(cells, edit, move):
     assert at(got) == brute(move) and got.columns == cells.columns and got.dtypes == cells.dtypes
 
 
+def test_lists_of_edits_as_made_one_by_one(spark):
+    import random
+
+    draw = random.Random(2)
+    sheets = {s: {(r, c): f"{s}/{r}/{c}" for r in range(1, 40) for c in range(1, 6)} for s in (1, 2, 3)}
+    table = spark.createDataFrame([(s, r, c, v, "own") for s, held in sheets.items() for (r, c), v in held.items()] + [(None, 1, 1, "x", "own")], "sheet int, row_no long, col_no int, value string, start string")
+    edits = []
+    for s, steps in ((1, 200), (2, 7)):
+        for k in range(steps):
+            axis = draw.choice(["row", "row", "col"])
+            kind = draw.choice(["insert", "insert", "delete"])
+            at, n = draw.randint(-2, 8 if axis == "col" else 60), draw.randint(1, 2)
+            edits.append((s, k, axis, kind, at, n))
+            moved = {}
+            for place, v in sheets[s].items():
+                x = place[axis == "col"]
+                if kind == "delete" and at <= x < at + n:
+                    continue
+                x += (n if kind == "insert" else -n) if x >= at else 0
+                moved[(x, place[1]) if axis == "row" else (place[0], x)] = v
+            sheets[s] = moved
+    edits += [(3, 1, "row", "insert", None, 1), (3, 2, "row", "insert", 1, 0), (3, 3, "x", "insert", 1, 1), (3, 4, "row", "turn", 1, 1), (None, 1, "row", "delete", 1, 9), (9, 1, "row", "delete", 1, 1)]
+    schema = "sheet int, step int, axis string, kind string, at int, n int"
+    draw.shuffle(edits)
+    done = grid.edit_lines(table, spark.createDataFrame(edits, schema))
+    want = [(s, r, c, v, "own") for s, held in sheets.items() for (r, c), v in held.items()] + [(None, 1, 1, "x", "own")]
+    assert sorted(map(str, map(tuple, done.collect()))) == sorted(map(str, want)) and len(sheets[1]) > 5
+    assert done.schema.simpleString() == table.schema.simpleString()
+    untouched = grid.edit_lines(table, spark.createDataFrame([], schema))
+    assert sorted(map(str, untouched.collect())) == sorted(map(str, table.collect()))
+    assert grid.edit_lines(table.limit(0), spark.createDataFrame(edits, schema)).count() == 0
+
+
 def test_set_value_adds_missing_cells(spark, cells):
     names = spark.createDataFrame([("s",), ("t",)], "sheet string")
     got = grid.set_value(cells, Area(4, 4, 5, 4), "ID", names)
