@@ -35,9 +35,18 @@ TEMPLATES = (
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2")),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3")),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license version 2 0", "except in compliance with the license")),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    ("mit-notice", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("as is without warranty of any kind", "noninfringement")),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
 )
-RARE = 4  # anchors of a template
-LEAST_MATCH = 0.8  # words of a template that must stand at their places
+RARE = 4  # words of a document that are looked up for a template
+SLACK = 2  # words by which a word may stand aside from its place
+LEAST_MATCH = 0.8  # words of a template that must stand at their places or so near
 
 
 def _vocabulary() -> list[str]:
@@ -71,55 +80,89 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[str,
 
 
 class RareTokenIndex:
-    """Phrases and templates by their rarest words: word -> (entry, place in it)."""
+    """Phrases and templates by their words: word -> places in each entry. Words are numbered from the rarest on."""
 
     def __init__(self, frequencies: dict[str, int], n_docs: int):
         idf = {w: math.log((n_docs + 1) / (n + 1)) for w, n in frequencies.items()}
+        self.words = sorted(frequencies, key=lambda w: (-idf[w], w))
+        number = {w: i for i, w in enumerate(self.words)}
+        hashes = word_hashes(self.words)
+        self.order = np.argsort(hashes)
+        self.ranked = hashes[self.order]
         self.entries: list[tuple[str, np.ndarray, list[tuple[int, int]]]] = []
-        postings: list[tuple[np.uint64, int, int]] = []
-        for k, (label, text, keys, anchors) in enumerate(
-            [(label, p, (p,), 1) for p, label in PHRASES.items()] + [(*t, RARE) for t in TEMPLATES]
-        ):
+        self.times = np.zeros((len(number), len(TEMPLATES)), np.int64)  # places of a word in a template
+        self.key = np.zeros((len(number), len(TEMPLATES)), np.int64)  # 1 for words of key phrases
+        for k, (label, text, keys) in enumerate([(label, p, (p,)) for p, label in PHRASES.items()] + list(TEMPLATES)):
             words = text.split()
             spans = [next((i, i + len(key.split())) for i in range(len(words)) if words[i : i + len(key.split())] == key.split()) for key in keys]
-            hashes = word_hashes(words)
-            rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:anchors]
-            postings += [(hashes[i], k, i) for i in rare]
-            self.entries.append((label, hashes, spans))
-        postings.sort()
-        self.keys = np.array([p[0] for p in postings], np.uint64)
-        self.entry = np.array([p[1] for p in postings], np.int64)
-        self.place = np.array([p[2] for p in postings], np.int64)
+            self.entries.append((label, np.array([number[w] for w in words]), spans))
+            if k >= len(PHRASES):
+                np.add.at(self.times[:, k - len(PHRASES)], self.entries[k][1], 1)
+                for x, y in spans:
+                    self.key[self.entries[k][1][x:y], k - len(PHRASES)] = 1
 
     def find(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each entry met: (entry, document of each place, first word of each place, share of its words that match)."""
-        low, high = np.searchsorted(self.keys, words), np.searchsorted(self.keys, words, "right")
-        hit = np.flatnonzero(high > low)
-        times = (high - low)[hit]
-        at = np.repeat(hit, times)
-        posting = np.repeat(low[hit], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        entry, start = self.entry[posting], at - self.place[posting]
-        owner = np.searchsorted(first, at, "right") - 1
-        for k in np.unique(entry):
-            label, pattern, spans = self.entries[k]
-            mine = entry == k
-            starts, votes = np.unique(start[mine], return_counts=True)
-            anchors = int((self.entry == k).sum())
-            starts = starts[votes >= max(1, anchors // 2)]
-            if not len(starts):
-                continue
-            inside = starts >= 0
-            starts = starts[inside]
-            doc = np.searchsorted(first, starts, "right") - 1
-            fits = starts + len(pattern) <= first[np.minimum(doc + 1, len(first) - 1)]
-            starts, doc = starts[fits], doc[fits]
-            same = words[starts[:, None] + np.arange(len(pattern))] == pattern
-            share = same.mean(1) if len(starts) else np.zeros(0)
-            good = share >= (1.0 if k < len(PHRASES) else LEAST_MATCH)
-            for a, b in spans:
-                good &= same[:, a:b].all(1)
-            if good.any():
-                yield int(k), doc[good], starts[good], share[good]
+        near = np.minimum(np.searchsorted(self.ranked, words), len(self.ranked) - 1)
+        known = np.where(self.ranked[near] == words, self.order[near], -1)  # number of each word, -1 for others
+        at = np.flatnonzero(known >= 0)
+        word = known[at]
+        # Of texts without words, which begin where the next one does, the search takes the last: the owner.
+        doc = np.searchsorted(first, at, "right") - 1
+        for k in range(len(PHRASES)):
+            _, pattern, _ = self.entries[k]
+            anchor = int(np.argmin(pattern))
+            starts, owner = at[word == pattern[anchor]] - anchor, doc[word == pattern[anchor]]
+            fits = (starts >= first[owner]) & (starts + len(pattern) <= first[owner + 1])
+            starts, owner = starts[fits], owner[fits]
+            whole = (known[starts[:, None] + np.arange(len(pattern))] == pattern).all(1)
+            if whole.any():
+                yield k, owner[whole], starts[whole], np.ones(int(whole.sum()))
+        if not len(at):
+            return
+        pairs = np.unique(doc * len(self.words) + word)  # distinct licence words of each document, the rarest first
+        owner, held = pairs // len(self.words), pairs % len(self.words)
+        docs, begins = np.unique(owner, return_index=True)
+        ends = np.append(begins[1:], len(owner))
+        # A match needs most words of the template and all of its key phrases somewhere in the document.
+        lengths = self.times.sum(0)
+        may = np.add.reduceat(self.times[held], begins) >= LEAST_MATCH * lengths
+        may &= np.add.reduceat(self.key[held], begins) == self.key.sum(0)
+        for i, t in np.argwhere(may).tolist():
+            mine = held[begins[i] : ends[i]]
+            rare = mine[self.times[mine, t] > 0][:RARE]
+            low, high = np.searchsorted(at, (first[docs[i]], first[docs[i] + 1]))
+            starts, share = self._places(t, rare, at[low:high], word[low:high], known, first[docs[i]], first[docs[i] + 1])
+            if len(starts):
+                yield t + len(PHRASES), np.full(len(starts), docs[i]), starts, share
+
+    def _places(self, t: int, rare: np.ndarray, at: np.ndarray, word: np.ndarray, known: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of one template in the words ``low`` to ``high`` of one document, whose licence words stand at ``at``."""
+        _, pattern, spans = self.entries[t + len(PHRASES)]
+        starts = np.sort(np.concatenate([at[word == w] - p for w in rare for p in np.flatnonzero(pattern == w)]))
+        votes = np.searchsorted(starts, starts + SLACK, "right") - np.searchsorted(starts, starts - SLACK)
+        starts = np.unique(starts[votes >= min(2, len(rare))])
+        good, shares = [], []
+        aside = np.arange(-SLACK, SLACK + 1)
+        for i in range(0, len(starts), 1024):
+            some = starts[i : i + 1024]
+            index = some[:, None, None] + aside[:, None] + np.arange(len(pattern))
+            inside = (index >= low) & (index < high)
+            hit = inside & (known[np.where(inside, index, low)] == pattern)
+            share = hit.any(1).mean(1)
+            fits = share >= LEAST_MATCH
+            for x, y in spans:
+                fits &= hit[:, :, x:y].all(2).any(1)
+            good.append(some[fits])
+            shares.append(share[fits])
+        starts, share = (np.concatenate(x) if x else np.zeros(0) for x in (good, shares))
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0)
+        # Starts side by side are one place; the best of them stands for it.
+        run = np.cumsum(np.diff(starts, prepend=starts[0]) > 2 * SLACK)
+        best = np.lexsort((starts, -share, run))
+        best = best[np.diff(run[best], prepend=-1) > 0]
+        return np.maximum(starts[best], low).astype(np.int64), share[best]
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,9 +170,10 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     first word, matching share of each place).
 
     Words are as in ``words``; a null text counts as empty. The rarity of licence words is counted over all documents.
-    Every phrase is looked up by its rarest word and compared word for word, so all its places are found. A template is
-    looked up by its four rarest words; where at least two agree on its beginning, four fifths of its words must stand at
-    their places and its key phrases word for word. score is the best share. Rows are independent, so repeated rows get
+    Every phrase is looked up by its rarest word and compared word for word, so all its places are found. For a template that a
+    document can hold by its words, the document's own four rarest words of it are looked up; where at least two agree
+    on its beginning, give or take two words, four fifths of its words must stand at their places or so near, and its key
+    phrases word for word. score is the best share. Rows are independent, so repeated rows get
     equal results; an empty table gives none.
     """
     ship_package(docs.sparkSession)
@@ -143,7 +187,6 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         n_words, places = np.zeros(n, np.int64), [[] for _ in range(n)]
         for i, j, _, _, first, _, _, words in blocks(texts):
             n_words[i:j] = np.diff(first)
-            # Of texts without words, which begin where the next one does, the search takes the last: the owner.
             for k, doc, starts, share in index.find(words, first):
                 for d, s, x in zip(doc.tolist(), (starts - first[doc]).tolist(), share.tolist(), strict=True):
                     places[i + d].append((k, s, x))

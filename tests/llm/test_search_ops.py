@@ -49,6 +49,30 @@ def test_licenses_against_brute_force(spark, documents, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licence_notices_with_changed_words():
+    texts = {label: [t for name, t, _ in licenses.TEMPLATES if name == label][-1] for label in ("gpl-3.0", "apache-2.0", "bsd", "mit-notice")}
+    index = licenses.RareTokenIndex({w: 1000 if len(w) < 4 else 5 for w in licenses._vocabulary()}, 2000)
+
+    def found(text):
+        tokens = words(text)
+        hashes = licenses.word_hashes(tokens) if tokens else np.zeros(0, np.uint64)
+        return {(index.entries[k][0], int(s)) for k, _, starts, _ in index.find(hashes, np.array([0, len(tokens)])) for s in starts if k >= len(licenses.PHRASES)}
+
+    def labels(text):
+        return {label for label, _ in found(text)}
+
+    for label, text in texts.items():
+        tokens = text.split()
+        assert label in labels(text) and label in labels("words before it " * 50 + text + " and after")
+        assert label in labels(" ".join([tokens[0], "really", *tokens[1:]]))  # one word more moves all that follow
+        assert label in labels(" ".join([tokens[0], *tokens[2:]]))
+        assert labels(" ".join(sorted(tokens))) == set() and labels(" ".join(tokens[::2])) == set()
+    twice = texts["bsd"] + " x" * 30 + " " + texts["bsd"]
+    assert found(twice) == {("bsd", 0), ("bsd", len(words(texts["bsd"])) + 30)}
+    assert labels("either version 3 of the gnu general public license") == set() and labels("") == set()
+    assert labels(texts["gpl-3.0"].replace("version 3", "version 4")) == set()
+
+
 def brute_windows(docs, items):
     windows = {}
     for item, text in items:
