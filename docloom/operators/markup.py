@@ -36,6 +36,8 @@ CONTROL_ATTRIBUTES = {
     "test": "test", "var": "var", "items": "items", "value": "value", "begin": "begin", "end": "end",
     "step": "step", "varstatus": "varStatus", "url": "url", "name": "name",
 }
+FORM_MARKERS = {"modelattribute": "📦", "commandname": "📦", "path": "🔴"}
+CONTROL_MARKERS = {"test": "❓", "var": "🆔"}
 CONTROL_TAGS = {
     "c:foreach": "c:forEach", "c:setwhen": "c:setWhen", "fmt:formatdate": "fmt:formatDate",
     "fmt:formatnumber": "fmt:formatNumber", "fmt:parsedate": "fmt:parseDate",
@@ -379,6 +381,28 @@ def display_name(name: Column) -> Column:
     return tx.relabel(name, CONTROL_TAGS)
 
 
+def labelled_attributes(docs: DataFrame) -> DataFrame:
+    """Known attributes of form and control tags under their usual names: doc_id, pos, line, name, place (in the list of known
+    names, from 1), attr, label, marker (empty for most) and value. Empty values are shown, other attributes are not."""
+    form = family(F.col("name")) == "form"
+    control = family(F.col("name")) == "control"
+
+    def by_family(of_form: Column, of_control: Column) -> Column:
+        return F.when(form, of_form).when(control, of_control)
+
+    def place(known: dict) -> Column:
+        return F.array_position(F.array(*[F.lit(k) for k in known]), F.col("attr")).cast("int")
+
+    def marker(marks: dict) -> Column:
+        return F.when(F.col("attr").isin(*marks), tx.relabel(F.col("attr"), marks)).otherwise("")
+
+    return attributes(docs).where(form | control).select(
+        "doc_id", "pos", "line", "name", by_family(place(FORM_ATTRIBUTES), place(CONTROL_ATTRIBUTES)).alias("place"), "attr",
+        by_family(tx.relabel(F.col("attr"), FORM_ATTRIBUTES), tx.relabel(F.col("attr"), CONTROL_ATTRIBUTES)).alias("label"),
+        by_family(marker(FORM_MARKERS), marker(CONTROL_MARKERS)).alias("marker"), "value",
+    ).where("place > 0")
+
+
 def text_nodes(docs: DataFrame, static: bool = True) -> DataFrame:
     """Text of a document: doc_id, pos (of the markup it belongs to, -1 before the first), kind, el, text.
 

@@ -86,6 +86,11 @@ def tag_labels(spark, sf):
     )
 
 
+def attribute_labels(spark, sf):
+    """Attributes of form and control tags by their usual names."""
+    return mk.labelled_attributes(_server_pages(spark, sf)).select("doc_id", "name", "place", "label", "marker", "value")
+
+
 def tag_depth(spark, sf):
     return mk.depth(_pages(spark, sf)).select("doc_id", "pos", "name", F.col("depth").cast("int").alias("depth"))
 
@@ -233,7 +238,7 @@ def top_files(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_tokens, tag_counts, attr_counts, tag_family, tag_labels, tag_depth, tag_structure, tag_structure_implied, element_snippets, link_facts, text_nodes, comment_strip,
+        tag_tokens, tag_counts, attr_counts, tag_family, tag_labels, attribute_labels, tag_depth, tag_structure, tag_structure_implied, element_snippets, link_facts, text_nodes, comment_strip,
         tag_snippets, snippets, line_numbers, js_functions, include_facts, logic_segments, inline_events, script_functions,
         script_bindings, el_expressions, rule_hits_default, rule_hits, rule_library, rule_library_table, rule_library_summary, rule_first_match, rule_summary, rule_pivot,
         rule_totals, top_files,
@@ -356,6 +361,13 @@ ORACLES = {
     "tag_labels": f"""
         WITH {_TOKENS} SELECT doc_id, name AS tag_label FROM tags WHERE name = 'script'
         UNION ALL SELECT page_id, l FROM pages, (VALUES ('c:forEach'), ('form:input'), ('jsp:include'), ('script'), ('script')) v(l)""",
+    "attribute_labels": f"WITH {_SERVER} " + _rows(
+        "'c:foreach' AS name, 3 AS place, 'items' AS label, '' AS marker, '${rows' || i || '}' AS value",
+        "'c:foreach', 2, 'var', '🆔', 'r'",
+        "'c:foreach', 8, 'varStatus', '', 's'",
+        "'form:input', 3, 'path', '🔴', 'f' || i",
+        "'form:input', 7, 'cssClass', '', '${a == ' || i || '}'",
+    ),
     "tag_depth": "SELECT doc_id, pos, name, depth FROM (" + _structure("SELECT * FROM pages", False) + ")",
     "tag_structure": _structure(_BROKEN, False),
     "tag_structure_implied": _structure(_BROKEN, True),

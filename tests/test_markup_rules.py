@@ -108,6 +108,15 @@ def test_labels_and_families(value):
         assert value(mk.family(F.lit(name))) == want
 
 
+def test_labelled_attributes(spark):
+    text = """<form:form modelAttribute="m" METHOD='post' id=x><c:if test="${a}" path="p"><fmt:formatDate value="" VAR=v /><p path="q">"""
+    found = mk.labelled_attributes(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"))
+    assert rows(found.select("name", "place", "label", "marker", "value"), "name", "place") == [
+        ("c:if", 1, "test", "❓", "${a}"), ("fmt:formatdate", 2, "var", "🆔", "v"), ("fmt:formatdate", 4, "value", "", ""),
+        ("form:form", 1, "modelAttribute", "📦", "m"), ("form:form", 5, "method", "", "post"),
+    ]
+
+
 def test_first_rule_wins_in_both_forms(spark, docs):
     rules = (
         Rule("i_first", "i", "低", "html_tag", "", pattern="^i$"),
