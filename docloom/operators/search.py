@@ -18,6 +18,7 @@ from docloom.operators.rows import explode_rows
 # Term tables up to this size become literals of the plan; larger ones go through the gram join.
 LITERAL_TERMS = 500
 LITERAL_CHARS = 100_000
+BROADCAST_CHARS = 4_000_000  # grams with their terms, counted; more of them are shuffled, whatever the scan's size suggests
 GRAMS = (32, 16, 8, 4, 2, 1)  # block lengths, longest first
 SHORT = 15  # shorter terms need blocks below eight characters; if they are few, they become literals
 
@@ -137,8 +138,10 @@ def find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool = False)
     if few is not None:
         rest = find_by_gram(pages, terms.where(F.length(fold(F.col("term"))) >= SHORT), ignore_case)
         return find_terms(pages, few, ignore_case).unionByName(rest)
-    # At most one row per block length.
-    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
+    # At most one row per block length, with the characters of its grams, each beside its term.
+    chars = F.sum(F.col("size") * (F.col("size") + 2 * F.length("term") + 32))
+    found = listed.groupBy("size").agg(chars.alias("chars")).collect()
+    sizes = sorted(r["size"] for r in found)
     if not sizes:
         return pages.select("*", F.lit(0).alias("seq"), F.lit("").alias("term")).where(F.lit(False))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.substr(F.col("folded"), i, F.col("size"))))
@@ -149,9 +152,11 @@ def find_by_gram(pages: DataFrame, terms: DataFrame, ignore_case: bool = False)
     cut = explode_rows(
         pages.select("doc_id", "page_no", body.alias("body")), ["doc_id", "page_no"], F.array_distinct(blocks), "__pos", "gram"
     )
+    # A table of few bytes may hold terms whose grams fill the driver, so their count decides, not the plan's guess.
+    wanted = F.broadcast(wanted) if sum(r["chars"] for r in found) <= BROADCAST_CHARS else wanted.hint("merge")
     candidates = cut.join(wanted, "gram").select("doc_id", "page_no", "seq", "term", "folded").distinct()
     return (
-        pages.join(candidates, ["doc_id", "page_no"])
+        pages.hint("merge").join(candidates, ["doc_id", "page_no"])
         .where(F.contains(fold(tx.one_line(F.col("text"))), F.col("folded")))
         .select(*pages.columns, "seq", "term")
     )

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import search as se
 from docloom.operators.asof import asof_backward
@@ -97,3 +98,22 @@ def test_headings_in_the_text(spark, text):
         want.append((i, last, line))
     got = se.headed_line_pages(docs, r"[^\n]{0,3}").orderBy("page_no")
     assert [(r.page_no, r.heading, r.text) for r in got.collect()] == want
+
+
+def test_small_scan_with_many_grams_is_not_broadcast(spark):
+    """A few bytes of keys become terms whose grams are many times as large; the scan's size says nothing about them."""
+    few = spark.range(40).select(F.col("id").cast("int").alias("seq"), F.concat(F.lit("no such term, nr. "), "id").alias("term"))
+    text = [("d", 1, "there is no such term, nr. 7 here")]
+
+    def plan(terms):
+        found = se.find_by_gram(pages(spark, text), terms)
+        return found, found._jdf.queryExecution().sparkPlan().toString()
+
+    found, small = plan(few)
+    assert sorted(r.seq for r in found.collect()) == [7] and "BroadcastHashJoin" in small
+    old, se.BROADCAST_CHARS = se.BROADCAST_CHARS, 100
+    try:
+        found, large = plan(few)
+        assert sorted(r.seq for r in found.collect()) == [7] and "BroadcastHashJoin" not in large
+    finally:
+        se.BROADCAST_CHARS = old
