@@ -1,6 +1,7 @@
 import pytest
 
 from docloom.operators import services as sv
+from docloom.plans import services as ps
 
 XML = """<?xml version="1.0"?><{w}definitions targetNamespace="urn:x" {wd}="http://schemas.xmlsoap.org/wsdl/"
  xmlns:{s}='http://schemas.xmlsoap.org/wsdl/soap/' xmlns:{s}12="http://schemas.xmlsoap.org/wsdl/soap12/"
@@ -128,3 +129,28 @@ def test_no_job_while_a_plan_is_built(spark, docs):
     before = set(tracker.getJobIdsForGroup())
     sv.fields(sv.parse(docs)), sv.catalogue(docs), sv.ports(sv.parse(docs))
     assert set(tracker.getJobIdsForGroup()) == before
+
+
+def test_parts_in_one_split_are_read_by_all_cores(spark, tmp_path):
+    """One description per part: a table in one split must not be parsed by one task."""
+    spark.range(1, 17).selectExpr("id as p_partkey", "'n' as p_name", "id as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for query in (ps.wsdl_deep_fields, ps.wsdl_tree_fields):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_only_declarations_get_places(spark):
+    """Names that merely begin alike are no declarations, whatever the prefix or the end of the tag."""
+    text = """<definitions><types><x:schema xmlns:x="x"><x:elements name="no"/><element:no name="no"/><x:complexTypes name="no"/>
+<complexType name="T"><y:element
+ name="a"/><element name="b"/></complexType><x:element name="E"/></x:schema></types></definitions>"""
+    parsed = sv.parse(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert rows(sv.types(parsed), "kind", "name") == [("complexType", "T"), ("element", "E")]
+    assert rows(sv.fields(parsed), "type_name", "name") == [("T", "a"), ("T", "b")]
+
+
+def test_default_soap_namespace_beside_prefixes(spark):
+    uri = "http://schemas.xmlsoap.org/wsdl/soap/"
+    port = '<definitions xmlns:a="{0}"><service name="S"><port name="p">{1}</port></service></definitions>'
+    texts = [port.format(uri, '<a:address location="u"/>'), port.format(uri, f"<address xmlns = '{uri}' location='v'/>"), port.format(uri, "<address location='w'/>")]
+    parsed = sv.parse(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert [r["address"] for r in sv.ports(parsed).orderBy("doc_id").collect()] == ["u", "v", ""]
