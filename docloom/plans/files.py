@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as tx
 from docloom.operators import search as se
 from docloom.operators.rows import explode_rows
 from docloom.sources import files, sinks
@@ -29,7 +30,7 @@ def _scratch(spark, name):
 
 def _lines(spark, sf):
     """Lines of documents; carriage returns end lines too."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    text = tx.line_ends(F.coalesce("text", F.lit("")))
     docs = read_table(spark, sf, "documents").select("doc_id", "lang", text.alias("text"))
     return explode_rows(docs, ["doc_id", "lang"], F.split("text", "\n"), "pos", "line")
 
@@ -63,8 +64,8 @@ def report_files(spark, sf):
     """One file per document below a folder per language, written line by line and read back."""
     to = _scratch(spark, "reports")
     path = F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat("doc_id", F.lit(".txt")))
-    sinks.write_files(_lines(spark, sf).withColumn("path", path), to, "path", "line", order=["pos"])
-    back = files.read_texts(spark, to, [".txt"])
+    at = sinks.write_files(_lines(spark, sf).withColumn("path", path), to, "path", "line", order=["pos"])
+    back = files.read_texts(spark, at, [".txt"])
     return back.select(F.substring_index("path", "/", -2).alias("file"), "text")
 
 

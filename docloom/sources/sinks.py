@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
@@ -146,7 +147,7 @@ def write_keyed_text(df: DataFrame, path: str, keys: list[str], content: str, or
     placed.select(*keys, F.col(content).cast("string").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-def write_files(df: DataFrame, root: str, path: str, content: str, order: list[str] | None = None) -> None:
+def write_files(df: DataFrame, root: str, path: str, content: str, order: list[str] | None = None) -> str:
     """One file per value of ``path`` below ``root``, at exactly that place: ``1/a_b.txt``, ``src/x.jsp.txt``.
 
     Without ``order`` there is one row per path and its content is the file. With ``order`` the rows of a path are the lines of
@@ -157,7 +158,7 @@ def write_files(df: DataFrame, root: str, path: str, content: str, order: list[s
     Nothing is seen below ``root`` before every file is written. Tasks write aside, in a folder of this call, and return the
     names as rows of a table; Spark commits of each task the rows of one attempt only. A second job then moves the files that
     this table names, so a lost, repeated or late task neither shows half a file nor replaces one that was published. If the
-    first job fails, ``root`` is as before.
+    first job fails, ``root`` is as before. Returns ``root`` as a URI.
     """
     spark, at = df.sparkSession, _uri(root)
     aside = f"{at}/.writing-{uuid.uuid4().hex}"
@@ -173,6 +174,7 @@ def write_files(df: DataFrame, root: str, path: str, content: str, order: list[s
         files, folder = fs.FileSystem.from_uri(aside)
         if files.get_file_info(folder).type != fs.FileType.NotFound:
             files.delete_dir(folder)
+    return at
 
 
 WRITTEN = "path string, aside string"
@@ -186,39 +188,61 @@ def _uri(root: str) -> str:
 
 
 def _write_aside(aside: str, end: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Write neighbouring rows of one path to a file of their own; gives the path and the file."""
+    """Write neighbouring rows of one path to a file of their own; gives the path and the file.
+
+    Each attempt of a task has a folder of its own: tasks that make files in one folder wait for each other. The lines of a
+    path are written batch by batch, not one by one.
+    """
 
     def write(batches):  # an inner function, so that workers need not have this package
         files, top = fs.FileSystem.from_uri(aside)
-        files.create_dir(top, recursive=True)
-        at, own, out = None, None, None
+        own = f"{top}/{uuid.uuid4().hex}"
+        files.create_dir(own, recursive=True)
+        at, out, lines, n = None, None, [], 0
         for b in batches:
             done = []
-            for where, text in zip(b["path"], b["text"]):
+            for where, text in zip(b["path"].tolist(), b["text"].tolist()):
                 if where != at or not end:
                     if out is not None:
+                        out.write("".join(lines).encode("utf-8", "surrogatepass"))
                         out.close()
-                        done.append((at, own))
-                    at, own = where, f"{top}/{uuid.uuid4().hex}"
-                    out = files.open_output_stream(own)
-                out.write(((text or "") + end).encode("utf-8", "surrogatepass"))
+                        done.append((at, f"{own}/{n}"))
+                    at, lines, n = where, [], n + 1
+                    out = files.open_output_stream(f"{own}/{n}")
+                lines += (text or "", end)
+            if out is not None:
+                out.write("".join(lines).encode("utf-8", "surrogatepass"))
+                lines = []
             yield pd.DataFrame(done, columns=["path", "aside"])
         if out is not None:
             out.close()
-            yield pd.DataFrame([(at, own)], columns=["path", "aside"])
+            yield pd.DataFrame([(at, f"{own}/{n}")], columns=["path", "aside"])
 
     return write
 
 
 def _publish(root: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Move files to their places. A file that is no longer aside was moved by an earlier attempt of the task."""
+    """Move files to their places. A file that is no longer aside was moved by an earlier attempt of the task.
+
+    A local file system moves one file at a time between folders, whatever the number of tasks. A second name (a hard link)
+    and the end of the first do not wait for each other; where that fails, files are moved.
+    """
 
     def publish(batches):
         files, top = fs.FileSystem.from_uri(root)
+        local = isinstance(files, fs.LocalFileSystem)
         for b in batches:
-            for where, own in zip(b["path"], b["aside"]):
+            for where, own in zip(b["path"].tolist(), b["aside"].tolist()):
                 target = posixpath.join(top, where)
-                files.create_dir(posixpath.dirname(target), recursive=True)
+                try:
+                    if local:
+                        os.link(own, target)
+                        os.unlink(own)
+                    else:
+                        files.move(own, target)
+                    continue
+                except OSError:  # the first file of its folder, one that replaces another, or no links here
+                    files.create_dir(posixpath.dirname(target), recursive=True)
                 try:
                     files.move(own, target)
                 except OSError:

@@ -44,6 +44,38 @@ def test_texts_and_encodings(spark, tmp_path):
     assert files.read_texts(spark, str(tmp_path / "sj"), [".jsp"], "windows-31j").first().text == "表示"
 
 
+def test_tasks_list_and_read_as_sparks_reader(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "_h.txt", "_k=v.txt", ".d.txt", "~$o.txt", "sub/b.txt", "sub/deep/er/c.txt", "_hid/c.txt", ".hid/c.txt", "_x=1/c.txt", "_metadata.txt"]
+    names += ["_metadata_d/e.txt", "x._COPYING_", "sp ace/\u00fc%20#.txt", "t.txt.gz", "U.TXT", "n.md"]
+    root = str(tmp_path / "odd")
+    for i, n in enumerate(names):
+        write(f"{root}/{n}", b"x\r\ny\xff" * (i + 1), "wb")
+    write(f"{root}/empty.txt", "")
+    os.symlink(f"{root}/sub", f"{root}/link")
+    os.symlink(f"{root}/none", f"{root}/dangling.txt")
+    monkeypatch.setattr(files, "CONTENT_BYTES", 20)
+    for suffixes in ([".txt"], [".txt", ".md", ".gz", "_"]):
+        for columns in (["path", "modified", "length"], ["path", "modified", "length", "content"]):
+            both = [files.discover(spark, at, suffixes, content="content" in columns) for at in (root, f"file://{root}/")]
+            assert both[0].schema == both[1].schema and both[1].columns == columns
+            a, b = (sorted(tuple(r) for r in x.collect()) for x in both)
+            assert a == b and len(a) >= 8
+    key = lambda at: sorted((r.path, r.text) for r in files.read_texts(spark, at, [".txt"]).collect())
+    assert key(root) == key(f"file:{root}")
+
+
+def test_tasks_do_not_grow_with_files(spark, tmp_path):
+    for i in range(40):
+        write(str(tmp_path / f"many/{i % 3}/{i}.txt"), str(i))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # with the cost of an opening, a task for each file
+    try:
+        texts = files.read_texts(spark, (tmp_path / "many").as_uri(), [".txt"])
+        assert texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(int(r.text) for r in texts.collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_terms(spark, tmp_path):
     path = write(str(tmp_path / "terms.txt"), " one \n\n\t\n二　\r\nthree")
     assert [tuple(r) for r in files.read_terms(spark, path).orderBy("seq").collect()] == [(0, "one"), (3, "二"), (4, "three")]
@@ -160,6 +192,39 @@ def test_late_attempt_does_not_publish(tmp_path):
         list(sinks._publish(root)([pd.DataFrame({"path": ["c"], "aside": [str(tmp_path / "none")]})]))
 
 
+def test_aside_files_of_an_attempt_lie_together(tmp_path):
+    batches = [pd.DataFrame({"path": ["a", "a", "b"], "text": ["1", None, "2"]}), pd.DataFrame({"path": ["b", "c"], "text": ["3", "\u8868"]})]
+    aside = tmp_path / "root/.writing"
+    tries = [pd.concat(list(sinks._write_aside(aside.as_uri(), "\n")(batches))) for _ in range(2)]
+    folders = [{os.path.dirname(x) for x in t["aside"]} for t in tries]
+    assert [len(f) for f in folders] == [1, 1] and folders[0] != folders[1]
+    for t in tries:
+        assert [(p, open(x, encoding="utf-8").read()) for p, x in zip(t["path"], t["aside"])] == [("a", "1\n\n"), ("b", "2\n3\n"), ("c", "\u8868\n")]
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_publishing_with_and_without_links(tmp_path, monkeypatch, links):
+    made, link = [], os.link
+
+    def linked(own, target):
+        if not links:
+            raise PermissionError("no links here")
+        link(own, target)
+        made.append(target)
+
+    monkeypatch.setattr(os, "link", linked)
+    top = tmp_path / "root"
+    done = pd.DataFrame([(p, write(str(top / f".w/{n}"), p)) for n, p in enumerate(["a/x", "a/y", "b", "old"])], columns=["path", "aside"])
+    write(str(top / "old"), "before")
+    os.makedirs(top / "a")
+    if links:  # an attempt that ended between the second name and the end of the first
+        link(str(top / ".w/0"), str(top / "a/x"))
+    for _ in range(2):
+        assert [f["files"][0] for f in sinks._publish(top.as_uri())([done])] == [4]
+        assert [(top / p).read_text() for p in done["path"]] == list(done["path"])
+    assert sorted(made) == ([str(top / "a/y"), str(top / "b")] if links else [])
+
+
 def test_one_document_in_parts(spark, tmp_path):
     df = spark.range(500).select(F.col("id").alias("no"), F.when(F.col("id") % 3 > 0, F.concat(F.lit('a "q", '), "id")).alias("name"))
     joined = lambda p: "".join(open(x, encoding="utf-8").read() for x in parts(p, ".txt"))
