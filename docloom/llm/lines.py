@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.store import keep_columns, salted_lookup, staged
+from docloom.llm.store import among, keep_columns, salted_lookup, staged
 
 LEAST_WORDS = 5  # one edited word of at least five leaves a similarity of 0.8 or more
 BREAK = r"\n(?=[ \t\r]*[^ \t\r\n])"
-SPREAD_ROWS = 500_000  # a list of keys is sent to all executors up to this length and shuffled beyond it
+SPREAD_ROWS = 50_000  # a list of keys is sent to all executors up to this length; of a longer one a table of bits is
 
 
 def _words(piece: Column) -> Column:
@@ -38,11 +38,6 @@ def _halves(words: Column) -> Column:
     return F.when(n >= LEAST_WORDS, F.array(*keys(n), *keys(n - 1))).when(n == LEAST_WORDS - 1, F.array(*keys(n)))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written list of keys, marked for broadcast if its length allows."""
-    return F.broadcast(df) if df.count() <= SPREAD_ROWS else df
-
-
 def _within_one(a: Column, b: Column) -> Column:
     """Edit distance in words of at most one: equal beginnings and equal ends together leave at most one word."""
 
@@ -94,18 +89,16 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
 
     # Which half is shared: even places of the array are first halves, odd places second ones.
-    halves = lines.select("k1", "k2", F.posexplode("halves").alias("kind", "half"))
+    halves = lines.select("k1", "k2", place.alias("place"), F.posexplode("halves").alias("kind", "half"))
     shared = staged(halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("half"), "halves")
-    if shared.count() <= SPREAD_ROWS:
-        near = halves.join(F.broadcast(shared), "half", "left_semi")
-    else:
-        near = salted_lookup(halves, shared, ["half"], ["k1"])
-    near = near.groupBy("k1", "k2").agg(F.max(F.col("kind") % 2 == 0).alias("head"), F.max(F.col("kind") % 2 == 1).alias("tail"))
-    near = staged(lines.drop("halves").join(_bounded(staged(near, "near")), ["k1", "k2"]), "places")
+    near = among(halves, shared, ["half"], SPREAD_ROWS, ["k1"]).groupBy("k1", "k2").agg(
+        F.max(F.col("kind") % 2 == 0).alias("head"), F.max(F.col("kind") % 2 == 1).alias("tail"), F.min("place").alias("place")
+    )
+    near = staged(near.select("k1", "k2", "head", "tail", "place.*"), "near")
 
     # The words of those lines, from the texts that hold them.
-    owners = _bounded(near.select("id", "mark").distinct())
-    holding = bodies.alias("a").join(owners.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left_semi")
+    owners = staged(near.select("id", "mark").distinct(), "owners")
+    holding = among(bodies, owners, ["id", "mark"], SPREAD_ROWS, nullable=["id"])
     split = holding.dropDuplicates(["id", "mark"]).select("id", "mark", F.posexplode(F.split("body", BREAK)).alias("pos", "piece"))
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")) & (F.col("a.pos") == F.col("b.pos"))
     asked = staged(
@@ -133,8 +126,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     variants = staged(asked.select("k1", "k2", "place", F.posexplode_outer(neighbours).alias("__at", "v")).select("k1", "k2", "place", "v.*"), "neighbours")
     equal = staged(variants.groupBy("v1").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("v1"), "variants")
-    met = variants.join(F.broadcast(equal), "v1", "left_semi") if equal.count() <= SPREAD_ROWS else salted_lookup(variants, equal, ["v1"], ["k1"])
-    met = staged(met.select("k1", "k2", "place", "cut", "v1", "v2"), "met")
+    met = staged(among(variants, equal, ["v1"], SPREAD_ROWS, ["k1"]).select("k1", "k2", "place", "cut", "v1", "v2"), "met")
     same_cut = met.groupBy("v1", "v2", "cut").agg(F.min("place").alias("low"))
     any_cut = same_cut.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("cut") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("cut") >= 0, F.col("low"))).alias("longer")
@@ -149,16 +141,19 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .agg(F.min("other").alias("other"))
     )
     partner = asked.select(F.col("place").alias("other"), F.col("words").alias("other_words"))
-    near_lines = (
-        pairs.join(asked.select("k1", "k2", "words"), ["k1", "k2"])
+    gone = staged(
+        pairs.join(asked.select("k1", "k2", "place", "words"), ["k1", "k2"])
         .join(partner, "other")
         .where(_within_one(F.col("words"), F.col("other_words")))
-        .select("k1", "k2")
+        .select("place.*"),
+        "gone",
     )
+    # Places of lines that go meet those of all lines where these are gathered by text, so they need no join of their own.
     stay = (
-        lines.drop("halves").join(_bounded(staged(near_lines, "gone")), ["k1", "k2"], "left_anti")
+        lines.select("id", "mark", "pos", F.lit(False).alias("goes")).unionByName(gone.withColumn("goes", F.lit(True)))
         .groupBy("id", "mark")
-        .agg(F.collect_list("pos").alias("stay"))
+        .agg(F.collect_list(F.when(~F.col("goes"), F.col("pos"))).alias("every"), F.collect_list(F.when(F.col("goes"), F.col("pos"))).alias("gone"))
+        .select("id", "mark", F.array_except("every", "gone").alias("stay"))
     )
     full = docs.select(F.struct(*kept).alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("mark"))
     joined = full.alias("a").join(stay.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.mark") == F.col("b.mark")), "left")

@@ -6,14 +6,16 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 SPREAD_ROWS = 500_000  # a list of rows of fixed width is sent to all executors up to this length and shuffled beyond it
+MOST_BITS = 1 << 26  # of a table of bits that stands for a longer list; 8 MB, however long the list is
+_BITS_A_ROW = 1 << 13
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 
@@ -46,7 +48,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_lookup(df: DataFrame, lookup: DataFrame, key: list[str], salt: list[str], slices: int = 16, how: str = "inner") -> DataFrame:
+def salted_lookup(df: DataFrame, lookup: DataFrame, key: Sequence[str], salt: Sequence[str], slices: int = 16, how: str = "inner") -> DataFrame:
     """Join with a table of at most one row per key where few keys may hold most rows of ``df``.
 
     Rows of a key are dealt to ``slices`` tasks by the columns of ``salt``; the lookup row is repeated for each.
@@ -56,6 +58,46 @@ def salted_lookup(df: DataFrame, lookup: DataFrame, key: list[str], salt: list[s
     return dealt.join(repeated, [*key, "__slice"], how).drop("__slice")
 
 
+def _bits(keys: DataFrame, code: Column, size: int) -> DataFrame:
+    """A bit for each remainder of ``code`` by ``size``, set for those that are in ``keys``: part and its words of 64 bits; parts
+    without any are left out."""
+    place = keys.select(F.pmod(code, F.lit(size)).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    n = _BITS_A_ROW // 64
+    at = F.pmod("word", F.lit(n)).cast("int")
+    parts = words.groupBy(F.shiftright("word", n.bit_length() - 1).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(at, "bits"))).alias("set"))
+    return parts.select("part", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("set", i), F.lit(0).cast("long"))).alias("bits"))
+
+
+def may_hold(df: DataFrame, keys: DataFrame, n: int, on: list[str]) -> DataFrame:
+    """The rows of ``df`` whose ``on`` columns are in ``keys``, a written table of ``n`` rows, and a few others (nulls equal nulls): what
+    is left can be shuffled to meet ``keys`` where ``df`` could not.
+
+    Of the others a share of ``n`` to the number of bits goes by, a sixteenth at most until there are ``MOST_BITS``."""
+    code = F.xxhash64(*on)
+    size = min(MOST_BITS, max(_BITS_A_ROW, 1 << (16 * n).bit_length()))
+    table = F.broadcast(_bits(keys, code, size).withColumnsRenamed({"part": "__part", "bits": "__bits"}))
+    place = F.pmod(code, F.lit(size))
+    word = F.get("__bits", F.pmod(F.shiftright(place, 6), F.lit(_BITS_A_ROW // 64)).cast("int"))
+    held = df.join(table, F.shiftright(place, _BITS_A_ROW.bit_length() - 1) == F.col("__part"))
+    return held.where(F.getbit(word, F.pmod(place, F.lit(64)).cast("int")) == 1).drop("__part", "__bits")
+
+
+def among(df: DataFrame, keys: DataFrame, on: list[str], most: int, salt: Sequence[str] = (), nullable: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df`` whose ``on`` columns are those of a row of ``keys``, a written table of distinct rows with these columns only.
+    Nulls equal nulls in ``nullable``. With ``salt``, few keys may hold most rows.
+
+    Up to ``most`` keys are sent to all executors. Of a longer list a table of bits is sent, and the rows it leaves are shuffled."""
+    n = keys.count()
+    if n > most:
+        df = may_hold(df, keys, n, on)
+        if salt:
+            return salted_lookup(df, keys, on, salt)
+    a, b = ([F.col(f"{x}.`{c}`") for c in on] for x in "ab")
+    same = [x.eqNullSafe(y) if c in nullable else x == y for x, y, c in zip(a, b, on, strict=True)]
+    return df.alias("a").join(keys.hint("merge" if n > most else "broadcast").alias("b"), same, "left_semi")
+
+
 def keep_columns(df: DataFrame, made: list[str]) -> list[str]:
     """Columns of ``df`` that go on beside the columns an operator makes; a clashing input column is replaced."""
     taken = {m.lower() for m in made}

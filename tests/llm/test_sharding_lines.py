@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import lines, sharding
+from docloom.llm import lines, sharding, store
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,31 @@ def test_long_lines(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     docs = spark.createDataFrame([(1, long), (2, long.replace("w77 ", "")), (3, long.replace("w2990", "q").replace("w5 ", ""))], "doc_id long, text string")
     assert [(r.doc_id, r.n_removed) for r in lines.dedupe_lines(docs).orderBy("doc_id").collect()] == [(1, 0), (2, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 13])
+def test_long_lists_of_keys(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(store, "MOST_BITS", bits)
+    spark.range(3_000).selectExpr("nullif(id, 5) * 7 as id", "xxhash64(id) as mark").write.parquet(str(tmp_path / "k"))
+    keys = spark.read.parquet(str(tmp_path / "k"))
+    rows = spark.range(40_000).selectExpr("nullif(id, 5) * 7 as id", "xxhash64(if(id < 9000, id, -id)) as mark", "id as n").union(spark.range(2).selectExpr("null", "xxhash64(id)", "id"))
+    want = sorted([*range(3_000)])
+    for most in (0, 2_999, 3_000):
+        held = store.among(rows, keys, ["id", "mark"], most, nullable=["id"])
+        assert held.columns == ["id", "mark", "n"] and sorted(r.n for r in held.collect()) == want
+        assert sorted(r.n for r in store.among(rows.where("n <> 5"), keys.select("mark"), ["mark"], most, ["n"]).collect()) == sorted([*[n for n in want if n != 5], 0, 1])
+    few = store.may_hold(rows, keys, 3_000, ["id", "mark"]).count()
+    assert 3_000 <= few < (6_000 if bits > 1 << 20 else 20_000)
+
+
+def test_no_long_list_is_sent_whole(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(lines, "SPREAD_ROWS", 100)
+    monkeypatch.setattr(lines, "among", lambda df, keys, on, most, *a, **b: sent.append((on, keys.count(), most)) or store.among(df, keys, on, most, *a, **b))
+    text = "concat_ws('\n', concat_ws(' ', 'a', id, 'b', id + 1, 'c', id + 2), concat_ws(' ', 'x', id - 1, 'b', id, 'c', id + 1), 'same line for all of them')"
+    docs = spark.range(400).selectExpr("id as doc_id", f"{text} as text")
+    got = lines.dedupe_lines(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [on for on, _, _ in sent] == [["half"], ["id", "mark"], ["v1"]] and all(n > most == 100 for _, n, most in sent)
+    assert "broadcast" not in plan  # what goes is gathered with the places of all lines, not listed
+    assert {(r.n_lines, r.n_removed, r.doc_id == 0) for r in got.collect()} == {(3, 0, True), (3, 2, False)}
