@@ -51,11 +51,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def salted_lookup(df: DataFrame, lookup: DataFrame, key: Sequence[str], salt: Sequence[str], slices: int = 16, how: str = "inner") -> DataFrame:
     """Join with a table of at most one row per key where few keys may hold most rows of ``df``.
 
-    Rows of a key are dealt to ``slices`` tasks by the columns of ``salt``; the lookup row is repeated for each.
+    Rows of a key are dealt to ``slices`` tasks by the columns of ``salt``; the lookup row is repeated for each. Spark counts the repeated
+    table as no larger than the lookup and would send it through the driver; the hint keeps it from that.
     """
     dealt = df.withColumn("__slice", F.pmod(F.xxhash64(*salt), F.lit(slices)).cast("int"))
     repeated = lookup.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return dealt.join(repeated, [*key, "__slice"], how).drop("__slice")
+    return dealt.join(repeated.hint("merge"), [*key, "__slice"], how).drop("__slice")
 
 
 def _bits(keys: DataFrame, code: Column, size: int) -> DataFrame:

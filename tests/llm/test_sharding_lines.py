@@ -125,6 +125,15 @@ def test_long_lines(spark):
     assert [(r.doc_id, r.n_removed) for r in lines.dedupe_lines(docs).orderBy("doc_id").collect()] == [(1, 0), (2, 1), (3, 0)]
 
 
+def test_repeated_lookups_are_not_sent_through_the_driver(spark, tmp_path):
+    spark.range(30_000).selectExpr("xxhash64(id) as k", "id as v").write.parquet(str(tmp_path / "k"))
+    lookup = spark.read.parquet(str(tmp_path / "k"))  # 16 times as many rows are joined, in a table that Spark takes to be as small
+    rows = spark.range(60_000).selectExpr("xxhash64(id) as k", "id")
+    joined = store.salted_lookup(rows, lookup, ["k"], ["id"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 30_000 and joined.where("id = v").count() == 30_000
+
+
 @pytest.mark.parametrize("bits", [1 << 26, 1 << 13])
 def test_long_lists_of_keys(spark, tmp_path, monkeypatch, bits):
     monkeypatch.setattr(store, "MOST_BITS", bits)
